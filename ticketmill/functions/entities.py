@@ -13,7 +13,8 @@ from ticketmill.functions.text import strip_space
 
 def dedupe_ci(values: Column) -> Column:
     """Trim, drop empties, keep the first spelling of each value ignoring case."""
-    kept = F.filter(F.transform(values, strip_space), lambda v: v != "")
+    # exact repeats go first by hash; only distinct spellings are compared
+    kept = F.array_distinct(F.filter(F.transform(values, strip_space), lambda v: v != ""))
     lowered = F.transform(kept, F.lower)
     first = F.transform(kept, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
     first = F.filter(first, lambda s: F.array_position(lowered, F.lower(s["v"])) == s["i"] + 1)

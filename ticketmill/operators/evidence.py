@@ -94,7 +94,7 @@ def cluster_keywords(
     theirs = cluster_tickets.select("cluster_id", F.col("system_key").alias("src")).distinct()
     return (
         own.unionByName(theirs)
-        .select("cluster_id", F.explode(keywords(F.array("src"), stopwords)).alias("word"))
+        .select("cluster_id", F.explode_outer(keywords(F.array("src"), stopwords)).alias("word"))
         .groupBy("cluster_id").agg(F.array_sort(F.collect_set("word")).alias("keywords"))
     )
 

@@ -44,7 +44,7 @@ def tick_parts(
     steps = window_minutes // tick_minutes
     at = panes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     last = F.col("_i") == steps
-    moved = F.timestamp_micros(F.unix_micros("tick") + F.col("_i") * tick_minutes * 60_000_000)
+    moved = F.timestamp_micros(F.unix_micros("tick") + F.col("_i").cast("long") * (tick_minutes * 60_000_000))
     return at.select(
         "key", "system_key", moved.alias("tick"),
         F.when(last, F.col("edge")).otherwise(F.col("n")).alias("n"),

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HITS = "query_id long, ticket_id long, score double"
 # Largest query matrix sent to every executor, in bytes; beyond it queries and
@@ -45,9 +46,8 @@ def embed_documents(
     """
     pairs = (("symptom_text", "symptom_vector"), ("resolution_text", "resolution_vector"))
     base = df.drop(*[v for _, v in pairs])
-    schema = base.schema
-    for _, vec in pairs:
-        schema = schema.add(vec, "array<float>")
+    added = [T.StructField(vec, T.ArrayType(T.FloatType())) for _, vec in pairs]
+    schema = T.StructType([*base.schema.fields, *added])
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

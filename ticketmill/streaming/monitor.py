@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ticketmill import defaults as D
 from ticketmill import schemas
@@ -97,26 +97,49 @@ def gate(
     )
 
 
+class Cooldown(StatefulProcessor):
+    """Per key the last firing, in micros; rows come in as (key, tick) candidates."""
+
+    def __init__(self, cooldown: pd.Timedelta):
+        self.cooldown = cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "micros bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.last.get()
+        last = None if stored is None else pd.Timestamp(stored[0] * 1000)
+        pdf = pd.concat(list(rows)).sort_values("tick")
+        fired = pdf[list(fire(pdf["tick"], self.cooldown, last))]
+        if len(fired):
+            self.last.update((int(fired["tick"].iloc[-1].value // 1000),))
+        yield fired[["key", "tick", "count", "first_ticket_id", "threshold"]]
+
+    def close(self) -> None:
+        pass
+
+
+# state store the stateful alert operator needs
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
+
 def alert_stream(cands: DataFrame, cooldown_minutes: int = D.COOLDOWN_MINUTES) -> DataFrame:
     """Candidates that fire; per key the last firing is kept as state.
 
     Candidate rows are (key, tick) aggregates, so even the busiest key brings at
     most one row per tick.
     """
-    cooldown = pd.Timedelta(minutes=cooldown_minutes)
+    cands.sparkSession.conf.set(*STATE_STORE)
     out = "key string, tick timestamp, count bigint, first_ticket_id bigint, threshold double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0] * 1000) if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values("tick")
-        fired = pdf[list(fire(pdf["tick"], cooldown, last))]
-        if len(fired):
-            state.update((fired["tick"].iloc[-1].value // 1000,))
-        yield fired[["key", "tick", "count", "first_ticket_id", "threshold"]]
-
     return (
         cands.select("key", "tick", "count", "first_ticket_id", "threshold").groupBy("key")
-        .applyInPandasWithState(step, out, "last_micros bigint", "append", GroupStateTimeout.NoTimeout)
+        .transformWithStateInPandas(
+            Cooldown(pd.Timedelta(minutes=cooldown_minutes)), outputStructType=out,
+            outputMode="append", timeMode="None",
+        )
     )
 
 
