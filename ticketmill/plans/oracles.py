@@ -47,7 +47,7 @@ def trim(x: str) -> str:
 def clean(name: str, source: str, column: str = "text", out: str = "cleaned") -> str:
     """CTEs that add ``out``, the cleaned ``column``, to ``source``."""
     def cut(lines: str, pattern: str) -> str:
-        hits = f"list_transform({lines}, x -> regexp_matches(x, '{pattern}'))"
+        hits = f"list_transform({lines}, lambda x: regexp_matches(x, '{pattern}'))"
         return (
             f"CASE WHEN list_contains({hits}, true) THEN {lines}[1:list_position({hits}, true) - 1] ELSE {lines} END"
         )
@@ -55,11 +55,11 @@ def clean(name: str, source: str, column: str = "text", out: str = "cleaned") ->
     return f"""
     {name}_0 AS (SELECT *, list_filter(list_transform(
         regexp_split_to_array({strip_html(column)}, '{_BREAK}'),
-        x -> regexp_replace(x, '[{_WS}]+$', '')), x -> x <> '') AS ls FROM {source}),
+        lambda x: regexp_replace(x, '[{_WS}]+$', '')), lambda x: x <> '') AS ls FROM {source}),
     {name}_1 AS (SELECT * REPLACE ({cut('ls', _QUOTE)} AS ls) FROM {name}_0),
     {name}_2 AS (SELECT * REPLACE ({cut('ls', _SIGN)} AS ls) FROM {name}_1),
     {name} AS (SELECT * EXCLUDE (ls), {trim(
-        f"array_to_string(list_filter(ls, x -> NOT regexp_matches(x, '{_OPEN}')), chr(10))"
+        f"array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '{_OPEN}')), chr(10))"
     )} AS {out} FROM {name}_2)"""
 
 
@@ -93,8 +93,8 @@ def secret_only(x: str) -> str:
 
 
 def dedupe(x: str) -> str:
-    low = f"list_transform({x}, v -> lower(v))"
-    return f"list_filter({x}, (v, i) -> list_position({low}, lower(v)) = i)"
+    low = f"list_transform({x}, lambda v: lower(v))"
+    return f"list_filter({x}, lambda v, i: list_position({low}, lower(v)) = i)"
 
 
 def all_matches(column: str, patterns) -> str:
@@ -203,10 +203,10 @@ POOLS = SAMPLES + """,
 FB = """
   fb AS (SELECT event_id % 500 AS ticket_id, user_id AS suggested_ticket_id,
     event_type IN ('purchase', 'click') AS accepted,
-    CASE WHEN event_type <> 'view' THEN value > 10 END AS resolved, ts AS at, event_id AS seq
+    CASE WHEN event_type <> 'view' THEN value > 10 END AS resolved, ts AS made, event_id AS seq
     FROM events WHERE event_type <> 'error'),
   last AS (SELECT * FROM fb QUALIFY row_number() OVER (
-    PARTITION BY ticket_id, suggested_ticket_id ORDER BY at DESC, seq DESC) = 1),
+    PARTITION BY ticket_id, suggested_ticket_id ORDER BY made DESC, seq DESC) = 1),
   counted AS (SELECT suggested_ticket_id, count(*) AS shown, count(*) FILTER (accepted) AS accepted,
     count(*) FILTER (accepted AND resolved) AS resolved_after_accept FROM last GROUP BY suggested_ticket_id),
   stats AS (SELECT *, CASE WHEN shown > 0 THEN round(accepted / shown, 4) ELSE 0.0 END AS accept_rate,
@@ -252,9 +252,13 @@ def report(exclude: bool) -> str:
   SELECT *{gate} FROM rep"""
 
 
+# the same text serves as symptom and resolution
+TWICE = "text || ' ' || text"
+
+
 def bm25(docs: str, queries: str, depth: int) -> str:
     """CTEs ending in ``lex(query_id, ticket_id, score, rank)``."""
-    toks = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+    toks = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return f"""
   dt AS (SELECT ticket_id, {toks.format('text')} AS toks FROM {docs}),
   corpus AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
@@ -270,10 +274,10 @@ def bm25(docs: str, queries: str, depth: int) -> str:
     FROM lex0 QUALIFY rank <= {depth})"""
 
 
-def fused(where: str, depth: int) -> str:
+def fused(where: str, depth: int, text: str = "text") -> str:
     """CTEs for lexical and vector ranking of documents with vectors, ending in ``rr``."""
     return f"""
-  kd AS (SELECT doc_id AS ticket_id, text, e.embedding FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id {where}),
+  kd AS (SELECT doc_id AS ticket_id, {text} AS text, e.embedding FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id {where}),
   kq AS (SELECT item_id AS query_id, text, e.embedding FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id),
   {bm25('kd', 'kq', depth)},
   near AS (SELECT query_id, ticket_id, row_number() OVER (PARTITION BY query_id ORDER BY
@@ -514,19 +518,19 @@ def _build() -> dict[str, str]:
     plain = "kd AS (SELECT doc_id AS ticket_id, text FROM documents), kq AS (SELECT item_id AS query_id, text FROM benchmark),"
     q["bm25"] = f"WITH {plain} {bm25('kd', 'kq', 20)} SELECT query_id, ticket_id, rank, round(score, 6) AS score FROM lex"
     q["rrf"] = f"WITH {fused('', 20)} SELECT query_id, ticket_id, round(score, 9) AS score FROM rr"
-    q["hybrid_filtered"] = f"""WITH {fused("WHERE doc_id % 10 <> 0 AND lang = 'en'", 20)},
+    q["hybrid_filtered"] = f"""WITH {fused("WHERE doc_id % 10 <> 0 AND lang = 'en'", 20, TWICE)},
   mixed AS (SELECT query_id, ticket_id, rr.score, 'hybrid' AS mode FROM rr JOIN kq USING (query_id) WHERE kq.embedding IS NOT NULL
     UNION ALL SELECT query_id, ticket_id, lex.score, 'bm25-only' FROM lex JOIN kq USING (query_id) WHERE kq.embedding IS NULL)
   SELECT query_id, ticket_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticket_id) AS rank,
     round(score, 9) AS score, mode FROM mixed QUALIFY rank <= 5"""
-    en = "kd AS (SELECT doc_id AS ticket_id, text FROM documents WHERE doc_id % 10 <> 0 AND lang = 'en'), kq AS (SELECT item_id AS query_id, text FROM benchmark),"
+    en = f"kd AS (SELECT doc_id AS ticket_id, {TWICE} AS text, text AS raw FROM documents WHERE doc_id % 10 <> 0 AND lang = 'en'), kq AS (SELECT item_id AS query_id, text FROM benchmark),"
     q["search_kb"] = f"""WITH {FB}, {en} {bm25('kd', 'kq', 40)},
   pool AS (SELECT * FROM lex WHERE rank <= 10),
   w AS (SELECT p.query_id, p.ticket_id, p.score * CASE WHEN p.ticket_id % 500 <= 30 THEN 1.15::DOUBLE WHEN p.ticket_id % 500 <= 180 THEN 1.05::DOUBLE
       WHEN p.ticket_id % 500 <= 365 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END * coalesce(b.boost, 1.0) AS s
     FROM pool p LEFT JOIN boosts b USING (ticket_id))
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ticket_id) AS rank, ticket_id, left(text, 400) AS symptom,
-    least(length(text), 1200) AS resolution_chars, (ticket_id % 500)::INT AS age_days, round(s, 4) AS score, 'bm25-only' AS mode
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ticket_id) AS rank, ticket_id, left(raw, 400) AS symptom,
+    least(length(raw), 1200) AS resolution_chars, (ticket_id % 500)::INT AS age_days, round(s, 4) AS score, 'bm25-only' AS mode
   FROM w JOIN kd USING (ticket_id) QUALIFY rank <= 3"""
     q["trailing_count"] = "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS trailing FROM events"
     q["ticket_ranks"] = "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events"
@@ -568,8 +572,8 @@ def _build() -> dict[str, str]:
     )
     q["verdicts"] = """
   WITH v AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'A' THEN 'accept' WHEN 'R' THEN 'reject' ELSE 'unsure' END AS verdict,
-    l_linestatus = 'F' AS close, l_shipdate AS at, l_linenumber AS seq FROM lineitem),
-  l AS (SELECT id, verdict FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY at DESC, seq DESC, verdict DESC) = 1),
+    l_linestatus = 'F' AS close, l_shipdate AS made, l_linenumber AS seq FROM lineitem),
+  l AS (SELECT id, verdict FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY made DESC, seq DESC, verdict DESC) = 1),
   c AS (SELECT id, bool_or(close AND verdict IN ('accept', 'reject')) AS closes FROM v GROUP BY id)
   SELECT o_orderkey AS id, CASE WHEN closes THEN 'closed' ELSE 'open' END AS status, coalesce(verdict, 'none') AS verdict
   FROM orders LEFT JOIN l ON l.id = o_orderkey LEFT JOIN c ON c.id = o_orderkey"""
