@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
 
-# White space as text tools see it: the Unicode property plus the four
-# information separators.
-_WS = r"\s\x{1c}-\x{1f}"
+# fixed values: white space (Unicode, with the four information separators) and
+# line breaks other than the newline
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_WS = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 _BLANK = rf"[{_WS}&&[^\n]]"
-_BREAK = r"\r\n|[\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+_BREAK = r"[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# A run of white space that ends in a newline. The look-behind comes after the
+# first character, so it is only tried on white space, and it admits only the
+# start of a run, so long runs stay linear.
+_LINE_END = rf"[{_WS}](?<![{_WS}][{_WS}])[{_WS}]*\n"
 
 _TAG = r"<[^>]+>"
 _SECRET = (
@@ -64,14 +73,14 @@ def strip_html(text: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Trim Unicode white space from both ends."""
-    return F.regexp_replace(text, rf"(?U)^[{_WS}]+|(?<![{_WS}])[{_WS}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def clean_text(text: Column) -> Column:
     """Drop HTML, blank lines, quoted replies, signatures and greeting lines."""
-    out = F.regexp_replace(strip_html(text), _BREAK, "\n")
-    out = F.regexp_replace(out, rf"(?U)(?<![{_WS}])[{_WS}]*\n|(?<![{_WS}])[{_WS}]+\z", "\n")
-    out = F.regexp_replace(out, r"\n\z", "")
+    out = F.replace(strip_html(text), F.lit("\r\n"), F.lit("\n"))
+    out = F.rtrim(F.regexp_replace(out, _BREAK, "\n"), F.lit(SPACES))
+    out = F.regexp_replace(out, _LINE_END, "\n")
     out = F.regexp_replace(out, _QUOTE_TAIL, "")
     out = F.regexp_replace(out, _SIGNATURE_TAIL, "")
     out = F.regexp_replace(out, _OPENER, "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
 from ticketmill.functions.rules import system_key
-from ticketmill.functions.text import blank_to_null, normalize
+from ticketmill.functions.text import blank_to_null
 from ticketmill.functions.times import parse_ts
 from ticketmill.operators import ordered
 
@@ -25,27 +25,35 @@ def cluster_rules(spark: SparkSession, rows: Sequence[D.Rule] = D.CLUSTER_RULES)
 def match_keys(text: Column, rules: Sequence[D.Rule] = D.CLUSTER_RULES) -> Column:
     """Keys of the rules that match, heaviest first, ties in table order.
 
-    A rule matches when any phrase is in the normalized text: one-word phrases
-    as whole words, longer ones as they stand. The rules are a short list, so
-    they compile into one expression: no join, no shuffle, inside generated code.
+    A rule matches when any phrase is in the normalized text (lower case, only
+    ``a-z0-9``, single spaces): one-word phrases as whole words, longer ones as
+    they stand. The rules are a short list, so they compile into one expression:
+    no join, no shuffle, inside generated code. The text is not rewritten; a
+    plain substring test decides for most texts and the pattern that allows any
+    other characters between words only runs behind it.
     """
-    padded = F.concat(F.lit(" "), normalize(text), F.lit(" "))
+    low = F.lower(F.coalesce(text, F.lit("")))
 
     def hit(rule: D.Rule) -> Column:
         found = F.lit(False)
         for phrase in rule.phrases:
-            words = _normal_phrase(phrase)
-            if words:
-                found |= F.contains(padded, F.lit(words if " " in words else f" {words} "))
+            words = _phrase_words(phrase)
+            if not words:
+                continue
+            pattern = "[^a-z0-9]+".join(words)
+            if len(words) == 1:
+                pattern = f"(?<![a-z0-9]){pattern}(?![a-z0-9])"
+            found |= F.contains(low, F.lit(max(words, key=len))) & low.rlike(pattern)
         return F.when(found, F.lit(rule.key))
 
     by_weight = sorted(rules, key=lambda r: -r.weight)
     return F.array_compact(F.array(*[hit(r) for r in by_weight]))
 
 
-def _normal_phrase(phrase: str) -> str:
-    kept = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in phrase.lower())
-    return " ".join(kept.split())
+def _phrase_words(phrase: str) -> list[str]:
+    return "".join(
+        c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in phrase.lower()
+    ).split()
 
 
 def match_cluster_keys(df: DataFrame, text: Column, rules: Sequence[D.Rule] = D.CLUSTER_RULES) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketmill.functions.once import compute_once
 from ticketmill.functions.text import resolution_signature
 
 # Ids are listed inside a gold item up to this group size; larger groups are
@@ -19,8 +20,8 @@ INLINE_LIMIT = 200
 
 def fix_members(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """``(fix_key, ticket_id)`` for every document with a long enough signature."""
-    sig = docs.select(F.col("ticket_id").cast("long").alias("ticket_id"),
-                      resolution_signature(F.col("resolution_text")).alias("_sig"))
+    ids = docs.select(F.col("ticket_id").cast("long").alias("ticket_id"), "resolution_text")
+    sig = compute_once(ids, ["ticket_id"], {"_sig": resolution_signature(F.col("resolution_text"))})
     return sig.filter(F.length("_sig") >= min_chars).select(
         F.sha2("_sig", 256).alias("fix_key"), "ticket_id"
     )
@@ -63,7 +64,6 @@ def build_gold(
     is null and ``fix_key`` stands for the members. ``expected_count`` is exact
     in both cases.
     """
-    # computed behind a generator: the signature is used as join key and output
     sampled = sample_gold_queries(docs, n, seed).select(
         F.col("ticket_id").cast("long").alias("query_ticket_id"),
         F.col("symptom_text").alias("query_text"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
 from ticketmill.functions import entities, times
+from ticketmill.functions.once import compute_once
 from ticketmill.functions.rules import is_terminal_status
 from ticketmill.functions.text import (
     blank_to_null, clean_text, is_secret_only, redact, sanitize, strip_space,
@@ -37,7 +38,7 @@ def conversation_parts(convs: DataFrame) -> DataFrame:
         F.coalesce(-F.unix_micros(times.parse_ts(F.col("created_at"))), F.lit(_LAST)).alias("late"),
         private.alias("private"), incoming.alias("incoming"), text.alias("text"),
     ).filter("text IS NOT NULL")
-    cleaned = F.when(F.col("incoming"), blank_to_null(clean_text(F.col("text"))))
+    rows = compute_once(rows, rows.columns, {"cleaned": F.when(F.col("incoming"), clean_text(F.col("text")))})
     late, back = F.col("late"), -F.col("seq")
 
     def part(cls: str, body: Column, o1: Column, o2: Column) -> Column:
@@ -45,13 +46,13 @@ def conversation_parts(convs: DataFrame) -> DataFrame:
 
     # one struct per part the entry can serve as; a private incoming entry has two
     parts = F.array(
-        part("incoming", cleaned, F.col("seq"), F.lit(0).cast("long")),
+        part("incoming", F.col("cleaned"), F.col("seq"), F.lit(0).cast("long")),
         part("note", F.when(F.col("private"), F.col("text")), late, back),
         part("reply", F.when(~F.col("private") & ~F.col("incoming"), F.col("text")), late, back),
     )
     ranked = (
         rows.select("ticket_id", F.inline(parts))
-        .filter("text IS NOT NULL")
+        .filter("text <> ''")
         .withColumn("rn", F.row_number().over(Window.partitionBy("ticket_id", "cls").orderBy("o1", "o2")))
         .filter("rn <= 2")
         .filter("rn = 1 OR cls = 'incoming'")
@@ -73,40 +74,54 @@ def hydrate(tickets: DataFrame, convs: DataFrame) -> DataFrame:
     )
 
 
-def symptom() -> Column:
-    """Cleaned description followed by the first two incoming texts."""
-    described = F.coalesce(blank_to_null(F.col("description_text")), F.col("description"))
-    return F.concat_ws(
-        "\n", blank_to_null(clean_text(described)), F.col("incoming_1"), F.col("incoming_2")
-    )
+def with_texts(hydrated: DataFrame) -> DataFrame:
+    """Add ``symptom``, ``resolution`` and ``resolution_source``.
 
+    Symptom: cleaned description, then the first two incoming texts. Resolution:
+    the first non-empty of field, note and reply; each is cleaned only where the
+    one before it is empty.
+    """
+    base = hydrated.columns
 
-def resolution() -> Column:
-    """``struct(text, source)`` of the first non-empty of field, note, reply."""
-    field = [
-        blank_to_null(clean_text(F.when(~F.col("custom_fields")[k].isin("", "[]"), F.col("custom_fields")[k])))
-        for k in ("resolution", "resolution_notes")
-    ]
-
-    def found(text: Column, source: str) -> Column:
-        return F.when(text.isNotNull(), F.struct(text.alias("text"), F.lit(source).alias("source")))
+    def raw_field(name: str) -> Column:
+        value = F.col("custom_fields")[name]
+        return F.when(~value.isin("", "[]"), value)
 
-    return F.coalesce(
-        found(F.coalesce(*field), "resolution_field"),
-        found(blank_to_null(clean_text(F.col("note"))), "private_note"),
-        found(blank_to_null(clean_text(F.col("reply"))), "reply"),
-        F.struct(F.lit("").alias("text"), F.lit("unknown").alias("source")),
+    described = F.coalesce(blank_to_null(F.col("description_text")), F.col("description"))
+    found = compute_once(
+        hydrated, base,
+        {
+            "_d": clean_text(described), "_f1": clean_text(raw_field("resolution")),
+            "_f2": clean_text(raw_field("resolution_notes")),
+        },
+    ).withColumn("_f", F.coalesce(blank_to_null(F.col("_f1")), F.col("_f2")))
+    found = compute_once(
+        found, [*base, "_d", "_f"], {"_n": F.when(F.col("_f") == "", clean_text(F.col("note")))}
+    )
+    found = compute_once(
+        found, [*base, "_d", "_f", "_n"], {"_p": F.when(F.col("_n") == "", clean_text(F.col("reply")))}
+    )
+    source = (
+        F.when(F.col("_f") != "", "resolution_field").when(F.col("_n") != "", "private_note")
+        .when(F.col("_p") != "", "reply").otherwise("unknown")
+    )
+    return found.select(
+        *base,
+        F.concat_ws("\n", blank_to_null(F.col("_d")), "incoming_1", "incoming_2").alias("symptom"),
+        F.coalesce(
+            blank_to_null(F.col("_f")), blank_to_null(F.col("_n")), F.col("_p"), F.lit("")
+        ).alias("resolution"),
+        source.alias("resolution_source"),
     )
 
 
 def build_symptom(tickets: DataFrame, convs: DataFrame) -> DataFrame:
-    return hydrate(tickets, convs).select("id", symptom().alias("symptom"))
+    return with_texts(hydrate(tickets, convs)).select("id", "symptom")
 
 
 def build_resolution(tickets: DataFrame, convs: DataFrame) -> DataFrame:
-    return (
-        hydrate(tickets, convs).select("id", resolution().alias("r"))
-        .select("id", F.col("r.text").alias("resolution"), F.col("r.source").alias("source"))
+    return with_texts(hydrate(tickets, convs)).select(
+        "id", "resolution", F.col("resolution_source").alias("source")
     )
 
 
@@ -141,34 +156,22 @@ def link_documents(docs: DataFrame, links: DataFrame | None) -> DataFrame:
     )
 
 
-def _once(df: DataFrame, keep: Sequence[str], cols: dict[str, Column]) -> DataFrame:
-    """Add computed columns behind a generator.
-
-    A filter above a plain projection is pushed into it and would evaluate these
-    long pattern chains a second time; it is not pushed through a generator.
-    """
-    row = F.struct(*[c.alias(n) for n, c in cols.items()])
-    return df.select(*keep, F.inline(F.array(row)))
-
-
 def build_candidates(
     tickets: DataFrame, convs: DataFrame, min_symptom_chars: int = D.MIN_SYMPTOM_CHARS,
     drop_secret_only: bool = True,
 ) -> DataFrame:
     """Every hydrated ticket with its texts and the flag ``built``."""
-    hydrated = hydrate(tickets, convs)
-    base = [c for c in tickets.columns]
-    raw = _once(hydrated, base, {"symptom": symptom(), "_r": resolution()})
-    raw = raw.select(
-        *base, "symptom", F.col("_r.text").alias("resolution"), F.col("_r.source").alias("resolution_source")
-    )
+    base = tickets.columns
     ok = F.col("id").isNotNull() & qualifying(min_symptom_chars, drop_secret_only)
+    judged = compute_once(
+        with_texts(hydrate(tickets, convs)), [*base, "symptom", "resolution", "resolution_source"], {"_ok": ok}
+    )
     # redaction only for rows that qualify
-    texts = _once(
-        raw, [*base, "resolution_source"],
+    texts = compute_once(
+        judged, [*base, "resolution_source"],
         {
-            "symptom_text": F.when(ok, sanitize(F.col("symptom"))),
-            "resolution_text": F.when(ok, sanitize(F.col("resolution"))),
+            "symptom_text": F.when(F.col("_ok"), sanitize(F.col("symptom"))),
+            "resolution_text": F.when(F.col("_ok"), sanitize(F.col("resolution"))),
         },
     )
     built = F.coalesce((F.col("symptom_text") != "") & (F.col("resolution_text") != ""), F.lit(False))
@@ -184,7 +187,7 @@ def project_documents(
     """Document columns for the built candidates."""
     subject = F.coalesce("subject", F.lit(""))
     closed = F.coalesce(blank_to_null(F.col("closed_at")), F.col("resolved_at"))
-    times_ = _once(
+    times_ = compute_once(
         candidates.filter("built"), candidates.columns,
         {
             "_created": times.parse_ts(F.col("created_at")),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
+from ticketmill.functions.once import compute_once
 from ticketmill.functions.rules import recency_boost
 from ticketmill.operators.vectors import HITS, TopK, knn
 from ticketmill.schemas import SEARCHABLE
@@ -40,6 +41,7 @@ def _not_self(scored: DataFrame) -> DataFrame:
 # Largest (word x query) matrix sent to every task, in bytes; beyond it the
 # query words are joined instead.
 MATRIX_BYTES = 64 << 20
+MATRIX_PAIRS = 200_000
 
 
 def bm25_scores(
@@ -60,16 +62,14 @@ def bm25_scores(
     extra = ["exclude_id"] if "exclude_id" in queries.columns else []
     words = queries.select("query_id", *extra, F.array_distinct(tokens(F.col("text"))).alias("toks"))
     query_words = words.select("query_id", *extra, F.explode("toks").alias("term"))
-    size = query_words.agg(
-        F.count_distinct("term").alias("words"), F.count_distinct("query_id").alias("queries")
-    ).first()
-    matrix = size["words"] * size["queries"] * 8 <= matrix_bytes
+    # a bounded look at the query words decides the plan
+    pairs = query_words.limit(MATRIX_PAIRS + 1).toPandas()
+    terms = sorted(set(pairs["term"]))
+    matrix = len(pairs) <= MATRIX_PAIRS and len(terms) * pairs["query_id"].nunique() * 8 <= matrix_bytes
 
     # the empty word stands for the document itself: its rows carry the corpus
     # size and the mean length through the same exchange
     if matrix:
-        pairs = query_words.orderBy("query_id", "term").toPandas()
-        terms = sorted(set(pairs["term"]))
         # measured above, so the hint is safe; it keeps the token side streaming
         vocabulary = F.broadcast(docs.sparkSession.createDataFrame(
             [("", -1)] + [(t, i) for i, t in enumerate(terms)], "term string not null, word int not null"
@@ -79,9 +79,9 @@ def bm25_scores(
             query_words.select("term").union(words.select(F.lit("").alias("term"))).distinct()
             .select("term", F.col("term").alias("word"))
         )
-    doc_tokens = docs.select("ticket_id", F.inline(F.array(F.struct(
-        tokens(F.concat_ws(" ", *[F.col(f) for f in fields])).alias("toks")
-    )))).select("ticket_id", "toks", F.size("toks").alias("dl"))
+    doc_tokens = compute_once(
+        docs, ["ticket_id"], {"toks": tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))}
+    ).select("ticket_id", "toks", F.size("toks").alias("dl"))
     tf = (
         doc_tokens.select("ticket_id", "dl", F.explode(F.array_append("toks", "")).alias("term"))
         .join(vocabulary, "term").select("ticket_id", "dl", "word").filter("word IS NOT NULL")

@@ -29,8 +29,24 @@ CODE_PATTERNS = ("tion[a-z]{1,3}", "(?i)th([a-z]{3})")
 HOST_PATTERNS = ("[A-Z][a-z]{2}er", "[a-z]{3}the")
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+_FEW = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the text tables are spread over the cores when they are small."""
+    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a file scan of a few splits before expensive text expressions.
+
+    A scan of at least ``_FEW`` splits (about 4 GB) or one per core is left as
+    it is: at scale the files themselves give the parallelism, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= min(cores, _FEW) else df.repartition(cores)
 
 
 def scratch(spark: SparkSession) -> str:
