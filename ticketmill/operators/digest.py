@@ -62,7 +62,7 @@ def compose_digest(
     lists = (
         tickets.select("alert_id", "part", F.struct("rank", line.alias("li")).alias("e"))
         .groupBy("alert_id", "part").agg(F.array_sort(F.collect_list("e")).alias("l"))
-        .select("alert_id", "part", F.array_join(F.transform("l", lambda e: e["li"]), "").alias("items"))
+        .select("alert_id", "part", F.array_join(F.transform("l", lambda e: e["li"]), "").alias("ticket_items"))
     )
     systems = (
         tickets.select("alert_id", "system_key").distinct()
@@ -97,7 +97,7 @@ def compose_digest(
     )
     first = F.col("part") == 0
     note = F.concat(
-        F.when(first, head).otherwise(""), F.lit("<ul>"), F.col("items"), F.lit("</ul>"),
+        F.when(first, head).otherwise(""), F.lit("<ul>"), F.col("ticket_items"), F.lit("</ul>"),
         F.when(first, tail).otherwise(""),
     )
     return base.select("alert_id", "part", note.alias("note"))

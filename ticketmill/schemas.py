@@ -53,13 +53,13 @@ FEEDBACK = """
   agent STRING, note STRING, at TIMESTAMP, kind STRING, alert_id BIGINT, verdict STRING,
   cluster_key STRING, seq BIGINT
 """
-ALERTS = """
+EVIDENCE = (
+    "STRUCT<confidence: STRING, signals: ARRAY<STRUCT<key: STRING, role: STRING, count: BIGINT,"
+    " prior: BIGINT, elevated: BOOLEAN>>, pools: ARRAY<STRING>>"
+)
+ALERTS = f"""
   id BIGINT, key STRING, first_ticket_id BIGINT, opened_at TIMESTAMP, count BIGINT,
-  status STRING, cooldown_until TIMESTAMP,
-  evidence STRUCT<confidence: STRING,
-    signals: ARRAY<STRUCT<key: STRING, role: STRING, count: BIGINT, prior: BIGINT,
-      elevated: BOOLEAN>>,
-    pools: ARRAY<STRING>>
+  status STRING, cooldown_until TIMESTAMP, evidence {EVIDENCE}
 """
 BASELINE = """
   key STRING, dow INT, hour INT, n INT, median DOUBLE, mad DOUBLE, updated_at TIMESTAMP

@@ -176,9 +176,10 @@ def start_monitor(
                 F.col("opened_at").alias("window_end"),
             )
             proof = ev.alert_evidence(signals(windows))
-        full = fired.withColumn("evidence", F.lit(None)) if proof is None else fired.join(
-            proof.select(F.col("cluster_id").alias("id"), "evidence"), "id", "left"
-        )
+        if proof is None:
+            full = fired.withColumn("evidence", F.lit(None).cast(schemas.EVIDENCE))
+        else:
+            full = fired.join(proof.select(F.col("cluster_id").alias("id"), "evidence"), "id", "left")
         records.append_alerts(full, f"{out}/alerts", batch_id)
         if tickets is None:
             return
