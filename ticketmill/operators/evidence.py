@@ -45,17 +45,18 @@ def elevated() -> Column:
 def confidence_tier(signals: DataFrame) -> DataFrame:
     """``likely`` for cause and effect, ``consistent with`` for either, else ``none``."""
     rows = signals.select("cluster_id", "role", elevated().alias("up"))
+    hit = {role: F.bool_or((F.col("role") == role) & F.col("up")) for role in ("cause", "effect")}
     return (
-        rows.groupBy("cluster_id").agg(
-            F.bool_or((F.col("role") == "cause") & F.col("up")).alias("cause"),
-            F.bool_or((F.col("role") == "effect") & F.col("up")).alias("effect"),
-        )
-        .select(
-            "cluster_id",
-            F.when(F.col("cause") & F.col("effect"), "likely")
-            .when(F.col("cause") | F.col("effect"), "consistent with")
-            .otherwise("none").alias("confidence"),
-        )
+        rows.groupBy("cluster_id").agg(*[c.alias(r) for r, c in hit.items()])
+        .select("cluster_id", _tier().alias("confidence"))
+    )
+
+
+def _tier() -> Column:
+    return (
+        F.when(F.col("cause") & F.col("effect"), "likely")
+        .when(F.col("cause") | F.col("effect"), "consistent with")
+        .otherwise("none")
     )
 
 
@@ -125,16 +126,25 @@ def resolve_pool(hints: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 # --- log signals ------------------------------------------------------------
+# Catalogs up to this many (signal, event type) rows become a scan filter and a
+# broadcast; a larger one is joined as it is.
+CATALOG_ROWS = 1_000
+
+
 def tag_signals(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """Events with the signals they belong to; an event counts once per signal.
 
-    ``events`` has the columns the catalog's ``field`` names are mapped to. The
-    catalog is a small configuration table. Excluded high-volume events are not
-    in it and so never match.
+    ``events`` has the columns the catalog's ``field`` names are mapped to.
+    Excluded high-volume events are not in the catalog and so never match.
     """
     signals = catalog.select("key", "role", "stream", "value").distinct().select(
         F.col("key").alias("signal_key"), "role", "stream", F.col("value").alias("event_type")
     )
+    kinds = [r[0] for r in signals.select("event_type").limit(CATALOG_ROWS + 1).collect()]
+    if len(kinds) <= CATALOG_ROWS:
+        # the file scan skips everything else
+        events = events.filter(F.col("event_type").isin(*sorted(set(kinds))))
+        signals = F.broadcast(signals)
     return events.join(signals, ["stream", "event_type"])
 
 
@@ -449,13 +459,12 @@ def metric_elevation(points: DataFrame, clusters: DataFrame) -> DataFrame:
     ).withColumn("_id", F.concat_ws("|", "cluster_id", "metric_key"))
     series = points.select("metric", F.unix_micros("ts").alias("at"), "value")
     end = F.unix_micros("window_end") + 1
-    current = ordered.range_max(
-        series, ask, ["metric"], "at", "value", "_id", end - F.col("_span"), end, "current"
-    ).drop("metric")
-    prior = ordered.range_max(
-        series, ask, ["metric"], "at", "value", "_id", end - 2 * F.col("_span"), end - F.col("_span"), "baseline"
+    span = F.col("_span")
+    peaks = ordered.range_max(
+        series, ask, ["metric"], "at", "value", "_id",
+        {"current": (end - span, end), "baseline": (end - 2 * span, end - span)},
     ).drop("metric")
-    both = ask.join(current, "_id", "left").join(prior, "_id", "left")
+    both = ask.join(peaks, "_id")
     return both.select(
         "cluster_id", "metric_key", F.col("current").alias("current_peak"),
         F.col("baseline").alias("baseline_peak"),
@@ -535,8 +544,10 @@ def alert_evidence(signals: DataFrame, pools: DataFrame | None = None) -> DataFr
     item = F.struct(
         F.col("signal_key").alias("key"), "role", "stream", "count", "prior", elevated().alias("elevated")
     )
-    listed = signals.groupBy("cluster_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    out = listed.join(confidence_tier(signals), "cluster_id")
+    up = {role: F.bool_or((F.col("role") == role) & elevated()) for role in ("cause", "effect")}
+    out = signals.groupBy("cluster_id").agg(
+        F.array_sort(F.collect_list(item)).alias("items"), *[c.alias(r) for r, c in up.items()]
+    ).withColumn("confidence", _tier())
     none = F.array().cast("array<string>")
     if pools is None:
         out = out.withColumn("pools", none)

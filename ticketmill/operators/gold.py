@@ -7,7 +7,7 @@ its group, and "is a mate" is equality of keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketmill.functions.once import compute_once
@@ -83,11 +83,13 @@ def build_gold(
     wanted = keyed.select(F.col("_key").alias("fix_key")).distinct()
     members = fix_members(docs).join(wanted, "fix_key", "left_semi")
     sizes = members.groupBy("fix_key").agg(F.count("*").alias("_size"))
-    small = (
-        members.join(sizes.filter(F.col("_size") <= inline_limit), "fix_key")
+    # at most inline_limit ids per group leave each map task; longer lists are not used
+    first = Window.partitionBy("fix_key").orderBy("ticket_id")
+    ids = (
+        members.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= inline_limit)
         .groupBy("fix_key").agg(F.array_sort(F.collect_set("ticket_id")).alias("_ids"))
     )
-    info = sizes.join(small, "fix_key", "left").withColumnRenamed("fix_key", "_key")
+    info = sizes.join(ids, "fix_key").withColumnRenamed("fix_key", "_key")
     joined = keyed.join(info, "_key", "left")
     big = F.col("_size") > inline_limit
     return joined.select(

@@ -3,7 +3,7 @@
 A plain window over ``key`` sorts a whole key in one task, and one key may hold
 a third of all rows. Here each key is cut into time buckets: the bucket totals
 (combined map-side, one small row per key and bucket) give the carry-in of each
-bucket, and the sort happens per (key, bucket).
+bucket, and the sort happens per (key, bucket). Keys and times must not be null.
 """
 
 from __future__ import annotations
@@ -32,31 +32,23 @@ def running_sum(
     """
     keys = list(keys)
     df = df.withColumn("_b", bucket_of(F.col(micros), width)).withColumn("_w", weight.cast("long"))
-    per_bucket = Window.partitionBy(*keys).orderBy("_b")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         df.groupBy(*keys, "_b").agg(F.sum("_w").alias("_t"))
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_b").alias("_kb"),
-            F.coalesce(
-                F.sum("_t").over(per_bucket.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ).alias("_carry"),
-        )
+        .select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
     )
     inner = Window.partitionBy(*keys, "_b").orderBy(F.col(micros), *order)
     inner = (
         inner.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers
         else inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # the window has partitioned the rows by (key, bucket) already; the join adds
+    # no shuffle of them
     summed = df.withColumn("_in", F.sum("_w").over(inner))
-    cond = F.col("_b") == F.col("_kb")
-    for k in keys:
-        cond &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
-        summed.join(carry, cond)
+        summed.join(carry, [*keys, "_b"])
         .withColumn(out, F.col("_carry") + F.col("_in"))
-        .drop("_b", "_w", "_in", "_carry", "_kb", *[f"_k_{k}" for k in keys])
+        .drop("_b", "_w", "_in", "_carry")
     )
 
 
@@ -79,19 +71,14 @@ def previous_value(
         F.max(F.struct(micros, *tie, F.struct(F.col(value).alias("v")).alias("s"))).alias("_last")
     )
     carry = last.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_b").alias("_kb"),
-        F.lag("_last.s").over(Window.partitionBy(*keys).orderBy("_b")).alias("_before"),
+        *keys, "_b", F.lag("_last.s").over(Window.partitionBy(*keys).orderBy("_b")).alias("_before")
     )
     inner = Window.partitionBy(*keys, "_b").orderBy(micros, *tie)
     lagged = df.withColumn("_in", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
-    cond = F.col("_b") == F.col("_kb")
-    for k in keys:
-        cond &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
-        lagged.join(carry, cond)
+        lagged.join(carry, [*keys, "_b"])
         .withColumn(out, F.coalesce("_in", "_before")["v"])
-        .drop("_b", "_in", "_before", "_kb", *[f"_k_{k}" for k in keys])
+        .drop("_b", "_in", "_before")
     )
 
 
@@ -159,15 +146,21 @@ def range_counts(
 
 def range_max(
     points: DataFrame, probes: DataFrame, keys: Sequence[str], micros: str, value: str,
-    probe_id: str, lo: Column, hi: Column, out: str, width: int = MINUTE,
+    probe_id: str, ranges: dict[str, tuple[Column, Column]], width: int = MINUTE,
 ) -> DataFrame:
-    """Largest ``value`` of the probe's key in ``[lo, hi)``; null when there is none.
+    """Largest ``value`` of the probe's key in each named range ``[lo, hi)``; else null.
 
-    Whole buckets inside the range are read from a pre-aggregated table; only
-    the two edge buckets are compared row by row, once per distinct range.
+    Whole buckets inside a range are read from a pre-aggregated table; only the
+    two edge buckets are compared row by row, once per distinct range.
     """
     keys = list(keys)
-    ranged = probes.select(probe_id, *keys, lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"))
+    listed = F.array(
+        *[
+            F.struct(F.lit(n).alias("_name"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"))
+            for n, (lo, hi) in ranges.items()
+        ]
+    )
+    ranged = probes.select(probe_id, *keys, F.inline(listed))
     distinct = (
         ranged.select(*keys, "_lo", "_hi").distinct()
         .withColumn("_first", bucket_of(F.col("_lo"), width))
@@ -189,5 +182,8 @@ def range_max(
         rims.join(points, [*keys, "_b"]).filter("_at >= _lo AND _at < _hi")
         .select(*keys, "_lo", "_hi", "_v")
     )
-    best = middle.unionByName(rim).groupBy(*keys, "_lo", "_hi").agg(F.max("_v").alias(out))
-    return ranged.join(best, [*keys, "_lo", "_hi"], "left").drop("_lo", "_hi")
+    best = middle.unionByName(rim).groupBy(*keys, "_lo", "_hi").agg(F.max("_v").alias("_v"))
+    return (
+        ranged.join(best, [*keys, "_lo", "_hi"], "left").groupBy(probe_id, *keys)
+        .agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranges])
+    )

@@ -206,12 +206,16 @@ def hybrid_search(
         return top_per_query(lexical.drop("rank"), top).withColumn("mode", F.lit("bm25-only"))
     near = knn(docs, queries.filter("size(vector) > 0"), depth, vector)
     has_vector = queries.select("query_id", F.coalesce(F.size("vector") > 0, F.lit(False)).alias("_v"))
-    plain = lexical.join(has_vector.filter("NOT _v"), "query_id", "left_semi").drop("rank")
-    fused = rrf_fuse(lexical, near).join(has_vector.filter("_v"), "query_id", "left_semi")
-    both = fused.withColumn("mode", F.lit("hybrid")).unionByName(
-        plain.withColumn("mode", F.lit("bm25-only"))
+    share = 1.0 / (D.RRF_K + F.col("rank"))
+    # both rankings are read once: a query without a vector carries its plain score
+    parts = lexical.join(has_vector, "query_id").select(
+        "query_id", "ticket_id", "_v", F.when(F.col("_v"), share).otherwise(F.col("score")).alias("part")
+    ).unionByName(near.select("query_id", "ticket_id", F.lit(True).alias("_v"), share.alias("part")))
+    both = parts.groupBy("query_id", "ticket_id").agg(
+        F.sum("part").alias("score"), F.bool_or("_v").alias("_v")
     )
-    return top_per_query(both, top)
+    mode = F.when(F.col("_v"), "hybrid").otherwise("bm25-only")
+    return top_per_query(both.select("query_id", "ticket_id", "score", mode.alias("mode")), top)
 
 
 def join_boosts(hits: DataFrame, boosts: DataFrame | None) -> DataFrame:

@@ -97,11 +97,9 @@ def advance_watermark(
     Write it with :func:`write_version` after the data write has succeeded.
     """
     newest = F.max(column) if may_advance(limit, no_watermark, updated_since) else F.lit(None).cast("timestamp")
-    run = built.agg(newest.alias("newest"), F.count("*").alias("last_indexed_count"))
-    stored = control.select(F.max("last_updated_at").alias("stored"))
-    # both sides are single-row aggregates
-    return run.join(stored, F.lit(True)).select(
-        F.coalesce("newest", "stored").alias("last_updated_at"),
+    stored = control.select(F.max("last_updated_at")).scalar()
+    return built.agg(newest.alias("newest"), F.count("*").alias("last_indexed_count")).select(
+        F.coalesce("newest", stored).alias("last_updated_at"),
         F.current_timestamp().alias("last_run_at"),
         "last_indexed_count",
     )
