@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketmill.llm import bpe
+from ticketmill.llm import bpe, simhash
 from ticketmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +25,8 @@ def query(fn: Query) -> Query:
 @query
 def op7_merge_replay(spark, sf):
     return bpe.encode_documents(table(spark, sf, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+@query
+def op10_pivot_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents")).drop("text_key", "fp", "component")
