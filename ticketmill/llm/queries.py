@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, simhash
-from ticketmill.llm.common import table
+from ticketmill.llm import bpe, langid, simhash
+from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -22,6 +23,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_kneser_ney_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = langid.identify(docs, out)
+    return found.select("doc_id", out.alias("held_out"), *found.columns[1:])
+
+
 @query
 def op7_merge_replay(spark, sf):
     return bpe.encode_documents(table(spark, sf, "documents"), VOCABULARY, public_tokenizers.PATTERN)
