@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, simhash
+from ticketmill.llm import bpe, langid, leaks, rules, simhash
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,27 @@ def op3_kneser_ney_language(spark, sf):
     return found.select("doc_id", out.alias("held_out"), *found.columns[1:])
 
 
+@query
+def op5_spaced_seeds(spark, sf):
+    return leaks.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLES["op5_spaced_seeds"] = leaks.ORACLE
+
+
 @query
 def op7_merge_replay(spark, sf):
     return bpe.encode_documents(table(spark, sf, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+@query
+def op9_adaptive_rules(spark, sf):
+    return rules.filter_documents(table(spark, sf, "documents"))
+
+
+ORACLES["op9_adaptive_rules"] = rules.ORACLE
+
+
 @query
 def op10_pivot_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("text_key", "fp", "component")
