@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, leaks, rules, simhash
+from ticketmill.llm import bpe, langid, leaks, pseudonyms, rules, simhash
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,21 @@ ORACLES: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+# A key for the registered queries; real data needs a secret one.
+PSEUDONYM_KEY = "example key of the registered queries"
+
 
 def query(fn: Query) -> Query:
     REGISTRY[fn.__name__] = fn
     return fn
 
 
+@query
+def op2_feistel_pseudonyms(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, count="n_pseudonyms")
+
+
 @query
 def op3_kneser_ney_language(spark, sf):
     docs = table(spark, sf, "documents")

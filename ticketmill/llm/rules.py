@@ -17,7 +17,7 @@ MIN_WORDS, MAX_REPEAT = 10, 20  # the base rules: words, percent of repeated wor
 
 # Metric and slack: how far beyond the fence of its group a value may lie in any case.
 METRICS = {
-    "symbol_share": 0.05, "mark_rate": 0.25, "dup_line_share": 0.10, "repeat_share": 0.05, "word_length": 1.5,
+    "symbol_share": 0.05, "mark_rate": 0.25, "dup_line_share": 0.35, "repeat_share": 0.15, "word_length": 1.5,
 }
 # Size of a sketch, how many quartile distances make the fence, and the rows
 # below which a group borrows the sketch of its language, or of all rows.
