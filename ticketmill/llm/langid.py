@@ -343,6 +343,25 @@ def _judged(m: Models, ids: pa.Array, sums: np.ndarray, count: np.ndarray, lette
     )
 
 
+def accepted(docs: DataFrame, models: Models, text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``predict`` rejects; all columns pass unchanged."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(models)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pieces = [parts(t) for t in batch.column(at).to_pylist()]
+            first = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
+            found = _scored(m, [x for p in pieces for x in p])
+            judged = _judged(m, pa.nulls(batch.num_rows), *(np.add.reduceat(x, first, axis=0) for x in found))
+            yield batch.filter(pa.array(~judged.column(5).to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, holds_out: Column) -> DataFrame:
     """Learn from the labelled rows outside ``holds_out`` and predict every row (``doc_id``, ``lang``, ``text``)."""
     labelled = docs.where(~holds_out).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text")
