@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, leaks, pseudonyms, rules, simhash
+from ticketmill.llm import bpe, langid, leaks, pseudonyms, recurrent, rules, simhash
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op7_merge_replay(spark, sf):
     return bpe.encode_documents(table(spark, sf, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+@query
+def op8_gated_recurrent(spark, sf):
+    return recurrent.score_documents(table(spark, sf, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 @query
 def op9_adaptive_rules(spark, sf):
     return rules.filter_documents(table(spark, sf, "documents"))
