@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, leaks, pseudonyms, recurrent, rules, simhash
+from ticketmill.llm import bpe, langid, leaks, pseudonyms, recurrent, rules, simhash, warc
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_warc_derivatives(spark, sf):
+    records = warc.derivatives(warc.page_responses(table(spark, sf, "pages")))
+    listed = F.array_join(F.transform("source_headers", lambda h: F.concat(h["name"], F.lit("="), h["value"])), "|")
+    return records.withColumn("source_headers", listed)
+
+
+ORACLES["op1_warc_derivatives"] = warc.ORACLE
+
+
 @query
 def op2_feistel_pseudonyms(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
