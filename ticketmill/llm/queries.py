@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, leaks, pseudonyms, recurrent, rules, simhash, warc
+from ticketmill.llm import bpe, langid, leaks, paragraphs, pseudonyms, recurrent, rules, simhash, warc
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op5_spaced_seeds(spark, sf):
 ORACLES["op5_spaced_seeds"] = leaks.ORACLE
 
 
+@query
+def op6_paragraph_bands(spark, sf):
+    return paragraphs.repeated_paragraphs(table(spark, sf, "documents"))
+
+
 @query
 def op7_merge_replay(spark, sf):
     return bpe.encode_documents(table(spark, sf, "documents"), VOCABULARY, public_tokenizers.PATTERN)
