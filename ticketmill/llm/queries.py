@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, leaks, paragraphs, pseudonyms, recurrent, rules, simhash, warc
+from ticketmill.llm import bpe, langid, leaks, paragraphs, pseudonyms, recurrent, repeats, rules, simhash, warc
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op3_kneser_ney_language(spark, sf):
     return found.select("doc_id", out.alias("held_out"), *found.columns[1:])
 
 
+@query
+def op4_interval_expansion(spark, sf):
+    return repeats.remove_repeats(table(spark, sf, "documents"))
+
+
 @query
 def op5_spaced_seeds(spark, sf):
     return leaks.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
