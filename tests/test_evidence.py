@@ -84,11 +84,24 @@ def test_samples_are_the_newest(spark, cluster, catalog):
     samples = ev.signal_samples(events, cluster, catalog, 3)
     got = sorted((r.ord, r.timestamp) for r in samples.collect())
     assert got == [(0, before(5)), (1, before(10)), (2, before(15))]
-    seen = ev.pools_seen(samples.withColumn("pool", F.lit(None).cast("string"))).orderBy("rank").collect()
-    assert [(r.pool, r.n) for r in seen] == [("Pool p1", 2), ("Pool p0", 1)]
     assert ev.limit_samples(samples, 1).count() == 1
 
 
+def test_samples_and_pools_follow_the_cluster_pool(spark, cluster, catalog):
+    # the newest events are of another pool than the cluster's
+    events = logs(spark, ("CLONE", 4, 40, "p0"), ("PUSH", 1, 300, "p0"), ("CLONE", 9, 5, "p1"), ("NOT_READY", 2, 6, "p2"))
+    scoped = cluster.withColumn("pool", F.lit("p0"))
+    both = {name: ev.signal_samples(events, c, catalog, 3).collect() for name, c in (("own", scoped), ("all", cluster))}
+    assert {r.desktop_id for r in both["own"]} == {"p0"} and len(both["own"]) == 4
+    assert {r.desktop_id for r in both["all"] if r.signal_key == "vdi.error"} == {"p1"}
+    counted = {(r.name, r.pool, r.n) for r in ev.pool_counts(events, cluster, catalog).collect()}
+    assert counted == {("p0", "Pool p0", 5), ("p1", "Pool p1", 9), ("p2", "Pool p2", 2)}
+    own = ev.pool_counts(events, scoped, catalog)
+    assert [(r.pool, r.n) for r in ev.pools_seen(own).collect()] == [("Pool p0", 5)]
+    seen = ev.pools_seen(ev.pool_counts(events, cluster, catalog), 2).orderBy("rank").collect()
+    assert [(r.pool, r.n) for r in seen] == [("Pool p1", 9), ("Pool p0", 5)]
+
+
 def changes(spark, *rows):
     base = {"description_text": None, "status": "Closed", "risk": "Low", "impacted_services": [], "updated_at": "2026-09-30T08:00:00Z"}
     return ev.parsed_changes(spark.createDataFrame([{**base, **r} for r in rows], schemas.CHANGES))
@@ -146,7 +159,7 @@ def test_vendor_status(spark, cluster):
 
 def test_metric_picks_and_elevation(spark, cluster, one):
     picks = one([["engage", "slow"], ["vdi"], ["unrelated"], ["engage", "vdi"]], lambda t: F.transform(ev.pick_metrics(t), lambda m: m["metric_key"]), "array<string>")
-    assert picks[0] == picks[3] == ["sql.lock_waits", "sql.procs_blocked", "sql.query_time"]
+    assert picks[0] == ["sql.lock_waits", "sql.procs_blocked", "sql.query_time"] and picks[3] == picks[0] + picks[1]
     assert picks[1] == ["vdi.host_mem", "vdi.cpu_latency"] and picks[2] == ["sql.lock_waits", "vdi.host_mem"]
     values = [("sqlserver.stats.lock_waits", before(20), 6.0), ("sqlserver.stats.lock_waits", before(80), 1.0),
               ("vsphere.mem.usage.avg", before(10), 92.0), ("vsphere.mem.usage.avg", before(70), 91.0)]

@@ -33,39 +33,49 @@ def expected(df):
 
 def test_gold_groups_and_round_trip(spark, docs, tmp_path):
     assert sorted(r["size"] for r in gold.cluster_by_resolution(docs).collect()) == [1, 2]
-    items = gold.build_gold(docs, n=10)
-    assert expected(items) == {101: [101, 102], 102: [101, 102], 103: [103]}
-    assert expected(gold.build_gold(docs, n=10, include_mates=False)) == {101: [101], 102: [102], 103: [103]}
+    items, members = gold.build_gold(docs, n=10), gold.gold_members(docs)
+
+    def rows(items_):
+        return sorted(tuple(r) for r in gold.expected_rows(items_, members).collect())
+
+    assert rows(items) == [(101, 101), (101, 102), (102, 101), (102, 102), (103, 103)]
+    alone = gold.build_gold(docs, n=10, include_mates=False)
+    assert {r.query_ticket_id: (r.fix_key, r.expected_count) for r in alone.collect()} == {i: (f"ticket:{i}", 1) for i in (101, 102, 103)}
     s = gold.gold_summary(items).first()
     assert (s["items"], s.single_fix, s.with_mates) == (3, 1, 2)
     records.write_gold(items, str(tmp_path / "g"))
-    assert expected(records.read_gold(spark, str(tmp_path / "g"))) == expected(items)
+    assert rows(records.read_gold(spark, str(tmp_path / "g"))) == rows(items)
     (tmp_path / "h").mkdir()
     (tmp_path / "h" / "x.json").write_text('{"query_ticket_id": 1, "query_text": "q"}\n')
     bare = records.read_gold(spark, str(tmp_path / "h")).first()
     assert (bare.expected_ticket_ids, bare.store, bare.labeled) == ([], [], False)
 
 
-def test_large_fix_groups_are_named_not_listed(spark, docs):
-    items = gold.build_gold(docs, n=0, inline_limit=1)
-    by_id = {r.query_ticket_id: r for r in items.collect()}
-    assert by_id[101].expected_ticket_ids is None and by_id[101].fix_key == by_id[102].fix_key
-    assert by_id[101].expected_count == 2 and by_id[103].expected_ticket_ids == [103]
+def test_groups_have_one_shape_whatever_their_size(spark):
+    texts = [(i, "s", "the same fix, for the large group" if i < 300 else "a fix of its own, for this ticket", "c", []) for i in range(301)]
+    many = spark.createDataFrame(texts, "ticket_id bigint, symptom_text string, resolution_text string, category string, store array<string>")
+    items = gold.build_gold(many.withColumn("sub_category", F.lit(None).cast("string")), n=0).collect()
+    assert {(r.expected_ticket_ids, r.expected_count, len(r.fix_key)) for r in items} == {(None, 300, 64), (None, 1, 64)}
+
+
+def test_hand_labels_and_groups_are_judged_alike(spark, docs):
+    named, members = gold.build_gold(docs, n=0), gold.gold_members(docs)
+    lists = gold.expected_rows(named, members).groupBy("query_ticket_id").agg(F.collect_list("ticket_id").alias("expected_ticket_ids"))
+    listed = named.drop("expected_ticket_ids").join(lists, "query_ticket_id")
     hits = spark.createDataFrame([(101, 1, 102), (102, 1, 999), (102, 2, 101), (103, 1, 103)], HITS)
-    listed, named = gold.build_gold(docs, n=0), gold.fix_members(docs)
     for loo in (True, False):
         a = gold.evaluate_retrieval(listed, hits, 3, loo).collect()
-        assert a == gold.evaluate_retrieval(items, hits, 3, loo, named).collect()
+        assert a == gold.evaluate_retrieval(named, hits, 3, loo, members).collect()
 
 
 def test_evaluation_modes(spark, docs):
-    items = gold.build_gold(docs, n=10)
+    items, members = gold.build_gold(docs, n=10), gold.gold_members(docs)
     hits = spark.createDataFrame([(101, 1, 102), (101, 2, 999), (102, 1, 101), (102, 2, 998), (103, 1, 103)], HITS)
-    loo = gold.evaluate_retrieval(items, hits, 3, True).first()
+    loo = gold.evaluate_retrieval(items, hits, 3, True, members).first()
     assert (loo["items"], loo.evaluated, loo.hit_at_1, loo.hit_at_k, loo.mrr, loo.miss_count) == (3, 2, 1.0, 1.0, 1.0, 0)
-    integrity = gold.evaluate_retrieval(items, hits, 3, False).first()
+    integrity = gold.evaluate_retrieval(items, hits, 3, False, members).first()
     assert (integrity.evaluated, integrity.hit_at_k, integrity.recall_at_k) == (3, 1.0, round(2 / 3, 4))
-    assert gold.quality_gate(gold.evaluate_retrieval(items, hits.filter("rank > 1"), 3, True)).first().passed is False
+    assert gold.quality_gate(gold.evaluate_retrieval(items, hits.filter("rank > 1"), 3, True, members)).first().passed is False
 
 
 def test_misses(spark):
@@ -73,7 +83,8 @@ def test_misses(spark):
     items = spark.createDataFrame([(101, "q" * 200, [102], 1, None), (1, "x", [], 0, None), (103, "y", [103], 1, None)], row)
     none = spark.createDataFrame([(101, 1, 5), (101, 2, 6)], HITS)
     loo = gold.eval_misses(items, none, 3, True).collect()
-    assert [(r.ticket_id, len(r.query), r.expected, r.got) for r in loo] == [(101, 160, [102], [5, 6])]
+    assert [(r.ticket_id, len(r.query), r.expected, r.got) for r in loo] == [(101, 200, [102], [5, 6])]
+    assert len(gold.eval_misses(items, none, 3, True, query_chars=160).first().query) == 160
     integrity = {r.ticket_id: r.reason for r in gold.eval_misses(items, none, 3, False).collect()}
     assert integrity == {101: None, 103: None, 1: "no_expected_ids"}
     report = gold.evaluate_retrieval(items, none, 3, False).first()
@@ -222,7 +233,7 @@ def test_hybrid_fuses_and_withholds_self(spark, docs):
     assert all(r.query_id == r.ticket_id for r in own) and round(own[0].score, 9) == round(2 / 61, 9)
     items = gold.build_gold(docs, n=0)
     report = gold.score_search(items, lambda qs, loo_, k: search.hybrid_search(
-        docs_v, qs.join(q.select("query_id", "vector"), "query_id"), top=k, exclude_self=loo_), 3, True).first()
+        docs_v, qs.join(q.select("query_id", "vector"), "query_id"), top=k, exclude_self=loo_), 3, True, gold.gold_members(docs)).first()
     assert (report.evaluated, report.hit_at_1) == (2, 1.0)
 
 

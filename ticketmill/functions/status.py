@@ -27,16 +27,16 @@ def _segment_status(text: Column) -> Column:
 
 
 def parse_status_banner(html: Column) -> Column:
-    """``struct(status, checked)``: the heading banner first, else the page's start."""
+    """``struct(status, checked)``: the heading banner first, else the whole page's text."""
     page = F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENT, "")
     banner = _segment_status(strip_html(F.regexp_extract(page, _BANNER, 1)))
-    head = _segment_status(F.substring(strip_html(page), 1, 400))
+    body = _segment_status(strip_html(page))
     checked = F.coalesce(
         blank_to_null(F.regexp_extract(page, _CHECKED, 1)),
         blank_to_null(F.regexp_extract(page, _CHECKED_TEXT, 1)),
     )
     return F.struct(
-        F.when(banner != "unknown", banner).otherwise(head).alias("status"),
+        F.when(banner != "unknown", banner).otherwise(body).alias("status"),
         checked.alias("checked"),
     )
 

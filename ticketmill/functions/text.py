@@ -118,10 +118,10 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def resolution_signature(text: Column) -> Column:
-    """Word characters only, lower case, first 400: equal fixes share it."""
+def resolution_signature(text: Column, chars: int | None = None) -> Column:
+    """Word characters only, lower case: equal fixes share it. ``chars`` compares only so many of them."""
     squeezed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", "")
-    return F.substring(squeezed, 1, 400)
+    return squeezed if chars is None else F.substring(squeezed, 1, chars)
 
 
 def blank_to_null(text: Column) -> Column:

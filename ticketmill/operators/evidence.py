@@ -160,17 +160,11 @@ def signal_counts(
     cluster has a resolved ``pool``, events of the pool-scoped streams must
     carry that pool id.
     """
-    tagged = tag_signals(events, catalog)
-    scoped = F.col("stream").isin(*scoped_streams)
-    pools = F.array(F.lit("*"), F.when(scoped, F.col("desktop_id")))
-    points = tagged.select(
-        "signal_key", F.unix_micros("timestamp").alias("at"), F.explode(F.array_compact(pools)).alias("scope")
+    points = _with_scope(tag_signals(events, catalog), scoped_streams).select(
+        "signal_key", F.unix_micros("timestamp").alias("at"), "scope"
     )
     signals = catalog.select(F.col("key").alias("signal_key"), "role", "stream").distinct()
-    pool = F.col("pool") if "pool" in clusters.columns else F.lit(None).cast("string")
-    probes = _each_signal(clusters.withColumn("_pool", pool), signals).withColumn(
-        "scope", F.when(scoped, F.coalesce("_pool", F.lit("*"))).otherwise("*")
-    )
+    probes = _probes(clusters, catalog, scoped_streams)
     look = F.when(F.col("role") == "cause", cause_hours).otherwise(effect_hours) * F.lit(HOUR)
     start, end = F.unix_micros("window_start") - look, F.unix_micros("window_end") + 1
     span = F.unix_micros("window_end") - start
@@ -224,34 +218,74 @@ def sample_log_fields(tagged: DataFrame, display_fields: Sequence[str] = ("deskt
     )
 
 
+def _with_scope(tagged: DataFrame, scoped_streams: Sequence[str]) -> DataFrame:
+    """Each event once for all clusters and, in a pool-scoped stream, once for its pool."""
+    own = F.when(F.col("stream").isin(*scoped_streams), F.col("desktop_id"))
+    return tagged.withColumn("scope", F.explode(F.array_compact(F.array(F.lit("*"), own))))
+
+
+def _probes(clusters: DataFrame, catalog: DataFrame, scoped_streams: Sequence[str]) -> DataFrame:
+    """Every cluster with every signal, and the scope its events must have."""
+    signals = catalog.select(F.col("key").alias("signal_key"), "role", "stream").distinct()
+    pool = F.col("pool") if "pool" in clusters.columns else F.lit(None).cast("string")
+    scope = F.when(F.col("stream").isin(*scoped_streams), F.coalesce("_pool", F.lit("*"))).otherwise("*")
+    return _each_signal(clusters.withColumn("_pool", pool), signals).withColumn("scope", scope)
+
+
 def signal_samples(
     events: DataFrame, clusters: DataFrame, catalog: DataFrame, n: int = 8,
     cause_hours: int = D.CAUSE_LOOKBACK_HOURS, effect_hours: int = D.EFFECT_LOOKBACK_HOURS,
+    scoped_streams: Sequence[str] = ("horizon",),
 ) -> DataFrame:
     """The newest ``n`` events of each (cluster, signal) window, numbered by ``ord``.
 
-    An event's position in its signal's time order is an exact running count, so
-    a cluster asks for ``n`` positions by equality instead of pairing with every
-    event in its window.
+    The events are those that :func:`signal_counts` counts: of the cluster's pool
+    where it has one. An event's position in its signal's time order, within its
+    pool and overall, is an exact running count, so a cluster asks for ``n``
+    positions by equality instead of pairing with every event in its window.
     """
-    tagged = tag_signals(events, catalog).withColumn("at", F.unix_micros("timestamp"))
-    placed = ordered.rank_in_key(tagged, ["signal_key"], "at", [F.col("event_id")], "pos")
-    signals = catalog.select(F.col("key").alias("signal_key"), "role", "stream").distinct()
+    tagged = _with_scope(tag_signals(events, catalog), scoped_streams).withColumn("at", F.unix_micros("timestamp"))
+    placed = ordered.rank_in_key(tagged, ["signal_key", "scope"], "at", [F.col("event_id")], "pos")
+    probes = _probes(clusters, catalog, scoped_streams)
     look = F.when(F.col("role") == "cause", cause_hours).otherwise(effect_hours) * F.lit(HOUR)
-    probes = _each_signal(clusters, signals)
     start, end = F.unix_micros("window_start") - look, F.unix_micros("window_end") + 1
     floor = F.lit(-(2**62))
     upto = ordered.range_counts(
-        tagged.select("signal_key", "at"), probes, ["signal_key"], "at", "cluster_id",
+        tagged.select("signal_key", "scope", "at"), probes, ["signal_key", "scope"], "at", "cluster_id",
         {"below": (floor, start), "upto": (floor, end)},
     )
     wanted = upto.filter("upto > below").select(
-        "cluster_id", "signal_key",
+        "cluster_id", "signal_key", "scope",
         F.posexplode(
             F.sequence(F.col("upto"), F.greatest(F.col("below") + 1, F.col("upto") - n + 1), F.lit(-1).cast("long"))
         ).alias("ord", "pos"),
     )
-    return wanted.join(placed.drop("at"), ["signal_key", "pos"]).drop("pos")
+    return wanted.join(placed.drop("at"), ["signal_key", "scope", "pos"]).drop("pos", "scope")
+
+
+def pool_counts(
+    events: DataFrame, clusters: DataFrame, catalog: DataFrame,
+    cause_hours: int = D.CAUSE_LOOKBACK_HOURS, effect_hours: int = D.EFFECT_LOOKBACK_HOURS,
+    scoped_streams: Sequence[str] = ("horizon",),
+) -> DataFrame:
+    """``(cluster_id, name, pool, n)``: all events in the cluster's windows by pool id and pool name.
+
+    Counted per pool at the ends of each window, so no event is paired with a
+    cluster; a cluster with a pool looks at that pool alone in scoped streams.
+    """
+    keys = ["signal_key", "pool_id", "pool_name"]
+    points = tag_signals(events, catalog).filter("desktop_id IS NOT NULL OR desktop IS NOT NULL").select(
+        "signal_key", F.coalesce("desktop_id", F.lit("")).alias("pool_id"), F.coalesce("desktop", F.lit("")).alias("pool_name"),
+        F.unix_micros("timestamp").alias("at"),
+    )
+    known = points.select(*keys).distinct()
+    probes = _probes(clusters, catalog, scoped_streams).join(known, "signal_key").filter("scope = '*' OR scope = pool_id")
+    look = F.when(F.col("role") == "cause", cause_hours).otherwise(effect_hours) * F.lit(HOUR)
+    start, end = F.unix_micros("window_start") - look, F.unix_micros("window_end") + 1
+    counted = ordered.range_counts(points, probes, keys, "at", "cluster_id", {"n": (start, end)})
+    return counted.filter("n > 0").groupBy("cluster_id", "pool_id", "pool_name").agg(F.sum("n").alias("n")).select(
+        "cluster_id", F.nullif("pool_id", F.lit("")).alias("name"), F.nullif("pool_name", F.lit("")).alias("pool"), "n"
+    )
 
 
 def limit_samples(samples: DataFrame, n: int) -> DataFrame:
@@ -259,34 +293,29 @@ def limit_samples(samples: DataFrame, n: int) -> DataFrame:
     return samples.filter(F.col("ord") < n)
 
 
-def pools_seen(samples: DataFrame, top: int = 3) -> DataFrame:
-    """Most frequent pools among a cluster's samples; ties to the one seen first."""
-    counted = (
-        samples.withColumn("pool", F.coalesce("desktop", "pool") if "pool" in samples.columns else F.col("desktop"))
-        .filter("pool IS NOT NULL")
-        .groupBy("cluster_id", "pool")
-        .agg(F.count("*").alias("n"), F.min(F.struct("signal_key", "ord")).alias("seen"))
-    )
-    order = Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), "seen")
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
+def pools_seen(counted: DataFrame, top: int = 3) -> DataFrame:
+    """Most frequent pools among all events of a cluster (:func:`pool_counts`); ties in order of name."""
+    named = counted.withColumn("pool", F.coalesce("pool", "name")).groupBy("cluster_id", "pool").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), "pool")
+    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
         "cluster_id", "rank", "pool", "n"
     )
 
 
-def aligned_pools(samples: DataFrame, hints: DataFrame) -> DataFrame:
-    """Distinct pool names among the samples that contain the cluster's machine hint."""
+def aligned_pools(named: DataFrame, hints: DataFrame) -> DataFrame:
+    """Distinct pool names and ids among a cluster's events that contain its machine hint.
+
+    ``named`` has ``cluster_id, name, pool``, as :func:`pool_counts` gives them.
+    """
     names = F.array_compact(F.array("name", "pool"))
+    asked = hints.filter("pool_hint IS NOT NULL").select("cluster_id", "pool_hint")
     matched = (
-        samples.select("cluster_id", "signal_key", "ord", F.posexplode(names).alias("i", "pool_name"))
-        .join(hints.select("cluster_id", "pool_hint"), "cluster_id")
+        named.select("cluster_id", F.explode(names).alias("pool_name")).join(asked, "cluster_id")
         .filter(F.contains(F.lower("pool_name"), F.lower("pool_hint")))
-        .groupBy("cluster_id", "pool_name").agg(F.min(F.struct("signal_key", "ord", "i")).alias("seen"))
-        .groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("seen", "pool_name"))).alias("l"))
-        .select("cluster_id", F.array_join(F.transform("l", lambda e: e["pool_name"]), ", ").alias("aligned"))
+        .groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set("pool_name")), ", ").alias("aligned"))
     )
-    return (
-        hints.filter("pool_hint IS NOT NULL").join(matched, "cluster_id", "left")
-        .select("cluster_id", "pool_hint", F.coalesce("aligned", F.lit("none matched")).alias("aligned"))
+    return asked.join(matched, "cluster_id", "left").select(
+        "cluster_id", "pool_hint", F.coalesce("aligned", F.lit("none matched")).alias("aligned")
     )
 
 
@@ -414,12 +443,12 @@ def vendor_status_signal(clusters: DataFrame, pages: DataFrame) -> DataFrame:
 
 # --- metrics ----------------------------------------------------------------
 def pick_metrics(
-    words: Column, metrics: Sequence[D.Metric] = D.METRICS, flavour_words: dict = D.METRIC_WORDS, limit: int = 3
+    words: Column, metrics: Sequence[D.Metric] = D.METRICS, flavour_words: dict = D.METRIC_WORDS, limit: int | None = None
 ) -> Column:
     """Metric definitions for a cluster's keywords.
 
     Those of every flavour a word of which occurs in the joined keywords, else
-    the first of each flavour; at most ``limit``.
+    the first of each flavour; at most ``limit``, if one is given.
     """
     blob = F.lower(F.concat_ws(" ", F.coalesce(words, F.array().cast("array<string>"))))
 
@@ -443,7 +472,8 @@ def pick_metrics(
         picked.append(F.when(named, listed([m for m in metrics if m.flavour == flavour])).otherwise(none))
     chosen = F.concat(*picked)
     firsts = [next(m for m in metrics if m.flavour == f) for f in flavour_words]
-    return F.slice(F.when(F.size(chosen) > 0, chosen).otherwise(listed(firsts)), 1, limit)
+    found = F.when(F.size(chosen) > 0, chosen).otherwise(listed(firsts))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def metric_elevation(points: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -7,16 +7,12 @@ its group, and "is a mate" is equality of keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.functions.once import compute_once
 from ticketmill.functions.text import resolution_signature
 
-# Ids are listed inside a gold item up to this group size; larger groups are
-# named by their key and judged through the member table.
-INLINE_LIMIT = 200
-
 
 def fix_members(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """``(fix_key, ticket_id)`` for every document with a long enough signature."""
@@ -53,54 +49,53 @@ def sample_gold_queries(docs: DataFrame, n: int = 50, seed: int = 42) -> DataFra
     return both.orderBy(draw, "ticket_id").limit(n)
 
 
-def build_gold(
-    docs: DataFrame, n: int = 50, seed: int = 42, include_mates: bool = True,
-    inline_limit: int = INLINE_LIMIT,
-) -> DataFrame:
+def gold_members(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """``(fix_key, ticket_id)`` of every document; one with a short signature is a group of its own."""
+    ids = docs.select(F.col("ticket_id").cast("long").alias("ticket_id"), "resolution_text")
+    sig = compute_once(ids, ["ticket_id"], {"_sig": resolution_signature(F.col("resolution_text"))})
+    return sig.select(_fix_key(min_chars).alias("fix_key"), "ticket_id")
+
+
+def _fix_key(min_chars: int) -> Column:
+    own = F.concat(F.lit("ticket:"), F.col("ticket_id").cast("string"))
+    return F.when(F.length("_sig") >= min_chars, F.sha2("_sig", 256)).otherwise(own)
+
+
+def build_gold(docs: DataFrame, n: int = 50, seed: int = 42, include_mates: bool = True) -> DataFrame:
     """Review-ready gold items; groups are formed over all documents.
 
-    ``expected_ticket_ids`` lists the document and its mates in ascending order
-    when the group has at most ``inline_limit`` members. For a larger group it
-    is null and ``fix_key`` stands for the members. ``expected_count`` is exact
-    in both cases.
+    Every item names its group by ``fix_key`` and gives its size, itself
+    included; the members are the rows of :func:`gold_members`, so a group may
+    have any size. ``expected_ticket_ids`` is for hand-labelled items and null
+    here. Without mates an item expects itself alone.
     """
-    sampled = sample_gold_queries(docs, n, seed).select(
-        F.col("ticket_id").cast("long").alias("query_ticket_id"),
-        F.col("symptom_text").alias("query_text"),
+    sampled = compute_once(
+        sample_gold_queries(docs, n, seed).withColumn("ticket_id", F.col("ticket_id").cast("long")),
+        ["ticket_id", "symptom_text", "category", "sub_category", "store"],
+        {"_sig": resolution_signature(F.col("resolution_text"))},
+    )
+    alone = F.concat(F.lit("ticket:"), F.col("ticket_id").cast("string"))
+    items = sampled.select(
+        F.col("ticket_id").alias("query_ticket_id"), F.col("symptom_text").alias("query_text"),
+        F.lit(None).cast("array<bigint>").alias("expected_ticket_ids"),
         "category", "sub_category", F.coalesce("store", F.array().cast("array<string>")).alias("store"),
-        F.lit(False).alias("labeled"),
-        resolution_signature(F.col("resolution_text")).alias("_sig"),
+        F.lit(False).alias("labeled"), (_fix_key(20) if include_mates else alone).alias("fix_key"),
     )
-    own = F.array("query_ticket_id")
     if not include_mates:
-        return sampled.drop("_sig").withColumns(
-            {"expected_ticket_ids": own, "fix_key": F.lit(None).cast("string"),
-             "expected_count": F.lit(1).cast("long")}
-        )
-    keyed = sampled.withColumn(
-        "_key", F.when(F.length("_sig") >= 20, F.sha2("_sig", 256))
-    ).drop("_sig")
-    wanted = keyed.select(F.col("_key").alias("fix_key")).distinct()
-    members = fix_members(docs).join(wanted, "fix_key", "left_semi")
-    sizes = members.groupBy("fix_key").agg(F.count("*").alias("_size"))
-    # at most inline_limit ids per group leave each map task; longer lists are not used
-    first = Window.partitionBy("fix_key").orderBy("ticket_id")
-    ids = (
-        members.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= inline_limit)
-        .groupBy("fix_key").agg(F.array_sort(F.collect_set("ticket_id")).alias("_ids"))
-    )
-    info = sizes.join(ids, "fix_key").withColumnRenamed("fix_key", "_key")
-    joined = keyed.join(info, "_key", "left")
-    big = F.col("_size") > inline_limit
-    return joined.select(
-        "query_ticket_id", "query_text",
-        F.when(big, F.lit(None)).otherwise(F.coalesce("_ids", own)).alias("expected_ticket_ids"),
-        "category", "sub_category", "store", "labeled",
-        F.when(big, F.col("_key")).alias("fix_key"),
-        F.coalesce("_size", F.lit(1)).alias("expected_count"),
+        return items.withColumn("expected_count", F.lit(1).cast("long"))
+    sizes = fix_members(docs).groupBy("fix_key").agg(F.count("*").alias("_size"))
+    return items.join(sizes, "fix_key", "left").select(
+        *items.columns, F.coalesce("_size", F.lit(1)).cast("long").alias("expected_count")
     )
 
 
+def expected_rows(gold: DataFrame, members: DataFrame) -> DataFrame:
+    """``(query_ticket_id, ticket_id)``: what each item expects, one row each."""
+    listed = gold.select("query_ticket_id", F.explode("expected_ticket_ids").alias("ticket_id"))
+    named = gold.where("expected_ticket_ids IS NULL").select("query_ticket_id", "fix_key").join(members, "fix_key")
+    return listed.unionByName(named.select("query_ticket_id", "ticket_id")).distinct()
+
+
 def gold_summary(gold: DataFrame) -> DataFrame:
     single = F.col("expected_count") == 1
     return gold.agg(
@@ -154,8 +149,8 @@ def evaluate_retrieval(
 ) -> DataFrame:
     """One report row: items, evaluated, hit@1, hit@k, recall@k, MRR, misses.
 
-    ``hits`` has ``query_ticket_id, rank, ticket_id``. ``members`` is needed
-    only when the gold set names groups by ``fix_key``.
+    ``hits`` has ``query_ticket_id, rank, ticket_id``. ``members`` (:func:`gold_members`)
+    is needed for items that name their group by ``fix_key``.
     """
     per_item = _per_item(_graded(gold, hits, k, exclude_self, members))
     graded = F.col("n_expected") > 0
@@ -182,9 +177,13 @@ def evaluate_retrieval(
 
 def eval_misses(
     gold: DataFrame, hits: DataFrame, k: int = 3, exclude_self: bool = True,
-    members: DataFrame | None = None,
+    members: DataFrame | None = None, query_chars: int | None = None,
 ) -> DataFrame:
-    """Items whose top k holds no expected ticket, and ungradeable integrity items."""
+    """Items whose top k holds no expected ticket, and ungradeable integrity items.
+
+    ``expected`` lists what a hand-labelled item expects; other items name their
+    group by ``fix_key``. ``query_chars`` shortens the shown query.
+    """
     graded = _graded(gold, hits, k, exclude_self, members)
     per_item = _per_item(graded).filter("first_rank IS NULL AND n_expected > 0")
     got = (
@@ -199,8 +198,8 @@ def eval_misses(
         .join(got, "query_ticket_id", "left")
         .select(
             F.col("query_ticket_id").alias("ticket_id"),
-            F.substring("query_text", 1, 160).alias("query"),
-            F.array_sort(F.array_distinct(listed)).alias("expected"),
+            (F.col("query_text") if query_chars is None else F.substring("query_text", 1, query_chars)).alias("query"),
+            F.array_sort(F.array_distinct(listed)).alias("expected"), "fix_key",
             F.coalesce(F.transform("_got", lambda g: g["hit_id"]), F.array().cast("array<bigint>")).alias("got"),
             F.lit(None).cast("string").alias("reason"),
         )
@@ -210,7 +209,7 @@ def eval_misses(
     empty = gold.filter("size(expected_ticket_ids) = 0").select(
         F.col("query_ticket_id").alias("ticket_id"),
         F.lit(None).cast("string").alias("query"),
-        F.lit(None).cast("array<bigint>").alias("expected"),
+        F.lit(None).cast("array<bigint>").alias("expected"), "fix_key",
         F.lit(None).cast("array<bigint>").alias("got"),
         F.lit("no_expected_ids").alias("reason"),
     )

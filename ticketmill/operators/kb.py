@@ -229,8 +229,14 @@ def build_documents(
     tickets: DataFrame, convs: DataFrame, links: DataFrame | None = None,
     min_symptom_chars: int = D.MIN_SYMPTOM_CHARS, drop_secret_only: bool = True, **projection,
 ) -> DataFrame:
-    """Tickets that should be indexed, as knowledge documents."""
-    candidates = build_candidates(tickets, convs, min_symptom_chars, drop_secret_only)
+    """Tickets that should be indexed, as knowledge documents.
+
+    Tickets that are not terminal leave before the join, and only conversations
+    of the others are ranked and cleaned.
+    """
+    ready = tickets.filter(F.col("id").isNotNull() & is_terminal_status(F.col("status")))
+    own = convs.join(ready.select(F.col("id").alias("ticket_id")), "ticket_id", "left_semi")
+    candidates = build_candidates(ready, own, min_symptom_chars, drop_secret_only)
     return project_documents(candidates, links, **projection)
 
 

@@ -237,12 +237,15 @@ def rerank_topk(hits: DataFrame, top: int, age: str = "age_days") -> DataFrame:
     return top_per_query(weighted.drop("rank"), top)
 
 
-def result_projection(hits: DataFrame) -> DataFrame:
-    """Output columns with shortened texts and rounded score."""
+def result_projection(hits: DataFrame, symptom_chars: int | None = None, resolution_chars: int | None = None) -> DataFrame:
+    """Output columns with rounded score; texts are whole unless a length is given."""
+    def shown(name: str, chars: int | None) -> Column:
+        text = F.coalesce(name, F.lit(""))
+        return text if chars is None else F.substring(text, 1, chars)
+
     return hits.select(
         "query_id", "rank", "ticket_id", "display_id", "subject",
-        F.substring(F.coalesce("symptom_text", F.lit("")), 1, 400).alias("symptom"),
-        F.substring(F.coalesce("resolution_text", F.lit("")), 1, 1200).alias("resolution"),
+        shown("symptom_text", symptom_chars).alias("symptom"), shown("resolution_text", resolution_chars).alias("resolution"),
         "resolution_source", "category", "sub_category", "store", "apps", "error_codes", "age_days",
         F.round("score", 4).alias("score"),
         F.coalesce("linked_itglue_urls", F.array().cast("array<string>")).alias("itglue_urls"),
@@ -253,6 +256,7 @@ def result_projection(hits: DataFrame) -> DataFrame:
 def search_kb(
     docs: DataFrame, queries: DataFrame, top: int = 3, keep: Column | None = None,
     boosts: DataFrame | None = None, recency: str = "age_days", now: Column | None = None,
+    symptom_chars: int | None = None, resolution_chars: int | None = None,
 ) -> DataFrame:
     """Prior fixes for a batch of symptom queries.
 
@@ -265,4 +269,4 @@ def search_kb(
     if recency == "since_closed":
         age = "_since"
         found = found.withColumn(age, F.date_diff(now if now is not None else F.current_timestamp(), "closed_at"))
-    return result_projection(rerank_topk(join_boosts(found, boosts), top, age))
+    return result_projection(rerank_topk(join_boosts(found, boosts), top, age), symptom_chars, resolution_chars)

@@ -64,7 +64,7 @@ def embed_documents(
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(-1, dim)
+    rows = flat.reshape(-1, max(dim, 1))
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
@@ -126,24 +126,30 @@ def _query_arrays(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def knn(docs: DataFrame, queries: DataFrame, k: int, vector: str = "symptom_vector",
-        broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        broadcast_bytes: int = BROADCAST_BYTES, dim: int | None = None) -> DataFrame:
     """Exact cosine k-NN: ``(query_id, ticket_id, score, rank)``.
 
     The size of the query matrix is measured first. A small one goes to every
     task, which streams its documents past it and emits k rows per query. A
     large one is cut into blocks that meet blocks of documents in co-grouped
     tasks of bounded size.
+
+    Only vectors of width ``dim`` (by default the widest of the queries) without
+    a null take part, on both sides; a query without one has no hits.
     """
     exclude = F.col("exclude_id") if "exclude_id" in queries.columns else F.lit(None)
     q = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"),
         F.coalesce(exclude.cast("long"), F.lit(-(2**63))).alias("exclude_id"),
     )
-    shape = q.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    n, dim = shape["n"], shape["dim"] or 0
-    d = docs.filter(F.size(vector) == dim).select(
+    if dim is None:
+        dim = q.agg(F.max(F.size("vector"))).first()[0] or 0
+    whole = (F.size("vector") == max(dim, 0)) & ~F.exists("vector", lambda x: x.isNull())
+    q = q.filter(F.col("query_id").isNotNull() & whole)
+    n = q.count()
+    d = docs.select(
         F.col("ticket_id").cast("long").alias("ticket_id"), F.col(vector).cast("array<float>").alias("vector")
-    )
+    ).filter(F.col("ticket_id").isNotNull() & whole)
     if n * dim * 8 <= broadcast_bytes:
         partial = _knn_broadcast(d, q, k, dim)
     else:

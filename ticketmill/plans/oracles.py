@@ -191,13 +191,13 @@ SAMPLES = SIGNALS + """,
   picked AS (
     SELECT s.cluster_id, s.signal_key, l.event_id, l.desktop, l.desktop_id,
       row_number() OVER (PARTITION BY s.cluster_id, s.signal_key ORDER BY l.ts DESC, l.event_id DESC) - 1 AS ord
-    FROM win s JOIN logs l ON l.signal_key = s.signal_key AND l.ts >= s.lo AND l.ts <= s.window_end),
+    FROM win s JOIN logs l ON l.signal_key = s.signal_key AND l.ts >= s.lo AND l.ts <= s.window_end
+      AND (s.pool IS NULL OR l.desktop_id = s.pool)),
   samples AS (SELECT * FROM picked WHERE ord < 5)"""
 
 POOLS = SAMPLES + """,
-  pool_n AS (SELECT cluster_id, desktop AS pool, count(*) AS n, min(signal_key || lpad(ord::VARCHAR, 6, '0')) AS seen
-    FROM samples GROUP BY cluster_id, desktop),
-  pools AS (SELECT cluster_id, pool, n, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, seen) AS rank
+  pool_n AS (SELECT cluster_id, desktop AS pool, count(*) AS n FROM picked GROUP BY cluster_id, desktop),
+  pools AS (SELECT cluster_id, pool, n, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, pool) AS rank
     FROM pool_n QUALIFY rank <= 3)"""
 
 FB = """
@@ -215,11 +215,9 @@ FB = """
     round(1 + 0.4::DOUBLE * success_rate + least(accepted / 10, 0.1::DOUBLE), 4) AS boost FROM stats WHERE accepted > 0)"""
 
 SIG = r"""
-  sig AS (SELECT doc_id, lang, left(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g'), 400) AS s FROM documents),
-  grp AS (SELECT sha256(s) AS fix_key, count(*) AS size, min(doc_id) AS first_ticket_id,
-    string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS ids FROM sig WHERE length(s) >= 20 GROUP BY s),
-  gold AS (SELECT s.doc_id, s.lang, CASE WHEN size > 200 THEN '' WHEN size IS NULL THEN s.doc_id::VARCHAR ELSE ids END AS expected,
-    coalesce(size, 1) AS expected_count, CASE WHEN size > 200 THEN fix_key ELSE '' END AS fix_key
+  sig AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g') AS s FROM documents),
+  grp AS (SELECT sha256(s) AS fix_key, count(*) AS size, min(doc_id) AS first_ticket_id FROM sig WHERE length(s) >= 20 GROUP BY s),
+  gold AS (SELECT s.doc_id, s.lang, s.s, coalesce(size, 1) AS expected_count, coalesce(fix_key, 'ticket:' || s.doc_id) AS fix_key
     FROM sig s LEFT JOIN grp g ON length(s.s) >= 20 AND sha256(s.s) = g.fix_key)"""
 
 VECTORS = """
@@ -406,7 +404,7 @@ def _build() -> dict[str, str]:
         "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '1.2.3.' || p_partkey "
         "WHEN p_partkey % 3 = 0 THEN '4.5.6.' || p_partkey ELSE 'none' END AS version FROM part"
     )
-    head = f"lower(left({strip_html('page')}, 400))"
+    head = f"lower({strip_html('page')})"
     q["vendor_status"] = (
         "WITH p AS (SELECT url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS page FROM pages), "
         f"s AS (SELECT url AS vendor, CASE WHEN regexp_matches({head}, 'status is up') THEN 'up' "
@@ -504,13 +502,14 @@ def _build() -> dict[str, str]:
     q["accept_rate_listing"] = f"WITH {FB} SELECT suggested_ticket_id, accept_rate FROM stats ORDER BY suggested_ticket_id LIMIT 10"
     q["signature_groups"] = f"WITH {SIG} SELECT fix_key, size, first_ticket_id FROM grp"
     q["cluster_mates"] = f"WITH {SIG} SELECT doc_id AS ticket_id, g.fix_key, size - 1 AS mates FROM sig s JOIN grp g ON sha256(s.s) = g.fix_key WHERE length(s.s) >= 20"
-    q["gold_set"] = f"WITH {SIG} SELECT doc_id AS query_ticket_id, expected, expected_count, fix_key, lang AS category, false AS labeled FROM gold"
+    q["gold_set"] = f"WITH {SIG} SELECT doc_id AS query_ticket_id, expected_count, fix_key, lang AS category, false AS labeled FROM gold"
+    q["gold_members"] = f"WITH {SIG} SELECT fix_key, doc_id AS ticket_id FROM gold"
     q["gold_sample"] = "SELECT doc_id AS ticket_id FROM documents WHERE text <> '' ORDER BY md5('42:' || doc_id), doc_id LIMIT 50"
     q["gold_summary"] = f"WITH {SIG} SELECT count(*) AS items, count(*) FILTER (expected_count = 1) AS single_fix, count(*) FILTER (expected_count > 1) AS with_mates FROM gold"
     q["eval_loo"] = report(True)
     q["eval_integrity"] = report(False)
     q["eval_misses"] = f"""WITH {vector_hits(True, 3)}
-  SELECT query_id AS ticket_id, 'vector ' || query_id AS query, string_agg(ticket_id::VARCHAR, '|' ORDER BY rank) AS got
+  SELECT query_id AS ticket_id, 'vector ' || query_id AS query, q_label::VARCHAR AS fix_key, string_agg(ticket_id::VARCHAR, '|' ORDER BY rank) AS got
   FROM hits GROUP BY query_id, q_label HAVING count(*) FILTER (label = q_label) = 0"""
     q["relevant_found"] = f"""WITH {vector_hits(True, 3)}
   SELECT query_id AS query_ticket_id, count(*) FILTER (abs(ticket_id - query_id) <= 100)::INT AS n_found FROM hits GROUP BY query_id"""
@@ -529,8 +528,8 @@ def _build() -> dict[str, str]:
   w AS (SELECT p.query_id, p.ticket_id, p.score * CASE WHEN p.ticket_id % 500 <= 30 THEN 1.15::DOUBLE WHEN p.ticket_id % 500 <= 180 THEN 1.05::DOUBLE
       WHEN p.ticket_id % 500 <= 365 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END * coalesce(b.boost, 1.0) AS s
     FROM pool p LEFT JOIN boosts b USING (ticket_id))
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ticket_id) AS rank, ticket_id, left(raw, 400) AS symptom,
-    least(length(raw), 1200) AS resolution_chars, (ticket_id % 500)::INT AS age_days, round(s, 4) AS score, 'bm25-only' AS mode
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ticket_id) AS rank, ticket_id, raw AS symptom,
+    length(raw) AS resolution_chars, (ticket_id % 500)::INT AS age_days, round(s, 4) AS score, 'bm25-only' AS mode
   FROM w JOIN kd USING (ticket_id) QUALIFY rank <= 3"""
     q["trailing_count"] = "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS trailing FROM events"
     q["ticket_ranks"] = "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events"
@@ -622,11 +621,9 @@ def _build() -> dict[str, str]:
   SELECT cluster_id, coalesce(arg_min(name, ord), 'none') AS pool FROM h LEFT JOIN p ON contains(n, hint) GROUP BY cluster_id"""
     q["aligned_pools"] = f"""WITH {SAMPLES},
   h AS (SELECT cluster_id, coalesce(pool, 'pool 1') AS pool_hint FROM clusters),
-  n AS (SELECT cluster_id, signal_key, ord, 0 AS i, desktop_id AS name FROM samples
-    UNION ALL SELECT cluster_id, signal_key, ord, 1, desktop FROM samples),
-  m AS (SELECT cluster_id, name, min(signal_key || lpad(ord::VARCHAR, 6, '0') || i) AS seen FROM n JOIN h USING (cluster_id)
-    WHERE contains(lower(name), pool_hint) GROUP BY cluster_id, name)
-  SELECT h.cluster_id, h.pool_hint, coalesce(string_agg(name, ', ' ORDER BY seen), 'none matched') AS aligned
+  n AS (SELECT cluster_id, desktop_id AS name FROM picked UNION SELECT cluster_id, desktop FROM picked),
+  m AS (SELECT cluster_id, name FROM n JOIN h USING (cluster_id) WHERE contains(lower(name), pool_hint))
+  SELECT h.cluster_id, h.pool_hint, coalesce(string_agg(name, ', ' ORDER BY name), 'none matched') AS aligned
   FROM h LEFT JOIN m USING (cluster_id) GROUP BY h.cluster_id, h.pool_hint"""
     q["cluster_keywords"] = f"WITH {HOURS} SELECT cluster_id, CASE WHEN key = 'error' THEN '' ELSE key END AS keywords FROM clusters"
     q["cluster_pool_hint"] = f"""WITH {HOURS},

@@ -437,11 +437,15 @@ def cluster_mates(spark, sf):
 @query
 def gold_set(spark, sf):
     return gold.build_gold(I.kb_docs(spark, sf), n=0).select(
-        "query_ticket_id", joined(F.col("expected_ticket_ids").cast("array<string>")).alias("expected"),
-        "expected_count", F.coalesce("fix_key", F.lit("")).alias("fix_key"), "category", "labeled",
+        "query_ticket_id", "expected_count", "fix_key", "category", "labeled"
     )
 
 
+@query
+def gold_members(spark, sf):
+    return gold.gold_members(I.kb_docs(spark, sf))
+
+
 @query
 def gold_sample(spark, sf):
     return gold.sample_gold_queries(I.kb_docs(spark, sf), 50, 42).select("ticket_id")
@@ -477,7 +481,7 @@ def eval_integrity(spark, sf):
 def eval_misses(spark, sf):
     items, members = I.vector_gold(spark, sf)
     missed = gold.eval_misses(items, _vector_hits(spark, sf, True), 3, True, members)
-    return missed.select("ticket_id", "query", joined(F.col("got").cast("array<string>")).alias("got"))
+    return missed.select("ticket_id", "query", "fix_key", joined(F.col("got").cast("array<string>")).alias("got"))
 
 
 @query
@@ -693,8 +697,12 @@ def sample_fields(spark, sf):
     return shown.select("signal_key", I.text_time(F.col("timestamp")).alias("at"), "source", "event", "desktop", "user")
 
 
+def _pool_counts(spark, sf):
+    return evidence.pool_counts(I.logs(spark, sf), I.hour_clusters(spark, sf), I.catalog(spark))
+
+
 def _pools(spark, sf):
-    return evidence.pools_seen(_samples(spark, sf))
+    return evidence.pools_seen(_pool_counts(spark, sf))
 
 
 @query
@@ -794,11 +802,8 @@ def resolve_pool(spark, sf):
 
 @query
 def aligned_pools(spark, sf):
-    samples = _samples(spark, sf).select(
-        "cluster_id", "signal_key", "ord", F.col("desktop_id").alias("name"), F.col("desktop").alias("pool")
-    )
     hints = I.hour_clusters(spark, sf).select("cluster_id", F.coalesce("pool", F.lit("pool 1")).alias("pool_hint"))
-    return evidence.aligned_pools(samples, hints)
+    return evidence.aligned_pools(_pool_counts(spark, sf), hints)
 
 
 def _cluster_tickets(spark, sf):

@@ -48,8 +48,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) is a temporary
-    folder used.
+    Only on one machine, where the setting is absent (tests), is a temporary
+    folder used; on a cluster other executors could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return configured or tempfile.mkdtemp(prefix="ticketmill-")
