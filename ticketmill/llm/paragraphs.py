@@ -79,7 +79,7 @@ class Hasher:
         for band in range(BANDS):
             key = np.full(len(sets), band + 1, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
-                key = _mixed(key ^ np.minimum.reduceat(_mixed(every * self.factors[k] + self.offsets[k]), starts))
+                key = _mixed(key ^ np.minimum.reduceat(every * self.factors[k] + self.offsets[k], starts))
             keys[:, band] = key
         return keys.view(np.int64)
 
@@ -191,13 +191,9 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def colliding(found: DataFrame) -> DataFrame:
     """``key`` and ``pid`` of the paragraphs that share a band key with another one."""
     rows = found.where("bands IS NOT NULL").select("pid", F.explode("bands").alias("key"))
-    in_order = Window.partitionBy("key").orderBy("pid")
-    beside = rows.select("key", "pid", F.lag("pid").over(in_order).alias("left"), F.lead("pid").over(in_order).alias("right"))
-    # of equal neighbours the last stays; a bucket's smallest stays if something else follows
-    low, high = F.min("pid").over(Window.partitionBy("key")), F.max("pid").over(Window.partitionBy("key"))
-    return beside.select("key", "pid", "right", low.alias("low"), high.alias("high")).where(
-        "low <> high AND (right IS NULL OR right <> pid)"
-    ).select("key", "pid")
+    bucket = Window.partitionBy("key")
+    seen = rows.select("key", "pid", F.min("pid").over(bucket).alias("low"), F.max("pid").over(bucket).alias("high"))
+    return seen.where("low <> high").select("key", "pid").distinct()
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -99,30 +99,46 @@ def segments(data: bytes, windows: Windows, length: int = LENGTH, anchor: int =
 def suffix_order(codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes up to the end of their segment (code 0), and the keys of their first symbols in that order.
 
-    Prefix doubling from ``FIRST_SYMBOLS`` symbols; equal suffixes stand in order of position.
+    Prefix doubling from ``FIRST_SYMBOLS`` symbols; a suffix's rank is the place of
+    the first one equal so far, and only suffixes that are not alone are sorted
+    again. Suffixes equal to the end stand in order of position.
     """
     n = len(codes)
     place = np.arange(n)
     key = np.zeros(n, np.uint64)
     for k in range(FIRST_SYMBOLS):
         key = (key << np.uint64(9)) | codes[np.minimum(place + k, end)]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = key[order]
-    rank = _ranked(first, order)
+    head = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+    size = np.diff(np.concatenate([head, [n]]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(head, size)
+    active = order[np.repeat(size > 1, size)]
     longest, k = int((end - place).max()) + 1, FIRST_SYMBOLS
-    while k < longest:
-        beyond = np.where(place + k <= end, rank[np.minimum(place + k, n - 1)] + 1, 0)
-        both = rank * (n + 2) + beyond
-        order = np.argsort(both, kind="stable")
-        rank = _ranked(both[order], order)
+    while k < longest and len(active):
+        beyond = np.where(active + k <= end[active], rank[np.minimum(active + k, n - 1)] + 1, 0)
+        active = _refined(order, rank, active, rank[active] * (n + 2) + beyond, n + 2)
         k *= 2
-    return order, key[order]
-
-
-def _ranked(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-    return rank
+    _refined(order, rank, active, rank[active] * (n + 2) + active, n + 2)
+    return order, first
+
+
+def _refined(order: np.ndarray, rank: np.ndarray, active: np.ndarray, key: np.ndarray, scale: int) -> np.ndarray:
+    """Sort the active suffixes within their groups by ``key``; those still not alone."""
+    if not len(active):
+        return active
+    by = np.argsort(key)
+    active, key = active[by], key[by]
+    old = key // scale
+    start = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+    size = np.diff(np.concatenate([start, [len(old)]]))
+    at = old + np.arange(len(old)) - np.repeat(start, size)
+    order[at] = active
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([new, [len(key)]]))
+    rank[active] = np.repeat(at[new], size)
+    return active[np.repeat(size > 1, size)]
 
 
 def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
