@@ -133,6 +133,7 @@ def test_changes(spark, cluster):
     assert matched(cluster, rows, ["engage"]) == [1, 2, 6, 7]
     assert matched(cluster, rows, []) == [1, 2, 3, 6, 7]
     assert matched(cluster, rows, ["engage"], overlap=False) == [1, 2, 4, 5, 6, 7]
+    assert ev.change_updates(cluster, rows).first()["count"] == 7
 
 
 def test_keywords_and_hint(spark, cluster):

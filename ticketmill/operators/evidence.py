@@ -358,6 +358,21 @@ def parsed_changes(changes: DataFrame) -> DataFrame:
     )
 
 
+def change_updates(
+    clusters: DataFrame, changes: DataFrame, lookback_hours: int = D.CHANGE_LOOKBACK_HOURS
+) -> DataFrame:
+    """Number of changes updated since the look-back began, whatever their planned window.
+
+    Two look-ups in running totals per cluster: no change is paired with one.
+    """
+    points = changes.filter("updated IS NOT NULL").select(F.lit("change").alias("all"), F.unix_micros("updated").alias("at"))
+    since = F.unix_micros("window_start") - lookback_hours * F.lit(HOUR)
+    counted = ordered.range_counts(
+        points, clusters.withColumn("all", F.lit("change")), ["all"], "at", "cluster_id", {"count": (since, F.lit(2**62))}
+    )
+    return counted.select("cluster_id", "count")
+
+
 def change_overlap(
     clusters: DataFrame, changes: DataFrame, lookback_hours: int = D.CHANGE_LOOKBACK_HOURS,
     require_overlap: bool = True,
@@ -365,8 +380,9 @@ def change_overlap(
     """Changes whose planned window overlaps the cluster's, updated within the look-back.
 
     Both sides are cut into days and joined on the day; the pair is kept on the
-    first day the two share, so it appears once. Without the overlap rule the
-    update time takes the place of the planned window.
+    first day the two share, so it appears once. Without the overlap rule every
+    change updated since is a pair, for the keyword test of a few clusters;
+    where only the number is wanted, :func:`change_updates` counts without pairs.
     """
     day = 86_400
 
@@ -376,22 +392,21 @@ def change_overlap(
     since = F.col("window_start") - F.make_dt_interval(hours=F.lit(lookback_hours))
     fresh = F.col("updated") >= F.col("since")
     c = clusters.withColumn("since", since)
-    if require_overlap:
-        left = c.withColumn("_d", F.explode(days(F.col("window_start"), F.col("window_end"))))
-        right = changes.filter("start IS NOT NULL AND end >= start").withColumn(
-            "_d", F.explode(days(F.col("start"), F.col("end")))
-        )
-        first = F.floor(F.unix_seconds(F.greatest("start", "window_start")) / day)
-        hit = (
-            (F.col("start") <= F.col("window_end")) & (F.col("end") >= F.col("window_start"))
-            & (F.col("_d") == first)
-        )
-        return left.join(right, "_d").filter(hit & fresh).drop("_d", "since")
-    # every change updated since; the update day joins to the days looked back on
-    newest = changes.agg(F.max("updated")).scalar()
-    left = c.filter(F.col("since") <= newest).withColumn("_d", F.explode(days(F.col("since"), newest)))
-    right = changes.withColumn("_d", F.floor(F.unix_seconds("updated") / day))
-    return left.join(right, "_d").filter(fresh).drop("_d", "since")
+    if not require_overlap:
+        newest = changes.agg(F.max("updated")).scalar()
+        left = c.filter(F.col("since") <= newest).withColumn("_d", F.explode(days(F.col("since"), newest)))
+        right = changes.withColumn("_d", F.floor(F.unix_seconds("updated") / day))
+        return left.join(right, "_d").filter(fresh).drop("_d", "since")
+    left = c.withColumn("_d", F.explode(days(F.col("window_start"), F.col("window_end"))))
+    right = changes.filter("start IS NOT NULL AND end >= start").withColumn(
+        "_d", F.explode(days(F.col("start"), F.col("end")))
+    )
+    first = F.floor(F.unix_seconds(F.greatest("start", "window_start")) / day)
+    hit = (
+        (F.col("start") <= F.col("window_end")) & (F.col("end") >= F.col("window_start"))
+        & (F.col("_d") == first)
+    )
+    return left.join(right, "_d").filter(hit & fresh).drop("_d", "since")
 
 
 def change_keyword_match(pairs: DataFrame) -> DataFrame:

@@ -609,8 +609,15 @@ def _build() -> dict[str, str]:
     coalesce(cur > thr, false) AS threshold_hit, coalesce(CASE WHEN prior <> 0 THEN round(cur / prior, 4) END, -1.0) AS ratio FROM p"""
     q["change_overlap"] = f"WITH {SHIP} SELECT cluster_id, count(id) AS count FROM ship LEFT JOIN pairs USING (cluster_id) GROUP BY cluster_id"
     q["change_samples"] = f"WITH {SHIP} SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY id)::INT AS rank, id, shown AS subject FROM pairs QUALIFY rank <= 6"
-    q["change_updates"] = f"""WITH {SHIP} SELECT cluster_id, count(id) AS count FROM ship LEFT JOIN chg ON s >= ws - INTERVAL 72 HOUR
-  WHERE ws >= TIMESTAMP '2001-06-01' GROUP BY cluster_id"""
+    q["change_updates"] = f"""WITH {SHIP} SELECT cluster_id, count(id) AS count FROM ship LEFT JOIN chg ON s >= ws - INTERVAL 72 HOUR GROUP BY cluster_id"""
+    q["filter_changes"] = """SELECT o_orderkey AS id, o_orderpriority AS subject, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS updated_at
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01'"""
+    q["explode_conversations"] = """SELECT conv_id AS ticket_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS seq,
+  role = 'system' AS private, role = 'user' AS incoming, text AS body_text FROM conversations"""
+    q["feedback_rows"] = f"""SELECT event_id AS seq, event_id % 500 AS ticket_id, user_id AS suggested_ticket_id,
+  coalesce(CASE WHEN value > 5 THEN value > 10 END, false) AS accepted, CASE WHEN event_type = 'error' THEN 'cluster' ELSE 'retrieval' END AS kind,
+  true AS no_rank, {text_time('ts')} AS at FROM events"""
+    q["score_search"] = f"SELECT * EXCLUDE (passed) FROM ({q['eval_loo']})"
     q["pool_errors"] = """
   WITH h AS (SELECT 'c' || c_custkey AS cluster_id, CASE WHEN c_custkey % 3 <> 0 THEN 'man' || (c_custkey % 150) END AS hint FROM customer),
   p AS (SELECT 'man' || s_suppkey || '-vdi pool ' || s_suppkey AS n, s_suppkey % 5 AS e FROM supplier)

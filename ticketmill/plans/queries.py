@@ -34,6 +34,17 @@ def at(value: str) -> Column:
     return F.lit(value).cast("timestamp")
 
 
+# --- inline conversations ---
+@query
+def explode_conversations(spark, sf):
+    turn = F.struct(
+        "turn", (F.col("role") == "system").alias("private"), (F.col("role") == "user").alias("incoming"),
+        F.col("text").alias("body_text"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("created_at"),
+    )
+    inline = I.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("conversations"))
+    return landed.explode_conversations(inline).select("ticket_id", "seq", "private", "incoming", "body_text")
+
+
 # --- text functions ---------------------------------------------------------
 @query
 def strip_html(spark, sf):
@@ -418,6 +429,19 @@ def boost_table(spark, sf):
     return I.boosts(spark, sf)
 
 
+@query
+def feedback_rows(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "cluster").when(F.col("event_type") == "click", "retrieval")
+    partial = I.events(spark, sf).select(
+        (F.col("event_id") % 500).alias("ticket_id"), F.col("user_id").alias("suggested_ticket_id"),
+        F.when(F.col("value") > 5, F.col("value") > 10).alias("accepted"), kind.alias("kind"),
+        F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+    )
+    return records.feedback_rows(partial).select(
+        "seq", "ticket_id", "suggested_ticket_id", "accepted", "kind", F.col("rank").isNull().alias("no_rank"), I.text_time(F.col("at")).alias("at")
+    )
+
+
 @query
 def accept_rate_listing(spark, sf):
     return feedback.accept_rate_listing(feedback.suggestion_stats(I.feedback(spark, sf)))
@@ -471,6 +495,19 @@ def eval_loo(spark, sf):
     return gold.quality_gate(report, 0.8)
 
 
+@query
+def score_search(spark, sf):
+    docs = I.vector_docs(spark, sf)
+    items, members = I.vector_gold(spark, sf)
+    vecs = docs.select(F.col("ticket_id").alias("query_id"), F.col("symptom_vector").alias("vector"))
+
+    def search_fn(queries, exclude_self, k):
+        asked = queries.join(vecs, "query_id")
+        return vectors.knn(docs, asked if exclude_self else asked.drop("exclude_id"), k)
+
+    return gold.score_search(items, search_fn, 3, True, members)
+
+
 @query
 def eval_integrity(spark, sf):
     items, members = I.vector_gold(spark, sf)
@@ -768,9 +805,12 @@ def change_samples(spark, sf):
 
 @query
 def change_updates(spark, sf):
-    asked = I.ship_clusters(spark, sf).filter(F.col("window_start") >= at("2001-06-01 00:00:00"))
-    pairs = evidence.change_overlap(asked, evidence.parsed_changes(I.changes(spark, sf)), require_overlap=False)
-    return evidence.change_feed_signal(asked, pairs).select("cluster_id", "count")
+    return evidence.change_updates(I.ship_clusters(spark, sf), evidence.parsed_changes(I.changes(spark, sf)))
+
+
+@query
+def filter_changes(spark, sf):
+    return landed.filter_changes(I.changes(spark, sf), "1996-03-01 00:00:00").select("id", "subject", "updated_at")
 
 
 def _suppliers(spark, sf):
