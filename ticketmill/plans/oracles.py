@@ -649,8 +649,8 @@ def _build() -> dict[str, str]:
     q["digest_parts"] = f"WITH {digests(3)} SELECT cluster_id, part, length(note)::INT AS chars FROM notes"
     q["outbox"] = f"""WITH {digests(500)} SELECT cluster_id, key AS cluster_key, key AS label, count, first_ticket_id,
   string_agg(id::VARCHAR, '|' ORDER BY rank) AS tickets FROM listed GROUP BY cluster_id, key, count, first_ticket_id"""
-    q["stream_replay"] = f"""WITH RECURSIVE {FIRED}, fin AS (SELECT max(ts) - INTERVAL 60 MINUTE AS mark FROM events)
-  SELECT key, {text_time('tick')} AS opened, count, first_ticket_id, 'open' AS status FROM alerts, fin WHERE tick < mark"""
+    q["stream_replay"] = f"""WITH RECURSIVE {FIRED}
+  SELECT key, {text_time('tick')} AS opened, count, first_ticket_id, 'open' AS status FROM alerts"""
     return q
 
 

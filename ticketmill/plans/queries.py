@@ -950,6 +950,8 @@ def stream_replay(spark, sf):
         F.array("event_type").alias("cluster_keys"), rules.system_key(F.col("event_type"), user).alias("system_key"),
     )
     folder = f"{I.scratch(spark)}/replay"
+    end = I.events(spark, sf).agg(I.text_time(F.max("ts") + F.expr("interval 3 hours"))).first()[0]
+    tickets = live.with_closing(tickets, f"{folder}/closing", end)
     alerts = live.live_alerts(tickets, _baseline(spark, sf))
     run = live.start_monitor(alerts, f"{folder}/out", f"{folder}/checkpoint", trigger={"availableNow": True})
     run.awaitTermination()

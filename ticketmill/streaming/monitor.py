@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ from ticketmill.operators.clusters import keyed_tickets, parse_live_tickets
 from ticketmill.operators.monitor import fire, to_alerts
 from ticketmill.sources import records
 
+LOG = logging.getLogger(__name__)
+
 
 def ticket_stream(
     spark: SparkSession, path: str, since: str | None = None, max_files: int = D.MAX_PER_POLL,
@@ -40,6 +43,22 @@ def late_data_policy(df: DataFrame, delay: str = f"{D.WINDOW_MINUTES} minutes")
     return df.withWatermark("created_at", delay)
 
 
+def with_closing(tickets: DataFrame, path: str, at: str) -> DataFrame:
+    """``tickets`` of a bounded replay, and a row without keys at time ``at`` that ends it.
+
+    Windows are emitted once the watermark has passed them, so the last hour of
+    a stream that stops would stay open. ``at`` must lie after the last ticket by
+    more than the delay and a window. The row belongs to no cluster. ``path`` is
+    a new folder that all executors reach.
+    """
+    empty = {"id": F.lit(-1), "created_at": F.lit(at), "cluster_keys": F.array()}
+    row = tickets.sparkSession.range(1).select(
+        *[empty.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tickets.schema]
+    )
+    row.coalesce(1).write.parquet(path)
+    return tickets.unionByName(tickets.sparkSession.readStream.schema(tickets.schema).parquet(path))
+
+
 def dedupe_stream(df: DataFrame) -> DataFrame:
     """One row per ticket id within the watermark; the first copy wins."""
     return df.dropDuplicatesWithinWatermark(["id"])
@@ -158,8 +177,9 @@ def start_monitor(
     """Write alerts and their outbox per micro-batch.
 
     ``tickets`` is the batch view of the landed tickets with cluster keys, for
-    the digests. ``signals`` maps cluster windows to signal rows. ``report`` is
-    called with the outbox rows; its failure never loses the alert. Both folders
+    the digests; without it there is no outbox. ``signals`` maps cluster windows
+    to signal rows. ``report`` is called with the outbox rows, or else with the
+    alerts; its failure is logged and never loses the alert. Both folders
     are keyed by batch id, so a retried batch replaces its own output.
     """
 
@@ -181,16 +201,17 @@ def start_monitor(
         else:
             full = fired.join(proof.select(F.col("cluster_id").alias("id"), "evidence"), "id", "left")
         records.append_alerts(full, f"{out}/alerts", batch_id)
-        if tickets is None:
-            return
-        listed = digest.alert_tickets(fired, keyed_tickets(tickets))
-        notes = digest.compose_digest(fired, listed, proof)
-        records.append_outbox(digest.alert_outbox(fired, notes, listed), f"{out}/outbox", batch_id)
+        made = f"{out}/alerts/batch={batch_id}"
+        if tickets is not None:
+            listed = digest.alert_tickets(fired, keyed_tickets(tickets))
+            notes = digest.compose_digest(fired, listed, proof)
+            records.append_outbox(digest.alert_outbox(fired, notes, listed), f"{out}/outbox", batch_id)
+            made = f"{out}/outbox/batch={batch_id}"
         if report is not None:
             try:
-                report(batch.sparkSession.read.parquet(f"{out}/outbox/batch={batch_id}"))
-            except Exception as error:  # a report must not break the stream
-                print(f"report failed for batch {batch_id}: {error}")
+                report(batch.sparkSession.read.parquet(made))
+            except Exception:  # a report must not break the stream
+                LOG.exception("report failed for batch %s", batch_id)
 
     writer = alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": f"{D.TICK_MINUTES} minutes"})).start()
