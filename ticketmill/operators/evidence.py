@@ -448,8 +448,10 @@ def vendor_statuses(pages: DataFrame) -> DataFrame:
 
 
 def vendor_status_signal(clusters: DataFrame, pages: DataFrame) -> DataFrame:
-    """Vendors not ``up``: ``unknown`` counts, unreachable does not."""
-    down = vendor_statuses(pages).agg(F.count_if(~F.col("status").isin("up", "unreachable"))).scalar()
+    """Vendors not ``up``, each once: ``unknown`` counts, unreachable does not."""
+    down = vendor_statuses(pages).agg(
+        F.count_distinct(F.when(~F.col("status").isin("up", "unreachable"), F.col("vendor")))
+    ).scalar()
     return signal_rows(
         clusters.withColumn("_n", down), F.lit("saas_status"), F.lit("cause"), F.lit("status-pages"),
         F.lit("presence"), F.col("_n"),
@@ -610,5 +612,67 @@ def alert_evidence(signals: DataFrame, pools: DataFrame | None = None) -> DataFr
     )
 
 
+def all_signals(
+    clusters: DataFrame, events: DataFrame | None = None, catalog: DataFrame | None = None,
+    app_logs: DataFrame | None = None, app: str | None = None, pools: DataFrame | None = None,
+    changes: DataFrame | None = None, pages: DataFrame | None = None, points: DataFrame | None = None,
+    snapshots: DataFrame | None = None, app_word: str = "engage",
+) -> DataFrame:
+    """The signals of every source that is given, one table.
+
+    A missing source removes only its own signals. ``clusters`` may carry
+    ``pool`` (events), ``pool_hint`` (pools), ``keywords`` (changes, parsed) and
+    ``metrics`` (points); a column that is missing counts as null.
+    """
+    wanted = {"pool_hint": "string", "keywords": "array<string>"}
+    have = clusters.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in clusters.columns})
+    parts = []
+    if events is not None and catalog is not None:
+        parts.append(signal_counts(events, have, catalog))
+    if app_logs is not None and app is not None:
+        parts.append(log_error_rate(app_logs, have, app))
+    if pools is not None:
+        parts.append(pool_error_signal(have, pools))
+    if changes is not None:
+        parts.append(change_feed_signal(have, change_keyword_match(change_overlap(have, changes))))
+    if pages is not None:
+        parts.append(vendor_status_signal(have, pages))
+    if points is not None and "metrics" in clusters.columns:
+        parts.append(metric_signal(metric_elevation(points, have)))
+    if snapshots is not None:
+        parts.append(version_change_signal(have, snapshots, app_word))
+    if not parts:
+        return clusters.sparkSession.createDataFrame([], clusters.select("cluster_id").schema).select(
+            "cluster_id", *[F.lit("").alias(c) for c in SIGNAL[1:5]], *[F.lit(0).cast("long").alias(c) for c in SIGNAL[5:7]],
+            F.lit(False).alias(SIGNAL[7]),
+        )
+    out = parts[0].select(*SIGNAL)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*SIGNAL))
+    return out
+
+
+def corroborate(
+    clusters: DataFrame, events: DataFrame | None = None, catalog: DataFrame | None = None, **sources
+) -> DataFrame:
+    """Tier, evidence and items of every cluster from all its signals; see :func:`all_signals`.
+
+    The pools named are the busiest ones among the events. A cluster without any
+    signal has tier ``none``.
+    """
+    found = all_signals(clusters, events, catalog, **sources)
+    seen = None
+    if events is not None and catalog is not None:
+        seen = pools_seen(pool_counts(events, clusters, catalog))
+    proof = alert_evidence(found, seen)
+    nothing = F.struct(
+        F.lit("none").alias("confidence"), F.array().cast(proof.schema["evidence"].dataType["signals"].dataType).alias("signals"),
+        F.array().cast("array<string>").alias("pools"),
+    )
+    return clusters.select("cluster_id").join(proof, "cluster_id", "left").select(
+        "cluster_id", F.coalesce("evidence", nothing).alias("evidence"), "items"
+    )
+
+
 def evidence_json(evidence: Column) -> Column:
     return F.to_json(evidence)

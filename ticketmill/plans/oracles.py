@@ -644,7 +644,18 @@ def _build() -> dict[str, str]:
     FROM clusters c JOIN moved m ON m.ts <= c.window_end WHERE contains(c.key, 'click') GROUP BY c.cluster_id, c.window_end, m.app)
   SELECT cluster_id, 'click.version_change' AS signal_key, count(*) AS count FROM latest
   WHERE changed OR (contains(lower(app), 'prod') AND window_end - published <= INTERVAL 100 HOUR) GROUP BY cluster_id"""
-    q["vendor_signal"] = f"WITH {HOURS} SELECT cluster_id, (SELECT count(*) FROM pages) AS count FROM clusters"
+    q["vendor_signal"] = f"WITH {HOURS} SELECT cluster_id, (SELECT count(DISTINCT url) FROM pages) AS count FROM clusters"
+    rises = "count >= 3 AND count >= greatest(3, 2 * prior)"
+    q["corroborate"] = f"""WITH s AS (
+  SELECT cluster_id, signal_key, role, count, prior, elevated FROM ({q["signal_counts"]})
+  UNION ALL SELECT cluster_id, signal_key, 'effect', count, prior, {rises} FROM ({q["error_rate"]})
+  UNION ALL SELECT cluster_id, 'saas_status', 'cause', count, 0, count > 0 FROM ({q["vendor_signal"]})
+  UNION ALL SELECT cluster_id, signal_key, 'effect', count, prior, threshold_hit OR ({rises}) FROM ({q["metric_elevation"]})
+  UNION ALL SELECT cluster_id, signal_key, 'cause', count, 0, count > 0 FROM ({q["version_change"]}))
+  SELECT cluster_id, CASE WHEN bool_or(role = 'cause' AND elevated) AND bool_or(role = 'effect' AND elevated) THEN 'likely'
+      WHEN bool_or(elevated) THEN 'consistent with' ELSE 'none' END AS confidence,
+    string_agg(concat_ws(':', signal_key, role, count, prior, elevated), '|' ORDER BY signal_key) AS signals, any_value(pools) AS pools
+  FROM s LEFT JOIN (SELECT cluster_id, pools FROM ({q["alert_evidence"]})) USING (cluster_id) GROUP BY cluster_id"""
     q["digests"] = f"WITH {digests(500)} SELECT cluster_id, part, note FROM notes"
     q["digest_parts"] = f"WITH {digests(3)} SELECT cluster_id, part, length(note)::INT AS chars FROM notes"
     q["outbox"] = f"""WITH {digests(500)} SELECT cluster_id, key AS cluster_key, key AS label, count, first_ticket_id,

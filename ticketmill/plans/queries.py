@@ -754,14 +754,17 @@ def log_window(spark, sf):
     ).select("event_id", "event_type")
 
 
-@query
-def error_rate(spark, sf):
+def _app_logs(spark, sf):
     level = F.when(F.col("value") > 30, "Error").when(F.col("value") > 15, "Warning").otherwise("Info")
-    logs = I.events(spark, sf).select(
+    return I.events(spark, sf).select(
         F.col("event_type").alias("app"), level.alias("level"), F.col("ts").alias("timestamp"),
         F.col("user_id").cast("string").alias("machine"), F.lit("s").alias("session"),
     )
-    rate = evidence.log_error_rate(logs, I.hour_clusters(spark, sf), "purchase")
+
+
+@query
+def error_rate(spark, sf):
+    rate = evidence.log_error_rate(_app_logs(spark, sf), I.hour_clusters(spark, sf), "purchase")
     return rate.select("cluster_id", "signal_key", "count", "prior")
 
 
@@ -899,6 +902,30 @@ def vendor_signal(spark, sf):
     return evidence.vendor_status_signal(I.hour_clusters(spark, sf), pages).select("cluster_id", "count")
 
 
+def _corroborated(spark, sf):
+    asked = I.hour_clusters(spark, sf).withColumn(
+        "metrics", evidence.pick_metrics(F.array("key"), EVENT_METRICS, EVENT_WORDS)
+    )
+    return evidence.corroborate(
+        asked, I.logs(spark, sf), I.catalog(spark), app_logs=_app_logs(spark, sf), app="purchase",
+        pages=I.table(spark, sf, "pages").select(F.col("url").alias("vendor"), "html"),
+        points=I.events(spark, sf).select(F.col("event_type").alias("metric"), "ts", "value"),
+        snapshots=_snapshots(spark, sf), app_word="click",
+    )
+
+
+@query
+def corroborate(spark, sf):
+    lines = F.transform(
+        "evidence.signals",
+        lambda s: F.concat_ws(":", s["key"], s["role"], s["count"].cast("string"), s["prior"].cast("string"), s["elevated"].cast("string")),
+    )
+    return _corroborated(spark, sf).select(
+        "cluster_id", F.col("evidence.confidence").alias("confidence"), joined(lines).alias("signals"),
+        joined(F.col("evidence.pools")).alias("pools"),
+    )
+
+
 # --- digests ----------------------------------------------------------------
 def _digest_inputs(spark, sf):
     alerts = I.hour_clusters(spark, sf).select(
