@@ -204,8 +204,12 @@ def test_evidence_digest_and_parts(spark):
     assert "Corroborators" not in bare and "engage/engage desktop" in bare
     parts = digest.compose_digest(alerts, digest.alert_tickets(alerts, t, note_tickets=2)).orderBy("part").collect()
     assert len(parts) == 2 and "#1002" in parts[1].note and "#1002" not in parts[0].note
-    box = digest.alert_outbox(alerts, digest.compose_digest(alerts, listed), listed).first()
-    assert (box.label, box["count"], box.first_ticket_id, box.tickets) == ("Engage", 3, 1000, [1000, 1001, 1002])
+    box = digest.alert_outbox(alerts, digest.compose_digest(alerts, listed)).first()
+    assert (box.label, box["count"], box.first_ticket_id, box.parts) == ("Engage", 3, 1000, 1) and box.note == bare
+    cut = digest.alert_tickets(alerts, t, note_tickets=2)
+    boxes = digest.alert_outbox(alerts, digest.compose_digest(alerts, cut)).collect()
+    assert [b.parts for b in boxes] == [2]
+    assert [(r.ticket_id, r.part) for r in digest.outbox_tickets(cut).orderBy("rank").collect()] == [(1000, 0), (1001, 0), (1002, 1)]
 
 
 def test_default_catalogue_of_rules_is_consistent():

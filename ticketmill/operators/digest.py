@@ -45,16 +45,18 @@ def alert_tickets(
 
 def compose_digest(
     alerts: DataFrame, tickets: DataFrame, evidence: DataFrame | None = None,
-    window_minutes: int = D.WINDOW_MINUTES,
+    window_minutes: int = D.WINDOW_MINUTES, subject_chars: int | None = None,
 ) -> DataFrame:
     """HTML notes: ``(alert_id, part, note)``.
 
     ``tickets`` comes from :func:`alert_tickets`, ``evidence`` from
     :func:`~ticketmill.operators.evidence.alert_evidence`. The header, system keys and
     evidence are in part 0, every part lists its own tickets, and no ticket is
-    left out however large the cluster.
+    left out however large the cluster. ``subject_chars`` shortens the subjects.
     """
-    subject = F.substring(F.replace(strip_space(F.coalesce("subject", F.lit(""))), F.lit("\n"), F.lit(" ")), 1, 90)
+    subject = F.replace(strip_space(F.coalesce("subject", F.lit(""))), F.lit("\n"), F.lit(" "))
+    if subject_chars is not None:
+        subject = F.substring(subject, 1, subject_chars)
     line = F.concat(
         F.lit("<li><b>#"), F.col("id").cast("string"), F.lit("</b> &mdash; "), iso(F.col("created_at")),
         F.lit(" &mdash; "), escape_html(subject), F.lit("</li>"),
@@ -123,15 +125,22 @@ def evidence_html(confidence: Column, items: Column, pools: Column) -> Column:
     )
 
 
-def alert_outbox(alerts: DataFrame, digests: DataFrame, tickets: DataFrame) -> DataFrame:
-    """One delivery row per alert and note part; ordinary clusters have one part."""
-    ids = (
-        tickets.groupBy("alert_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("l"))
-        .select("alert_id", "part", F.transform("l", lambda e: e["id"]).alias("tickets"))
+def alert_outbox(alerts: DataFrame, digests: DataFrame) -> DataFrame:
+    """Exactly one delivery row per alert: the opening note and the number of notes.
+
+    The tickets are the rows of :func:`outbox_tickets`; whoever delivers sends
+    the further notes, if there are any, in order of ``part``.
+    """
+    notes = digests.groupBy("alert_id").agg(
+        F.count("*").cast("int").alias("parts"), F.max(F.when(F.col("part") == 0, F.col("note"))).alias("note")
     )
     named = alerts.select(
         F.col("id").alias("alert_id"), F.col("key").alias("cluster_key"),
         cluster_label(F.col("key")).alias("label"), "count", "first_ticket_id",
     )
-    return named.join(digests, "alert_id").join(ids, ["alert_id", "part"])
+    return named.join(notes, "alert_id")
+
+
+def outbox_tickets(tickets: DataFrame) -> DataFrame:
+    """``(alert_id, rank, ticket_id, part)``: the tickets behind each delivery row."""
+    return tickets.select("alert_id", "rank", F.col("id").alias("ticket_id"), "part")

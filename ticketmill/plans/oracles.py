@@ -659,7 +659,23 @@ def _build() -> dict[str, str]:
     q["digests"] = f"WITH {digests(500)} SELECT cluster_id, part, note FROM notes"
     q["digest_parts"] = f"WITH {digests(3)} SELECT cluster_id, part, length(note)::INT AS chars FROM notes"
     q["outbox"] = f"""WITH {digests(500)} SELECT cluster_id, key AS cluster_key, key AS label, count, first_ticket_id,
-  string_agg(id::VARCHAR, '|' ORDER BY rank) AS tickets FROM listed GROUP BY cluster_id, key, count, first_ticket_id"""
+  ((count(*) + 499) // 500)::INT AS parts, any_value(note) AS note
+  FROM listed JOIN notes n USING (cluster_id) WHERE n.part = 0 GROUP BY cluster_id, key, count, first_ticket_id"""
+    q["outbox_tickets"] = f"WITH {digests(500)} SELECT cluster_id, rank, id AS ticket_id, ((rank - 1) // 500)::INT AS part FROM listed"
+    item = (
+        "'<li>[' || role || '] <b>' || signal_key || '</b> @ ' || stream || ': ' || count || CASE WHEN count = 1 THEN ' event' ELSE ' events' END"
+        " || CASE WHEN role = 'effect' THEN ' (prior window ' || prior || ')' ELSE '' END || CASE WHEN role = 'effect' AND elevated THEN ' *' ELSE '' END || '</li>'"
+    )
+    q["digest_evidence"] = f"""WITH s AS (
+  SELECT cluster_id, signal_key, role, 'horizon' AS stream, count, prior, elevated FROM ({q["signal_counts"]})
+  UNION ALL SELECT cluster_id, signal_key, 'effect', 'seq', count, prior, {rises} FROM ({q["error_rate"]})
+  UNION ALL SELECT cluster_id, 'saas_status', 'cause', 'status-pages', count, 0, count > 0 FROM ({q["vendor_signal"]})
+  UNION ALL SELECT cluster_id, signal_key, 'effect', 'metrics', count, prior, threshold_hit OR ({rises}) FROM ({q["metric_elevation"]})
+  UNION ALL SELECT cluster_id, signal_key, 'cause', 'versions', count, 0, count > 0 FROM ({q["version_change"]})),
+  lines AS (SELECT cluster_id, string_agg({item}, '' ORDER BY signal_key) AS li FROM s GROUP BY cluster_id)
+  SELECT cluster_id, '<p><b>Corroborators</b> &mdash; ' || confidence || ':</p><ul>' || li || '</ul>' || CASE WHEN pools <> ''
+    THEN '<p><b>Pools seen:</b> ' || replace(pools, '|', ', ') || '</p>' ELSE '' END AS section
+  FROM ({q["corroborate"]}) JOIN lines USING (cluster_id)"""
     q["stream_replay"] = f"""WITH RECURSIVE {FIRED}
   SELECT key, {text_time('tick')} AS opened, count, first_ticket_id, 'open' AS status FROM alerts"""
     return q

@@ -957,10 +957,29 @@ def digest_parts(spark, sf):
 @query
 def outbox(spark, sf):
     alerts, listed = _digest_inputs(spark, sf)
-    rows = digest.alert_outbox(alerts, digest.compose_digest(alerts, listed), listed)
+    rows = digest.alert_outbox(alerts, digest.compose_digest(alerts, listed))
     return rows.join(alerts.select(F.col("id").alias("alert_id"), "cluster_id"), "alert_id").select(
-        "cluster_id", "cluster_key", "label", "count", "first_ticket_id",
-        joined(F.col("tickets").cast("array<string>")).alias("tickets"),
+        "cluster_id", "cluster_key", "label", "count", "first_ticket_id", "parts", "note"
+    )
+
+
+@query
+def outbox_tickets(spark, sf):
+    alerts, listed = _digest_inputs(spark, sf)
+    named = alerts.select(F.col("id").alias("alert_id"), "cluster_id")
+    return digest.outbox_tickets(listed).join(named, "alert_id").select("cluster_id", "rank", "ticket_id", "part")
+
+
+@query
+def digest_evidence(spark, sf):
+    """The opening note of every alert with its evidence section."""
+    alerts, listed = _digest_inputs(spark, sf)
+    ids = alerts.select("cluster_id", F.col("id").alias("_alert"))
+    proof = _corroborated(spark, sf).join(ids, "cluster_id").drop("cluster_id").withColumnRenamed("_alert", "cluster_id")
+    notes = digest.compose_digest(alerts, listed, proof).filter("part = 0")
+    section = F.regexp_extract("note", "(?s)(<p><b>Corroborators.*)$", 1)
+    return notes.join(alerts.select(F.col("id").alias("alert_id"), "cluster_id"), "alert_id").select(
+        "cluster_id", section.alias("section")
     )
 
 

@@ -205,7 +205,9 @@ def start_monitor(
         if tickets is not None:
             listed = digest.alert_tickets(fired, keyed_tickets(tickets))
             notes = digest.compose_digest(fired, listed, proof)
-            records.append_outbox(digest.alert_outbox(fired, notes, listed), f"{out}/outbox", batch_id)
+            records.append_outbox(digest.outbox_tickets(listed), f"{out}/outbox_tickets", batch_id)
+            records.append_outbox(notes, f"{out}/notes", batch_id)
+            records.append_outbox(digest.alert_outbox(fired, notes), f"{out}/outbox", batch_id)
             made = f"{out}/outbox/batch={batch_id}"
         if report is not None:
             try:
