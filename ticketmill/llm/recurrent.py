@@ -18,11 +18,14 @@ from ticketmill.llm.common import materialise, prepare
 # The end of a text as a token; no word contains white space.
 END = b"\n"
 # Characters of text that share a dictionary, and that are scored together.
-DICTIONARY_CHARS, SCORE_CHARS = 16_000_000, 8_000_000
+DICTIONARY_CHARS, SCORE_CHARS = 16_000_000, 16_000_000
 # Slots of the softmax (classes times words of a class), units, steps of
 # truncated backpropagation, texts per update.
 CLASSES, WIDTH, UNITS, STEPS, LANES = 32, 32, 16, 16, 128
 SLOTS = CLASSES * WIDTH
+# Tokens of a text that training takes as one stretch; texts side by side and
+# states that wait for the output layer when texts are scored.
+STRETCH, SIDE, SETTLE = 512, 512, 8_192
 UNKNOWN_ID, END_ID, FIRST_WORD = 0, 1, 2
 # Rounds of training; each takes one in ROUND_SHARE of the training texts, so
 # what is learned from grows with the corpus.
@@ -87,6 +90,33 @@ def forward(w: Weights, previous: np.ndarray, h: np.ndarray, keep: list | None =
     return states
 
 
+def halved(w: Weights) -> tuple[np.ndarray, ...]:
+    """Weights for ``advance``: a sigmoid is half of one plus the tanh of half its argument."""
+    inputs = w["inputs"].copy()
+    inputs[:, : 2 * UNITS] *= 0.5
+    return inputs, w["gates"] * 0.5, w["state"] * 0.5
+
+
+def advance(half: tuple[np.ndarray, ...], previous: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The states of ``forward``, with fewer passes over the arrays."""
+    inputs, gates, state = half
+    x = inputs[previous]
+    states = np.empty((len(previous), *h.shape), np.float32)
+    for t in range(len(previous)):
+        gate = h @ gates
+        gate += x[t, :, : 2 * UNITS]
+        np.tanh(gate, out=gate)
+        gate += 1
+        new = (gate[:, :UNITS] * h) @ state
+        new += x[t, :, 2 * UNITS :]
+        np.tanh(new, out=new)
+        new -= h
+        new *= gate[:, UNITS:]
+        new *= 0.5
+        h = np.add(h, new, out=states[t])
+    return states
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -103,19 +133,25 @@ def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_probability(w: Weights, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithm: the class of each target, then the word within its class."""
-    rows = np.arange(len(target))
-    out = _log_softmax(states @ w["class_w"] + w["class_b"])[rows, target // WIDTH]
+    out = _picked(states @ w["class_w"], w["class_b"], target // WIDTH)
     for c, own in _by_class(target):
-        inner = _log_softmax(states[own] @ w["word_w"][c] + w["word_b"][c])
-        out[own] += inner[np.arange(len(own)), target[own] % WIDTH]
+        out[own] += _picked(states[own] @ w["word_w"][c], w["word_b"][c], target[own] % WIDTH)
     return out
 
 
+def _picked(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of ``z`` plus ``bias`` at one column per row; states lie in (-1, 1), so no exponent is large."""
+    z += bias
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
 def gradients(w: Weights, previous: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Weights, np.ndarray]:
     """Gradients of the mean negative log-probability over one window, and the last state."""
     kept: list = []
     states = forward(w, previous, h, kept)
-    g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
+    g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items() if name != "inputs"}
     on = np.flatnonzero(mask.ravel())
     s, goal = states.reshape(-1, UNITS)[on], target.ravel()[on]
     scale = np.float32(1 / max(len(on), 1))
@@ -147,10 +183,18 @@ def gradients(w: Weights, previous: np.ndarray, target: np.ndarray, mask: np.nda
         g["state"] += held.T @ d_new
         g["gates"] += before.T @ d_gate
         dh = dh * (1 - update) + d_held * reset + d_gate @ w["gates"].T
-    np.add.at(g["inputs"], previous.ravel(), dx.reshape(-1, 3 * UNITS))
+    g["inputs"] = dx.reshape(-1, 3 * UNITS)  # by step and lane; the trainer adds up equal inputs
     return g, states[-1]
 
 
+def summed_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and the sum of the rows of each."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 class Trainer:
     """Truncated backpropagation with adaptive steps over batches of texts."""
 
@@ -160,13 +204,17 @@ class Trainer:
         self.seen = 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        """Texts of similar length side by side; the state is carried from window to window."""
-        texts = sorted(texts, key=len, reverse=True)
+        """Stretches of similar length side by side; the state is carried from window to window of a stretch."""
+        texts = sorted((t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)), key=len, reverse=True)
         for at in range(0, len(texts), LANES):
             lanes = texts[at : at + LANES]
             h = np.zeros((len(lanes), UNITS), np.float32)
             for previous, target, mask in windows(lanes, STEPS):
                 g, h = gradients(self.w, previous, target, mask, h[: previous.shape[1]])
+                used, grad = summed_rows(previous.ravel(), g.pop("inputs"))
+                power = self.power["inputs"][used] + grad * grad
+                self.power["inputs"][used] = power
+                self.w["inputs"][used] -= RATE * grad / np.sqrt(power)
                 for name, grad in g.items():
                     self.power[name] += grad * grad
                     self.w[name] -= RATE * grad / np.sqrt(self.power[name])
@@ -191,18 +239,30 @@ def windows(lanes: list[np.ndarray], steps: int) -> Iterator[tuple[np.ndarray, n
 
 def score(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each whole text; the state is carried across its windows."""
-    order = np.argsort([-len(x) for x in texts], kind="stable")
-    lanes = [texts[i] for i in order]
+    every = np.argsort([-len(x) for x in texts], kind="stable")
     total = np.zeros(len(texts))
-    h = np.zeros((len(texts), UNITS), np.float32)
-    for previous, target, mask in windows(lanes, STEPS):
-        active = previous.shape[1]
-        states = forward(w, previous, h[:active])
-        h = states[-1]
-        on = np.flatnonzero(mask.ravel())
-        p = np.zeros(mask.size)
-        p[on] = log_probability(w, states.reshape(-1, UNITS)[on], target.ravel()[on])
-        total[order[:active]] += p.reshape(mask.shape).sum(axis=0)
+    held: list[tuple] = []
+    size = 0
+    half = halved(w)
+
+    def settle() -> None:
+        states, targets, lane = (np.concatenate(c) for c in zip(*held))
+        total[:] += np.bincount(lane, log_probability(w, states, targets), len(texts))
+
+    for at in range(0, len(every), SIDE):
+        order = every[at : at + SIDE]
+        h = np.zeros((len(order), UNITS), np.float32)
+        for previous, target, mask in windows([texts[i] for i in order], STEPS):
+            states = advance(half, previous, h[: previous.shape[1]])
+            h = states[-1]
+            on = np.flatnonzero(mask.ravel())
+            held.append((states.reshape(-1, UNITS)[on], target.ravel()[on], order[on % mask.shape[1]]))
+            size += len(on)
+            if size >= SETTLE:
+                settle()
+                held, size = [], 0
+    if held:
+        settle()
     return total
 
 
@@ -379,20 +439,27 @@ class Scorer:
         self.size = 0
 
     def take(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        block, kind, word, c, ids, held, text = (column.to_pylist() for column in batch.columns)
-        for i, name in enumerate(block):
+        block = batch.column(0).dictionary_encode()
+        run = np.stack([block.indices.to_numpy(), batch.column(1).to_numpy()])
+        edges = np.flatnonzero((run[:, 1:] != run[:, :-1]).any(axis=0)) + 1
+        for begin, end in zip([0, *edges], [*edges, batch.num_rows]):
+            part = batch.slice(begin, end - begin)
+            name = part.column(0)[0].as_py()
             if name != self.block:
                 yield from self.flush()
                 self.block, self.index, self.counts, self.table = name, {}, [], None
-            if kind[i] == 0:
-                self.index[word[i]] = len(self.counts)
-                self.counts.append(c[i])
+            if run[1, begin] == 0:
+                at = len(self.counts)
+                self.index.update(zip(part.column(2).to_pylist(), range(at, at + part.num_rows)))
+                self.counts.extend(part.column(3).to_pylist())
                 continue
-            found = tokens(text[i])
-            self.rows.append((ids[i], held[i], np.array([self.index[x] for x in found], np.int32)))
-            self.size += len(text[i] or "")
-            if self.size >= SCORE_CHARS:
-                yield from self.flush()
+            known = self.index.__getitem__
+            for row_id, held, text in zip(*(part.column(i).to_pylist() for i in (4, 5, 6))):
+                found = tokens(text)
+                self.rows.append((row_id, held, np.fromiter(map(known, found), np.int32, len(found))))
+                self.size += len(text or "")
+                if self.size >= SCORE_CHARS:
+                    yield from self.flush()
 
     def flush(self) -> Iterator[tuple]:
         if not self.rows:
