@@ -116,10 +116,11 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     often = count[column] > 1
     row, column = row[often], np.unique(column[often], return_inverse=True)[1]
     common = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(1, CELLS // len(sets))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(1, CELLS // len(sets)))
+    for at in range(0, columns, width or 1):
         low, high = np.searchsorted(column, (at, at + width))
         m = np.zeros((len(sets), width), np.float32)
         m[row[low:high], column[low:high] - at] = 1
