@@ -90,3 +90,22 @@ def test_parts_and_cutoffs(spark, monkeypatch):
     assert sum(len(t.hashes) for t in m.probability[-1:]) <= 60
     out = langid.predict(df, m, "id").collect()
     assert len(out) == 60 and np.mean([r.lang_pred == la for r, (_, la, _) in zip(sorted(out, key=lambda r: r.id), docs(60))]) > 0.9
+
+
+def test_junk_in_calibration_does_not_loosen_the_limit(spark):
+    rng = random.Random(4)
+
+    def gibberish(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+
+    clean = [(i, la, t) for i, la, t in docs(600, 7)]
+    junk = [(10_000 + i, "aa" if i % 2 else "bb", gibberish(300)) for i in range(18)]
+    m = langid.train(spark.createDataFrame(clean + junk, "id long, language string, text string"))
+    foreign = "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti e devono agire in spirito di fratellanza."
+    probes = [(i, gibberish(n)) for i, n in enumerate([25, 50, 100, 1000] * 5)] + [(50 + n, foreign[:n]) for n in (40, 80, 112)]
+    short = [(100 + k, t) for k, t in enumerate([" ".join(w[i : i + 2]) for w in WORDS.values() for i in range(4)])]
+    short += [(200 + i, t) for i, _, t in docs(60, 8)]
+    df = spark.createDataFrame(probes + short, "doc_id long, text string")
+    rejected = {r.doc_id for r in langid.predict(df, m).where("rejected").collect()}
+    assert rejected == {i for i, _ in probes}
+    assert {r.doc_id for r in langid.accepted(df, m).collect()} == {i for i, _ in short}

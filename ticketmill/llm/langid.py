@@ -20,10 +20,14 @@ ORDER = 4
 TRAIN_DOCS, MAX_NGRAMS = 4000, 4_000_000
 # One in so many of them is kept from counting and calibrates the rejection.
 CALIBRATION = 8
-# A text is rejected beyond MARGIN times the quantile of the calibration texts.
-QUANTILE, MARGIN = 0.999, 2.0
-# Characters after which a longer text no longer sharpens the scales.
-SATURATION, CONFIDENCE = 1000, 60
+# A text is rejected whose cross-entropy lies beyond the median of calibration
+# stretches of its length by more than SPREAD quartile distances and by more than
+# REACH of the way to the median of the same stretches with their symbols shuffled.
+SPREAD, REACH = 4.0, 0.4
+# Lengths of the stretches as powers of two, and how many a limit needs.
+SHORTEST, LONGEST, LEAST = 3, 10, 8
+# Characters after which a longer text no longer sharpens the score.
+CONFIDENCE = 60
 UNKNOWN = "und"
 BOUNDARY, SPACE, BITS = 1, 32, np.uint64(16)
 
@@ -111,8 +115,8 @@ class Models:
     probability: list[Table]  # natural logarithms, by order from 1
     backoff: list[Table]  # by length of the context from 0
     symbols: np.ndarray
-    centre: np.ndarray | None = None
-    limit: np.ndarray | None = None
+    centre: np.ndarray | None = None  # by language and power of two of the length
+    limit: np.ndarray | None = None  # how far above the centre a text is kept
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-probability per text and language, scored positions and letters per text."""
@@ -255,25 +259,75 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS, max_ngrams: int =
     return _calibrated(models, sample.where("calibrate"))
 
 
+def stretches(text: str) -> list[str]:
+    """The text, and its consecutive stretches of doubling length."""
+    starts = [((1 << k) - (1 << SHORTEST), 1 << k) for k in range(SHORTEST, LONGEST + 1)]
+    return [text[:BLOCK_CHARS], *(text[at : at + size] for at, size in starts if at + size < len(text))]
+
+
+def shuffled(text: str) -> str:
+    """The text with its characters in a fixed pseudo-random order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.random.default_rng(len(codes)).permutation(codes).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of symbols to base two, from 0 at the shortest stretch to the longest."""
+    return np.clip(np.log2(np.maximum(n, 1)), SHORTEST, LONGEST) - SHORTEST
+
+
 def _calibrated(models: Models, sample: DataFrame) -> Models:
-    """Set each language's usual cross-entropy and the deviation beyond which a text is rejected."""
-    own = sample.select(F.col("language").alias("id"), "text")
-    scored = materialise(predict(own, models, "id").where(F.col("id") == F.col("lang_pred")))
-    centre = F.sum(F.col("cross_entropy") * F.col("n_symbols")) / F.sum("n_symbols")
-    centres = {r["id"]: r["centre"] for r in scored.groupBy("id").agg(centre.alias("centre")).collect()}
-    usual = sum(centres.values()) / len(centres) if centres else np.inf
-    models.centre = np.array([centres.get(x, usual) for x in models.languages])
-    known = F.create_map(*[F.lit(x) for pair in centres.items() for x in pair]) if centres else F.create_map()
-    apart = (F.col("cross_entropy") - F.element_at(known, F.col("id"))) * F.sqrt(F.least("n_symbols", F.lit(SATURATION)))
-    limits = {}
-    if centres:
-        top = F.percentile_approx(apart, QUANTILE, 10_000)
-        limits = {r["id"]: max(r["top"], 1.0) * MARGIN for r in scored.groupBy("id").agg(top.alias("top")).collect()}
-    usual = max(limits.values(), default=np.inf)
-    models.limit = np.array([limits.get(x, usual) for x in models.languages])
+    """Set each language's usual cross-entropy by length, and the distance beyond which a text is rejected.
+
+    Both come from medians and quartiles of one class of lengths, so a few junk
+    texts among the calibration texts move neither.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        names = np.array(m.languages, object)
+        for block in rows_of(batches, "language", "text"):
+            cut = [(language, t) for language, text in block for t in stretches(text)]
+            own = np.array([language for language, _ in cut], object)
+            sums, count, letters = _scored(m, [t for _, t in cut])
+            junk = (-_scored(m, [shuffled(t) for _, t in cut])[0] / np.maximum(count, 1)[:, None]).min(axis=1)
+            entropy = -sums / np.maximum(count, 1)[:, None]
+            good = (letters > 0) & (names[entropy.argmin(axis=1)] == own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[good].tolist(), pa.string()), pa.array(np.rint(length_class(count[good])).astype(np.int32)),
+                 pa.array(entropy.min(axis=1)[good]), pa.array(junk[good])], ["language", "k", "clean", "junk"]
+            )
+
+    scored = sample.select("language", "text").mapInArrow(run, "language string, k int, clean double, junk double")
+    quartiles = F.percentile_approx("clean", [0.25, 0.5, 0.75], 10_000)
+    found = scored.groupBy("language", "k").agg(
+        F.count("*").alias("n"), quartiles.alias("q"), F.percentile_approx("junk", 0.5, 10_000).alias("junk")
+    ).where(F.col("n") >= LEAST).collect()
+    number = {name: i for i, name in enumerate(models.languages)}
+    shape = len(number), LONGEST - SHORTEST + 1
+    centre, limit = np.full(shape, np.nan), np.full(shape, np.nan)
+    for r in found:
+        low, middle, high = r["q"]
+        at = number[r["language"]], r["k"]
+        centre[at], limit[at] = middle, max(SPREAD * (high - low), REACH * (r["junk"] - middle))
+    models.centre, models.limit = _filled(centre, 0.0), _filled(limit, np.inf)
     return models
 
 
+def _filled(values: np.ndarray, usual: float) -> np.ndarray:
+    """Gaps take the next shorter length of the language, else the next longer one, else the mean of the others."""
+    for step in (1, -1):
+        for row in values[:, ::step]:
+            for k in range(1, len(row)):
+                if np.isnan(row[k]):
+                    row[k] = row[k - 1]
+    known = ~np.isnan(values)
+    n = known.sum(axis=0)
+    mean = np.where(n > 0, np.where(known, values, 0).sum(axis=0) / np.maximum(n, 1), usual)
+    return np.where(known, values, mean)
+
+
 # --- prediction --------------------------------------------------------------------
 def predict(docs: DataFrame, models: Models, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: the id, ``lang_pred``, ``score``, ``cross_entropy``, ``n_symbols``, ``rejected``.
@@ -329,8 +383,11 @@ def _judged(m: Models, ids: pa.Array, sums: np.ndarray, count: np.ndarray, lette
     share = 1 / np.exp(-(entropy - lowest[:, None]) * np.minimum(n, CONFIDENCE)[:, None]).sum(axis=1)
     rejected = ~some
     if m.limit is not None:
-        apart = (lowest - m.centre[best]) * np.sqrt(np.minimum(n, SATURATION))
-        limit = m.limit[best]
+        at = length_class(n)
+        low = np.floor(at).astype(np.int64)
+        high, part = np.minimum(low + 1, LONGEST - SHORTEST), at - low
+        apart = lowest - (m.centre[best, low] * (1 - part) + m.centre[best, high] * part)
+        limit = m.limit[best, low] * (1 - part) + m.limit[best, high] * part if np.isfinite(m.limit).all() else np.full(len(n), np.inf)
         rejected = rejected | (apart > limit)
         share = share * np.minimum(1, limit / np.maximum(apart, 1e-9))
     names = np.array([*m.languages, UNKNOWN], object)[np.where(some, best, len(m.languages))]
