@@ -116,6 +116,14 @@ def test_learns_order(spark):
     assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
 
 
+def test_every_training_text_is_learned(spark):
+    df = spark.createDataFrame([(i, f"word{i} " * 20) for i in range(40)], "id long, text string")
+    slots = {R.END: R.END_ID} | {f"word{i}".encode(): R.FIRST_WORD + i for i in range(40)}
+    words = R.Vocabulary(slots, np.array([0.0, 40.0] + [20.0] * 40), 840, 41)
+    moved = np.abs(R.train(df, words)["inputs"] - R.initial(words.counts)["inputs"]).max(axis=1) > 1e-3
+    assert moved[R.FIRST_WORD : R.FIRST_WORD + 40].all() and not moved[R.FIRST_WORD + 40 :].any()
+
+
 def test_empty_and_untrained(spark):
     df, out = run(spark, [(2, "x")])
     assert R.score_documents(df.limit(0), held_out(F.col("doc_id"), 7, 2)).count() == 0
