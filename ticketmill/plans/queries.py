@@ -11,7 +11,7 @@ from ticketmill import defaults as D
 from ticketmill import schemas
 from ticketmill.functions import entities, rules, status, text, times
 from ticketmill.operators import (
-    baseline, clusters, corpus, digest, evidence, feedback, gold, kb, monitor, search, vectors,
+    baseline, clusters, corpus, digest, evidence, feedback, gold, kb, monitor, ordered, search, vectors,
 )
 from ticketmill.plans import inputs as I
 from ticketmill.sources import landed, records, snapshots
@@ -19,6 +19,8 @@ from ticketmill.streaming import monitor as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+# Turns of a conversation that one inline array holds, and that are ranked together.
+TURNS = 64
 
 
 def query(fn: Query) -> Query:
@@ -37,12 +39,21 @@ def at(value: str) -> Column:
 # --- inline conversations ---
 @query
 def explode_conversations(spark, sf):
-    turn = F.struct(
-        "turn", (F.col("role") == "system").alias("private"), (F.col("role") == "user").alias("incoming"),
+    # a conversation may hold any part of the rows: its turns are ranked bucket by
+    # bucket and come to arrays of TURNS, never all to one
+    rows = I.table(spark, sf, "conversations").select(
+        F.struct("conv_id").alias("key"), F.coalesce("turn", F.lit(2**63 - 1)).alias("at"),
+        (F.col("role") == "system").alias("private"), (F.col("role") == "user").alias("incoming"),
         F.col("text").alias("body_text"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("created_at"),
     )
-    inline = I.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("conversations"))
-    return landed.explode_conversations(inline).select("ticket_id", "seq", "private", "incoming", "body_text")
+    ties = [F.col(c) for c in ("private", "incoming", "body_text")]
+    ranked = ordered.rank_in_key(rows, ["key"], "at", ties, width=TURNS).withColumn("rank", F.col("rank") - 1)
+    turn = F.struct("rank", "private", "incoming", "body_text", "body", "created_at")
+    block = F.struct("key.conv_id", (F.col("rank") - F.col("rank") % TURNS).cast("int").alias("first"))
+    inline = ranked.groupBy(block.alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("conversations"))
+    return landed.explode_conversations(inline).select(
+        "ticket_id.conv_id", (F.col("ticket_id.first") + F.col("seq")).alias("seq"), "private", "incoming", "body_text"
+    ).withColumnRenamed("conv_id", "ticket_id")
 
 
 # --- text functions ---------------------------------------------------------
