@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, langid, leaks, paragraphs, pseudonyms, recurrent, repeats, rules, simhash, warc
+from ticketmill.llm import (
+    alignment, bpe, fim, langid, leaks, paragraphs, pseudonyms, recurrent, repeats, rules, simhash, token_counts, warc,
+)
 from ticketmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,11 @@ REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+# Tokens that a training window of the registered query holds.
+TOKEN_LIMIT = 4096
 
 # A key for the registered queries; real data needs a secret one.
 PSEUDONYM_KEY = "example key of the registered queries"
@@ -89,3 +96,21 @@ ORACLES["op9_adaptive_rules"] = rules.ORACLE
 @query
 def op10_pivot_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("text_key", "fp", "component")
+
+
+@query
+def op11_distinct_text_alignment(spark, sf):
+    return alignment.align_documents(table(spark, sf, "documents"), BYTE_LEVEL, PIECES)
+
+
+@query
+def op12_framed_fill_in_middle(spark, sf):
+    return fim.fill_in_middle(table(spark, sf, "documents"))
+
+
+ORACLES["op12_framed_fill_in_middle"] = fim.ORACLE
+
+
+@query
+def op13_balanced_token_counts(spark, sf):
+    return token_counts.count_tokens(table(spark, sf, "documents"), PIECES, TOKEN_LIMIT)
