@@ -55,7 +55,7 @@ def test_outputs_and_restoring_from_them(spark, monkeypatch):
     df = spark.createDataFrame(rows_of(TEXTS), "id long, text string")
     stored = materialise(fim.store_frames(df, "id"))
     for r in fim.transform(stored, rate=100, spm_share=50, with_output=True).collect():
-        frames = fim.Frames(r.out_frames, r.out_ends)
+        frames = fim.Frames(r.out_frames, r.out_ends, fim.Zstd())
         texts = {expected(i, t, 100, 50)[5] for i, t in rows_of(TEXTS) if i == r.id}
         assert b"".join(frames.stream()).decode() in texts
         assert hashed(b"".join(fim.restore(frames, r.form)).decode()) == r.restored_sha256
@@ -64,7 +64,7 @@ def test_outputs_and_restoring_from_them(spark, monkeypatch):
 def test_only_needed_frames_are_decompressed(monkeypatch):
     monkeypatch.setattr(fim, "FRAME_BYTES", 100)
     text = "".join(random.Random(1).choices("ab東🙂 ", k=5000))
-    out = fim.Writer()
+    out = fim.Writer(fim.Zstd())
     out.write(text.encode())
     frames = out.close()
     assert len(frames.frames) > 50 and frames.units == 5000
@@ -80,7 +80,7 @@ def test_only_needed_frames_are_decompressed(monkeypatch):
 def test_marker_across_frames(monkeypatch):
     monkeypatch.setattr(fim, "FRAME_BYTES", 5)
     for lead in range(12):
-        out = fim.Writer()
+        out = fim.Writer(fim.Zstd())
         out.write(("東" + "x" * lead + "<M>tail").encode())
         frames = out.close()
         assert frames.find(b"<M>") == lead + 1

@@ -25,21 +25,28 @@ ORDERS = {"psm": ((PREFIX, 0), (SUFFIX, 2), (MIDDLE, 1)), "spm": ((SUFFIX, 2), (
 FRAMES = "frames array<binary>, ends array<bigint>"
 
 
-class Frames:
-    """A text as independent compressed frames; ``ends`` counts the code points up to each frame's end."""
+class Zstd:
+    """One compressor and one decompressor for all texts of a task; each holds buffers of its own."""
 
-    def __init__(self, frames: list[bytes], ends: list[int]):
+    def __init__(self) -> None:
         import zstandard
 
-        self.frames, self.ends = frames, ends
-        self.reader = zstandard.ZstdDecompressor()
+        self.pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        self.unpack = zstandard.ZstdDecompressor().decompress
+
+
+class Frames:
+    """A text as independent compressed frames; ``ends`` counts the code points up to each frame's end."""
+
+    def __init__(self, frames: list[bytes], ends: list[int], zstd: Zstd):
+        self.frames, self.ends, self.zstd = frames, ends, zstd
 
     @property
     def units(self) -> int:
         return self.ends[-1] if self.ends else 0
 
     def frame(self, k: int) -> bytes:
-        return self.reader.decompress(self.frames[k])
+        return self.zstd.unpack(self.frames[k])
 
     def stream(self, start: int = 0, end: int | None = None) -> Iterator[bytes]:
         """Bytes of the code points from ``start`` to ``end``, frame by frame; others are not decompressed."""
@@ -69,10 +76,8 @@ class Frames:
 class Writer:
     """Collects bytes of whole code points into frames."""
 
-    def __init__(self) -> None:
-        import zstandard
-
-        self.pack = zstandard.ZstdCompressor(level=LEVEL).compress
+    def __init__(self, zstd: Zstd) -> None:
+        self.zstd = zstd
         self.held: list[bytes] = []
         self.size = 0
         self.frames: list[bytes] = []
@@ -91,13 +96,13 @@ class Writer:
     def flush(self) -> None:
         whole = b"".join(self.held)
         if whole:
-            self.frames.append(self.pack(whole))
+            self.frames.append(self.zstd.pack(whole))
             self.ends.append((self.ends[-1] if self.ends else 0) + _units(whole))
         self.held, self.size = [], 0
 
     def close(self) -> Frames:
         self.flush()
-        return Frames(self.frames, self.ends)
+        return Frames(self.frames, self.ends, self.zstd)
 
 
 def _continues(raw: bytes) -> np.ndarray:
@@ -140,7 +145,7 @@ def compose(frames: Frames, form: str, first: int, second: int) -> Frames:
     if form == "plain":
         return frames
     bounds = (0, first, second, frames.units)
-    out = Writer()
+    out = Writer(frames.zstd)
     for marker, section in ORDERS[form]:
         out.write(marker)
         for raw in frames.stream(bounds[section], bounds[section + 1]):
@@ -181,10 +186,11 @@ def store_frames(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     id_type = to_arrow_type(key)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = Zstd()
         for batch in batches:
             stored = []
             for text in batch.column(1):
-                out = Writer()
+                out = Writer(zstd)
                 if text.is_valid:
                     raw = text.as_buffer()
                     at = 0
@@ -238,15 +244,17 @@ def transform(stored: DataFrame, rate: int = 90, spm_share: int = 20, with_outpu
         schema += ", out_frames array<binary>, out_ends array<bigint>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = Zstd()
         for batch in batches:
             rows, outputs = [], []
             for frames, ends, h in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text = Frames(frames.as_py(), ends)
+                text = Frames(frames.as_py(), ends, zstd)
                 form, first, second = cuts(text, h, rate, spm_share)
                 output = compose(text, form, first, second)
                 lengths = (None, None) if form == "plain" else (first, second - first)
                 rows.append((text.units, form, *lengths, digest(output.stream()), digest(restore(output, form))))
-                outputs.append(output)
+                if with_output:
+                    outputs.append(output)
             columns = list(map(list, zip(*rows))) or [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             found = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
