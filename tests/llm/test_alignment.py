@@ -113,7 +113,7 @@ def test_small_cache_and_long_text(libraries, monkeypatch):
     text = "".join(rng.choice(" \n\t") * rng.randrange(1, 3) + "".join(rng.choices("abcé9!", k=rng.randrange(1, 9)))
                    for _ in range(180_000))
     assert len(text) > 1_000_000
-    n_a, n_b, n_groups, n_links, digest, codes, times = aligner.measure(text)
+    n_a, n_b, n_groups, n_links, digest, codes, times = aligner.measure([text])[0]
     [(_, *expected)] = brute(libraries, [(0, text)])
     assert [n_a, n_b, n_groups, n_links, digest] == [expected[k] for k in (0, 1, 2, 3, 6)]
     assert times.sum() == n_links and len(aligner.known) <= 50 + 100_000
@@ -122,10 +122,10 @@ def test_small_cache_and_long_text(libraries, monkeypatch):
 
 def test_whole_texts_where_words_cannot_be_told(libraries):
     aligner = alignment.Aligner(open(BYTE_LEVEL, "rb").read(), open(PIECES, "rb").read())
-    expected = [aligner.measure(t)[:5] for t in ("the cat  sat", "a\nb c ")]
+    expected = [m[:5] for m in aligner.measure(["the cat  sat", "a\nb c "])]
     aligner.known.clear()
     aligner.by_words = False
-    assert [aligner.measure(t)[:5] for t in ("the cat  sat", "a\nb c ")] == expected
+    assert [m[:5] for m in aligner.measure(["the cat  sat", "a\nb c "])] == expected
 
 
 def test_empty_table_and_one_text_per_shuffled_row(spark):

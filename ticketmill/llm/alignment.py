@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ticketmill.llm.common import materialise, prepare, rows_of
 
-# Words a task remembers, the longest remembered, and characters of new words
-# that are encoded together.
+# Words a task remembers, the longest that are encoded together with others, and
+# characters of such words in one call.
 CACHE_WORDS = 300_000
 CACHE_CHARS = 60
 TOGETHER = 200_000
@@ -78,6 +78,7 @@ class Aligner:
             bytes([int(BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(listed)
         ]
+        self.numbers = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
 
@@ -104,34 +105,39 @@ class Aligner:
         """How many different pairs can ever be linked: of two tokens that end together, one ends with the other."""
         return int(2 * self.a_sizes.sum() + 2 * self.b_sizes.sum())
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both for a text that starts with a space, which the second tokenizer puts there itself."""
         a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(a, np.int64), np.array(self.b.encode(text[1:], out_type=int, num_threads=1), np.int64)
+        return a, self.b.encode(text[1:], out_type=int, num_threads=1)
 
-    def align(self, a: np.ndarray, b: np.ndarray, whole: bytes) -> tuple | None:
-        """``(n_a, n_b, n_groups, n_links, groups, pair codes)`` of one piece; None where bytes differ."""
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole:
+    def _groups(self, a: list[int], b: list[int], whole: bytes, ends: np.ndarray) -> list[tuple] | None:
+        """Of each piece of ``whole`` up to one of ``ends``: tokens (A times 2^32 plus B), groups, packed pair codes.
+
+        None where the tokens' bytes differ from ``whole`` or cross an end. Every
+        token has a byte, so an end is the end of one token of each.
+        """
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        common, to_a, to_b = np.intersect1d(
+            np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b]), assume_unique=True, return_indices=True
+        )
+        stop = np.searchsorted(common, ends)
+        if stop[-1] >= len(common) or (common[stop] != ends).any():
             return None
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        return self._cut(a, b, a_ends, b_ends)
-
-    @staticmethod
-    def _cut(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple:
-        # every token has a byte, so a common end is the end of one token of each
-        _, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        i, j = i + 1, j + 1
-        listed_a, listed_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, at_a, at_b = [], 0, 0
-        for end_a, end_b in zip(i.tolist(), j.tolist()):
-            groups.append(f"{','.join(listed_a[at_a:end_a])}|{','.join(listed_b[at_b:end_b])}")
-            at_a, at_b = end_a, end_b
-        codes = (a[i - 1] << 32 | b[j - 1]).tolist()
-        return len(a), len(b), len(groups), len(codes), ";".join(groups), codes
-
-    def learn(self, words: list[str]) -> None:
+        codes = (ids_a[to_a] << 32 | ids_b[to_b]).tobytes()
+        of_a, of_b = ([self.numbers[k] for k in ids] for ids in (a, b))
+        to_a, to_b = to_a + 1, to_b + 1
+        last_a, last_b = to_a.tolist(), to_b.tolist()
+        groups = [
+            (of_a[i] if j - i == 1 else ",".join(of_a[i:j])) + "|" + (of_b[k] if m - k == 1 else ",".join(of_b[k:m]))
+            for i, j, k, m in zip([0, *last_a], last_a, [0, *last_b], last_b)
+        ]
+        counts = (np.diff(to_a[stop], prepend=0) << 32 | np.diff(to_b[stop], prepend=0)).tolist()
+        upto = (stop + 1).tolist()
+        return [(n, ";".join(groups[i:j]), codes[8 * i : 8 * j]) for n, i, j in zip(counts, [0, *upto], upto)]
+
+    def learn(self, words: Iterable[str]) -> None:
         """Encode new words in one string per ``TOGETHER`` characters and share the tokens out again."""
         held: list[str] = []
         size = 0
@@ -148,63 +154,67 @@ class Aligner:
             self._together(held)
 
     def _alone(self, word: str) -> None:
-        if not self.by_words:
+        raw = word.encode()
+        if self.by_words:
+            # inside a text no space is put before a word: give it a neighbour and take that off again
+            a, b = self.encode(" a" + word)
+            skip_a, skip_b = map(len, self.encode(" a"))
+            a, b = a[skip_a:], b[skip_b:]
+        else:
             a, b = self.encode(word)
-            self.known[word] = self.align(a, b, word.encode())
-            return
-        # inside a text no space is put before a word: give it a neighbour and take that off again
-        a, b = self.encode(" a" + word)
-        first_a, first_b = self.encode(" a")
-        self.known[word] = self.align(a[len(first_a) :], b[len(first_b) :], word.encode())
+        self.known[word] = (self._groups(a, b, raw, np.array([len(raw)])) or [None])[0]
 
     def _together(self, words: list[str]) -> None:
         words = [" a", *words]  # so that the string starts with a space
-        a, b = self.encode("".join(words))
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         raw = [w.encode() for w in words]
-        ends = np.cumsum([len(r) for r in raw])
-        stop_a, stop_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        fits = (len(a_ends) and len(b_ends) and stop_a[-1] < len(a) and stop_b[-1] < len(b)
-                and (a_ends[stop_a] == ends).all() and (b_ends[stop_b] == ends).all())
-        if not fits:
-            for word in words:
-                self._alone(word)
+        found = self._groups(*self.encode("".join(words)), b"".join(raw), np.cumsum([len(r) for r in raw]))
+        if found is not None:
+            self.known.update(zip(words, found))
             return
-        from_a, from_b = 0, 0
-        for word, whole, to_a, to_b in zip(words, raw, (stop_a + 1).tolist(), (stop_b + 1).tolist()):
-            self.known[word] = self.align(a[from_a:to_a], b[from_b:to_b], whole)
-            from_a, from_b = to_a, to_b
-
-    def measure(self, text: str) -> tuple | None:
-        """Counts, digest, pair codes and their numbers of one text; None where it has no tokens."""
-        n_a = n_b = n_groups = n_links = 0
-        hashed, first = hashlib.sha256(), True
+        for word in words:
+            self._alone(word)
+
+    def measure(self, texts: list[str]) -> list[tuple | None]:
+        """Counts, digest, pair codes and their numbers of each text; None where it has no tokens.
+
+        The new words of all texts are learned together; a very long text comes
+        in parts after the others.
+        """
+        listed = [self.words(" " + text) for text in texts]
+        self._know(set().union(*[w for w in listed if isinstance(w, list)]))
+        done = {k: self._measure([w], False) for k, w in enumerate(listed) if isinstance(w, list)}
+        done |= {k: self._measure(_parts(w), True) for k, w in enumerate(listed) if k not in done}
+        return [done[k] for k in range(len(texts))]
+
+    def _know(self, words: set[str]) -> None:
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = words
+        self.learn(new)
+
+    def _measure(self, parts: Iterable[list[str]], learn: bool) -> tuple | None:
+        n, n_links = 0, 0
+        hashed, joint = hashlib.sha256(), b""
         codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        for part in _parts(self.words(" " + text)):
-            new = [w for w in dict.fromkeys(part) if w not in self.known]
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(part))
-            self.learn(new)
-            found = [self.known[w] for w in part]
-            for word in new:
-                if len(word) > CACHE_CHARS:
-                    del self.known[word]
+        for part in parts:
+            if learn:
+                self._know(set(part))
+            found = list(map(self.known.__getitem__, part))
             if None in found:
                 return None
-            counts = np.array([f[:4] for f in found], np.int64).sum(0)
-            n_a, n_b, n_groups, n_links = n_a + counts[0], n_b + counts[1], n_groups + counts[2], n_links + counts[3]
-            hashed.update(("" if first else ";").encode() + ";".join([f[4] for f in found]).encode())
-            first = False
-            flat = np.fromiter((c for f in found for c in f[5]), np.int64)
+            counts, groups, linked = zip(*found)
+            n += sum(counts)
+            hashed.update(joint + ";".join(groups).encode())
+            joint = b";"
+            flat = np.frombuffer(b"".join(linked), np.int64)
+            n_links += len(flat)
             codes, times = _merge(codes, times, flat)
-        return int(n_a), int(n_b), int(n_groups), int(n_links), hashed.hexdigest(), codes, times
+        # each common end closes one group and links its last two tokens
+        return n >> 32, n & 0xFFFFFFFF, n_links, n_links, hashed.hexdigest(), codes, times
 
 
 def _parts(words: Iterable[str]) -> Iterator[list[str]]:
-    if isinstance(words, list):
-        yield words
-        return
     held: list[str] = []
     for word in words:
         held.append(word)
@@ -244,9 +254,8 @@ def align_texts(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*shared.value)
         for block in rows_of(batches, "text_key", "copies", "text"):
-            rows = []
-            for key, copies, text in block:
-                rows.append((key, copies, *(aligner.measure(text) or NOTHING)))
+            measured = aligner.measure([text for _, _, text in block])
+            rows = [(key, copies, *(found or NOTHING)) for (key, copies, _), found in zip(block, measured)]
             columns = list(zip(*rows)) if rows else [()] * 9
             kinds = [pa.binary(), *[pa.int64()] * 5, pa.string(), *[pa.list_(pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays(
