@@ -1,5 +1,6 @@
 """Signals, confidence, changes, metrics, versions, pools and digests."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
 from ticketmill import schemas
-from ticketmill.operators import digest, evidence as ev
+from ticketmill.operators import contains, digest, evidence as ev, intervals, ordered
 from ticketmill.operators.monitor import to_alerts
 
 NOW = datetime(2026, 9, 30, 12, 0, 0)
@@ -215,3 +216,125 @@ def test_evidence_digest_and_parts(spark):
 def test_default_catalogue_of_rules_is_consistent():
     assert {r.weight for r in D.CLUSTER_RULES} == {90, 80, 70, 60, 50, 40}
     assert {m.flavour for m in D.METRICS} == set(D.METRIC_WORDS)
+
+
+# --- joins that must hold for long names, many pools, hot days and long changes ---
+def test_contains_pairs_against_brute_force(spark):
+    rng = random.Random(6)
+    letters = "ab é-1"
+    names = [(i, "".join(rng.choices(letters, k=rng.randrange(0, 12)))) for i in range(150)] + [(900, None), (901, "")]
+    long_name = "".join(rng.choices("xyz ", k=10_000)) + "needle"
+    names.append((999, long_name))
+    hints = ["".join(rng.choices(letters, k=n)) for n in (1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5) for _ in range(4)] + ["needle", "", None, "zz", "absent here"]
+    n = spark.createDataFrame(names, "ord int, t string")
+    h = spark.createDataFrame([(x,) for x in hints], "hint string")
+    got = sorted((r.hint, r.ord) for r in contains.contains_pairs(h, "hint", n, "t", "ord").collect())
+    assert got == sorted({(x, i) for x in hints if x for i, t in names if t and x in t})
+
+
+def test_resolve_pool_in_a_long_name(spark, cluster):
+    stock = spark.createDataFrame([(1, "other", "p" * 10_000 + "KIO4" + "q" * 9_000, 3), (2, "kio4-late", None, 5)], "ord int, name string, display_name string, error_count int")
+    hinted = cluster.withColumn("pool_hint", F.lit("Kio4"))
+    assert ev.resolve_pool(hinted, stock).first().pool == "other"
+    assert ev.pool_error_signal(hinted, stock).first()["count"] == 8
+    assert ev.resolve_pool(hinted.withColumn("pool_hint", F.lit("q")), stock).first().pool == "other"
+
+
+def test_signal_predicates_compare_their_own_field(spark, cluster):
+    events = logs(spark, ("CLONE", 2, 30, "a"), ("PUSH", 3, 30, "CLONE"))
+    rows = [("e", "effect", "horizon", "EventType", "CLONE"), ("e", "effect", "horizon", "DesktopId", "a"),
+            ("d", "effect", "horizon", "DesktopId", "CLONE"), ("n", "cause", "horizon", "Nowhere", "CLONE")]
+    by_field = spark.createDataFrame(rows, "key string, role string, stream string, field string, value string")
+    counts = lambda: {r.signal_key: r["count"] for r in ev.signal_counts(events, cluster, by_field).collect()}
+    # an event that meets two predicates of a signal counts once; another field is no match
+    assert counts() == {"e": 2, "d": 3, "n": 0}
+    kept, ev.CATALOG_ROWS = ev.CATALOG_ROWS, 1
+    try:
+        assert counts() == {"e": 2, "d": 3, "n": 0}
+    finally:
+        ev.CATALOG_ROWS = kept
+
+
+def test_dyadic_nodes(spark):
+    rng = random.Random(3)
+    spans = [(lo, lo + rng.choice([0, 1, 2, 5, 40, 1000])) for lo in [rng.randrange(-300, 300) for _ in range(60)]]
+    df = spark.createDataFrame(spans, "lo long, hi long").select("lo", "hi", intervals.cover(F.col("lo"), F.col("hi"), 12).alias("nodes"))
+    for r in df.collect():
+        cells = [c for n in r.nodes for c in range(n.node << n.level, (n.node + 1) << n.level)]
+        assert sorted(cells) == list(range(r.lo, r.hi + 1)) and len(r.nodes) <= 2 * 11
+    up = spark.createDataFrame([(-5,), (0,), (77,)], "c long").select("c", intervals.above(F.col("c"), 4).alias("n")).collect()
+    assert all([(n.level, n.node) for n in r.n] == [(k, r.c >> k) for k in range(5)] for r in up)
+
+
+def test_change_overlap_against_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    hour = timedelta(hours=1)
+    windows = [(t, t + rng.choice([timedelta(0), hour, 30 * hour])) for t in [NOW - rng.randrange(0, 4000) * hour / 3 for _ in range(25)]]
+    plans = [(t, t + rng.choice([timedelta(0), hour / 7, 5 * hour, 3000 * hour])) for t in [NOW - rng.randrange(0, 5000) * hour / 3 for _ in range(60)]]
+    plans += [(NOW - 87_660 * hour, NOW), (windows[0][0], windows[0][0]), (windows[1][1], windows[1][1] + hour), (NOW, NOW - hour)]
+    c = spark.createDataFrame([(f"c{i}", a, b) for i, (a, b) in enumerate(windows)], "cluster_id string, window_start timestamp, window_end timestamp")
+    rows = [(i, a, b, NOW - rng.randrange(0, 2000) * hour) for i, (a, b) in enumerate(plans)] + [(500, None, None, NOW), (501, NOW, None, NOW)]
+    ch = spark.createDataFrame(rows, "id int, start timestamp, end timestamp, updated timestamp")
+    want = sorted((f"c{i}", j) for i, (a, b) in enumerate(windows) for j, s, e, u in rows
+                  if s and e and s <= e and s <= b and e >= a and u >= a - 72 * hour)
+    for tile in (20_000, 3):
+        monkeypatch.setattr(intervals.stab, "__defaults__", (tile,))
+        got = sorted((r.cluster_id, r.id) for r in ev.change_overlap(c, ch).collect())
+        assert got == want and len(want) > 50
+    anyhow = sorted((r.cluster_id, r.id) for r in ev.change_overlap(c, ch, require_overlap=False).collect())
+    assert anyhow == sorted((f"c{i}", j) for i, (a, b) in enumerate(windows) for j, s, e, u in rows if u >= a - 72 * hour)
+
+
+def test_hot_day_of_changes(spark, cluster):
+    minute = "timestampadd(SECOND, cast(id % 3600 as int), timestamp'2026-09-30 11:00:00')"
+    many = spark.range(100_000).selectExpr("id", f"{minute} start", f"{minute} end", "timestamp'2026-09-30 08:00:00' updated")
+    assert ev.change_overlap(cluster, many).count() == 100_000
+    late = cluster.withColumn("window_end", F.col("window_start"))
+    assert ev.change_overlap(late, many).count() == 28
+
+
+def test_pool_counts_meet_active_pools_only(spark, catalog):
+    quiet = [("CLONE", 1, 60 * 24 * 30 + i, f"p{i}") for i in range(3000)]
+    events = logs(spark, *quiet, ("CLONE", 4, 30, "p1"), ("PUSH", 2, 300, "p7"))
+    clusters = spark.createDataFrame([(f"c{i}", "k", before(60), NOW) for i in range(20)], "cluster_id string, key string, window_start timestamp, window_end timestamp")
+    seen = []
+    counts = ordered.range_counts
+    try:
+        ordered.range_counts = lambda e, p, *a, **k: seen.append(p) or counts(e, p, *a, **k)
+        got = ev.pool_counts(events, clusters, catalog).collect()
+    finally:
+        ordered.range_counts = counts
+    assert {(r.cluster_id, r.name, r.n) for r in got} == {(f"c{i}", p, n) for i in range(20) for p, n in (("p1", 4), ("p7", 2))}
+    assert seen[0].count() == 40  # not 20 clusters by 3,000 pools
+
+
+def test_version_intervals_against_brute_force(spark):
+    rng = random.Random(5)
+    stamp = lambda t: t.strftime("%a, %d %b %Y %H:%M:%S GMT")
+    rows = []
+    for app in ("Kiosk prod", "Kiosk lab", "Other Prod"):
+        at = NOW - timedelta(hours=900)
+        for _ in range(25):
+            at += timedelta(hours=rng.choice([0, 1, 30, 60]))
+            rows.append((app, at, rng.choice([stamp(at - timedelta(hours=rng.choice([0, 99, 100, 150]))), "bad date", None]), rng.choice(["1", "2"])))
+    ends = [NOW - timedelta(hours=rng.randrange(0, 1000)) for _ in range(40)] + [rows[5][1], rows[5][1] - timedelta(seconds=1)]
+    snap = spark.createDataFrame(rows, "app string, observed_at timestamp, last_modified string, version string")
+    c = spark.createDataFrame([(f"c{i}", "app:kiosk", e, e) for i, e in enumerate(ends)], "cluster_id string, key string, window_start timestamp, window_end timestamp")
+
+    def brute(end):
+        n = 0
+        for app in {r[0] for r in rows}:
+            mine = sorted((r[1], f"{r[3]}|{r[2] or 'None'}", r[2]) for r in rows if r[0] == app)
+            upto = [k for k, r in enumerate(mine) if r[0] <= end]
+            if not upto:
+                continue
+            k = upto[-1]
+            changed = k > 0 and mine[k][1] != mine[k - 1][1]
+            text = mine[k][2]
+            recent = text not in (None, "bad date") and end - datetime.strptime(text, "%a, %d %b %Y %H:%M:%S GMT") <= timedelta(hours=100)
+            n += changed or ("prod" in app.lower() and recent)
+        return n
+
+    got = {r.cluster_id: r["count"] for r in ev.version_change_signal(c, snap, "kiosk").collect()}
+    want = {f"c{i}": n for i, e in enumerate(ends) if (n := brute(e))}
+    assert got == want and len(set(want.values())) > 1

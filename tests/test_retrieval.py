@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketmill import schemas
 from ticketmill.functions.rules import metadata_filter
-from ticketmill.operators import feedback, gold, search, vectors
+from ticketmill.operators import feedback, gold, lexical, search, vector_index, vectors
 from ticketmill.sources import records
 
 FIX = "Unlocked account in AD and cleared cached credential on the phone."
@@ -152,8 +152,8 @@ def brute_bm25(docs, queries, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("matrix_bytes", [search.MATRIX_BYTES, 0])
-def test_bm25_against_brute_force(spark, matrix_bytes):
+@pytest.mark.parametrize("block_docs", [lexical.BLOCK_DOCS, 4])
+def test_bm25_against_brute_force(spark, block_docs, tmp_path):
     rng = random.Random(5)
     words = ["mail", "vpn", "disk", "login", "slow", "print", "the", "a"]
     texts = [(i, " ".join(rng.choices(words, [1, 1, 1, 1, 1, 1, 9, 5], k=rng.randint(1, 40)))) for i in range(150)]
@@ -162,16 +162,58 @@ def test_bm25_against_brute_force(spark, matrix_bytes):
     d = spark.createDataFrame(texts, "ticket_id bigint, symptom_text string")
     q = spark.createDataFrame(asks, "query_id bigint, text string").withColumn("exclude_id", F.lit(150).cast("bigint"))
     want = {k: v for k, v in brute_bm25(texts, asks).items() if k[1] != 150}
-    got = search.bm25_scores(d, q, 1000, ("symptom_text",), matrix_bytes=matrix_bytes).collect()
+    index = lexical.write_index(d, str(tmp_path / "index"), ("symptom_text",), block_docs=block_docs)
+    got = lexical.bm25_scores(d, q, 1000, index=index).collect()
     assert {(r.query_id, r.ticket_id): round(r.score, 6) for r in got} == want
-    top = search.bm25_scores(d, q, 5, ("symptom_text",), matrix_bytes=matrix_bytes).filter("query_id = 1").orderBy("rank").collect()
+    top = lexical.bm25_scores(d, q, 5, ("symptom_text",), index=index if block_docs == 4 else None).filter("query_id = 1").orderBy("rank").collect()
     order = sorted((k for k in want if k[0] == 1), key=lambda k: (-want[k], k[1]))
     assert [r.ticket_id for r in top] == [k[1] for k in order[:5]]
 
 
+def test_stored_index_several_exclusions_and_large_ids(spark, tmp_path):
+    big = 2**53 + 1
+    texts = [(big, "vpn slow"), (big + 1, "vpn slow"), (big + 2, "vpn"), (4, "vpn disk"), (5, "other"), (None, "vpn vpn")]
+    d = spark.createDataFrame(texts, "ticket_id bigint, symptom_text string")
+    asks = [(1, "vpn slow", big), (1, "vpn slow", big + 1), (2, "vpn slow", None), (3, " ", 4), (3, " ", 5), (4, "unknown", None)]
+    q = spark.createDataFrame(asks, "query_id bigint, text string, exclude_id bigint")
+    lexical.write_index(d, str(tmp_path / "index"), ("symptom_text",))
+    index = lexical.open_index(spark, str(tmp_path / "index"))
+    got = {(r.query_id, r["rank"]): r.ticket_id for r in lexical.bm25_search(index, q, 2).collect()}
+    assert got == {(1, 1): big + 2, (1, 2): 4, (2, 1): big, (2, 2): big + 1, (3, 1): big, (3, 2): big + 1}
+    adhoc = lexical.bm25_scores(d, q, 2, ("symptom_text",)).collect()
+    assert {(r.query_id, r["rank"]): r.ticket_id for r in adhoc} == got
+    none = lexical.write_index(d.limit(0), str(tmp_path / "empty"), ("symptom_text",))
+    assert lexical.bm25_search(none, q, 2).count() == 0
+
+
+def test_blocks_that_cannot_reach_the_top_are_not_read(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    filler = [f"w{k}" for k in range(50)]
+    texts = [(i, " ".join(["common"] + rng.choices(filler, k=rng.choice([3, 9, 30, 90, 270])))) for i in range(3000)]
+    texts += [(3000 + i, "rare common " + " ".join(rng.choices(filler, k=4))) for i in range(12)]
+    d = spark.createDataFrame(texts, "ticket_id bigint, symptom_text string")
+    q = spark.createDataFrame([(1, "rare common"), (2, "common"), (3, "w7 common w9")], "query_id bigint, text string")
+    index = lexical.write_index(d, str(tmp_path / "index"), ("symptom_text",), block_docs=8)
+    asked, read = [], []
+    further, scores = lexical.further_blocks, lexical._scores
+    monkeypatch.setattr(lexical, "further_blocks", lambda b, *a: asked.append(b) or further(b, *a))
+    monkeypatch.setattr(lexical, "_scores", lambda i, w, b, *a: read.append(b) or scores(i, w, b, *a))
+    got = lexical.bm25_search(index, q, 5).collect()
+    want = brute_bm25(texts, [(r.query_id, r.text) for r in q.collect()])
+    for query in (1, 2, 3):
+        best = sorted((k for k in want if k[0] == query), key=lambda k: (-want[k], k[1]))[:5]
+        assert [r.ticket_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == query] == [k[1] for k in best]
+    have = {r.query_id: r["count"] for r in asked[0].groupBy("query_id").count().collect()}
+    seen = {}
+    for blocks in read:
+        for r in blocks.groupBy("query_id").count().collect():
+            seen[r.query_id] = seen.get(r.query_id, 0) + r["count"]
+    assert have[1] > 100 and seen[1] < have[1] / 10 and seen[2] < have[2] / 2 and seen[3] < have[3]
+
+
 def test_query_without_words_matches_all(spark, docs):
     q = spark.createDataFrame([(1, " ,. "), (2, "printer")], "query_id bigint, text string")
-    got = search.bm25_scores(docs, q, 2, ("symptom_text",)).orderBy("query_id", "rank").collect()
+    got = lexical.bm25_scores(docs, q, 2, ("symptom_text",)).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.ticket_id, r.score) for r in got if r.query_id == 1] == [(1, 101, 1.0), (1, 102, 1.0)]
     assert [r.ticket_id for r in got if r.query_id == 2] == [103]
 
@@ -191,6 +233,57 @@ def test_knn_against_brute_force(spark, limit):
         assert [r.ticket_id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == want
 
 
+def vector_rows(spark, mat, ids=None):
+    rows = [(int(i), None if v is None else [float(x) for x in v]) for i, v in zip(ids if ids is not None else range(len(mat)), mat)]
+    return spark.createDataFrame(rows, "ticket_id bigint, symptom_vector array<float>")
+
+
+def hits(df):
+    return sorted((r.query_id, r["rank"], r.ticket_id, r.score) for r in df.collect())
+
+
+def test_indexed_knn_equals_the_full_comparison(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8)) * 4
+    mat = [*(centres[rng.integers(12, size=900)] + rng.normal(size=(900, 8)) * 0.2).astype(np.float32)]
+    mat += [mat[7]] * 400 + [np.zeros(8, np.float32)] * 5  # a large group of copies, and vectors without direction
+    ids = [2**53 + i for i in range(len(mat))]
+    d = vector_rows(spark, mat, ids).unionByName(vector_rows(spark, [None, [1.0], mat[0]], [1, 2, 3])).unionByName(
+        spark.createDataFrame([(None, [1.0] * 8), (4, [1.0, None] + [0.0] * 6)], "ticket_id bigint, symptom_vector array<float>"))
+    monkeypatch.setattr(vector_index, "CELL_DOCS", 50)
+    index = vector_index.write_index(d, str(tmp_path / "index"), lists=16)
+    asked = [0, 7, 8, 500, 1000, 1302]
+    q = spark.createDataFrame([(i, [float(x) for x in mat[i]]) for i in asked], "query_id bigint, vector array<float>")
+    q = q.withColumn("exclude_id", F.lit(2**53).cast("bigint") + F.col("query_id"))
+    read = []
+    pairs = vector_index.wanted_cells
+    monkeypatch.setattr(vector_index, "wanted_cells", lambda *a: read.append(pairs(*a)) or read[-1])
+    want = hits(vectors.knn(d, q, 9))
+    assert hits(vector_index.knn(index, q, 9)) == want and len(want) == 9 * len(asked)
+    # lists that cannot reach the ninth score are not read
+    cells = index.cells.count()
+    used = sum(r.select("query_id", "cell").distinct().count() for r in read if "cell" in r.columns)
+    assert cells > 12 and used < cells * len(asked) / 2
+    several = q.unionByName(q.withColumn("exclude_id", F.lit(2**53 + 7).cast("bigint")))
+    found = hits(vector_index.knn(index, several, 9))
+    assert not {r[2] for r in found if r[0] == 7} & {2**53 + 7}
+    assert all(r[2] not in (2**53 + r[0], 2**53 + 7) for r in found)
+    opened = vector_index.open_index(spark, str(tmp_path / "index"))
+    assert hits(vector_index.knn(opened, q.limit(2), 3)) == hits(vectors.knn(d, q.limit(2), 3))
+
+
+def test_indexed_knn_of_spread_vectors_and_empty_tables(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    mat = rng.normal(size=(300, 5)).astype(np.float32)
+    d = vector_rows(spark, mat)
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=5)]) for i in range(20)], "query_id bigint, vector array<float>")
+    index = vector_index.write_index(d, str(tmp_path / "a"), lists=8)
+    assert hits(vector_index.knn(index, q, 400)) == hits(vectors.knn(d, q, 400))
+    assert hits(vector_index.knn(index, q, 1)) == hits(vectors.knn(d, q, 1))
+    empty = vector_index.write_index(d.limit(0), str(tmp_path / "b"), lists=8)
+    assert vector_index.knn(empty, q, 3).count() == 0 and vector_index.knn(index, q.limit(0), 3).count() == 0
+
+
 def test_embedding_batches_and_order(spark, docs):
     def fn(texts):
         assert len(texts) <= 2

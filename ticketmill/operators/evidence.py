@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
+from ticketmill.functions.once import compute_once
 from ticketmill.functions.rules import pool_hint
 from ticketmill.functions.status import parse_status_banner
 from ticketmill.functions.times import http_date_age_hours, parse_ts
-from ticketmill.operators import ordered
+from ticketmill.operators import intervals, ordered
+from ticketmill.operators.contains import contains_pairs
 
 HOUR = 3_600_000_000
 SIGNAL = ("cluster_id", "signal_key", "role", "stream", "mode", "count", "prior", "threshold_hit")
@@ -100,28 +102,17 @@ def cluster_keywords(
     )
 
 
-def pool_substrings(pools: DataFrame) -> DataFrame:
-    """Pools with every substring of their names, so that "contains" is an equality.
-
-    The inventory is small and its names short; hints then meet it in a hash
-    join instead of being compared with every pool.
-    """
+def _pool_names(pools: DataFrame) -> DataFrame:
     name = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("display_name", F.lit(""))))
-    named = pools.withColumn("_n", name)
-    starts = F.explode(F.sequence(F.lit(1), F.length("_n")))
-    at = named.filter(F.length("_n") > 0).withColumn("_at", starts)
-    width = F.explode(F.sequence(F.lit(1), F.length("_n") - F.col("_at") + 1))
-    parts = at.withColumn("_w", width).withColumn("part", F.expr("substring(_n, _at, _w)"))
-    return parts.drop("_n", "_at", "_w").dropDuplicates(["ord", "part"])
+    return pools.withColumn("_text", name)
 
 
 def resolve_pool(hints: DataFrame, pools: DataFrame) -> DataFrame:
     """First pool (by ``ord``) whose name or display name contains the hint."""
-    wanted = hints.select("pool_hint").filter("pool_hint IS NOT NULL").distinct()
-    found = (
-        wanted.join(pool_substrings(pools), F.lower("pool_hint") == F.col("part"))
-        .groupBy("pool_hint").agg(F.min_by("name", "ord").alias("pool"))
-    )
+    wanted = hints.select("pool_hint", F.lower("pool_hint").alias("_low")).filter("pool_hint IS NOT NULL").distinct()
+    pairs = contains_pairs(wanted, "_low", _pool_names(pools), "_text", "ord")
+    first = pairs.join(pools.select("ord", "name"), "ord").groupBy("hint").agg(F.min_by("name", "ord").alias("pool"))
+    found = wanted.join(first, F.col("_low") == F.col("hint")).select("pool_hint", "pool")
     return hints.join(found, "pool_hint", "left").select("cluster_id", "pool_hint", "pool")
 
 
@@ -131,21 +122,64 @@ def resolve_pool(hints: DataFrame, pools: DataFrame) -> DataFrame:
 CATALOG_ROWS = 1_000
 
 
-def tag_signals(events: DataFrame, catalog: DataFrame) -> DataFrame:
+# The event columns that the names of a catalog's ``field`` stand for.
+EVENT_FIELDS = {
+    "EventType": "event_type", "Source": "source", "Severity": "severity", "DesktopId": "desktop_id", "Desktop": "desktop",
+    "User": "user",
+}
+
+
+def tag_signals(
+    events: DataFrame, catalog: DataFrame, fields: dict[str, str] = EVENT_FIELDS
+) -> DataFrame:
     """Events with the signals they belong to; an event counts once per signal.
 
-    ``events`` has the columns the catalog's ``field`` names are mapped to.
-    Excluded high-volume events are not in the catalog and so never match.
+    A predicate compares its own ``field`` with its value, exactly: ``fields``
+    names the event column a field stands for, another name is the column
+    itself, and a field the events do not have matches nothing. A catalog
+    without ``field`` means the event type. Excluded high-volume events are not
+    in the catalog and so never match.
     """
-    signals = catalog.select("key", "role", "stream", "value").distinct().select(
-        F.col("key").alias("signal_key"), "role", "stream", F.col("value").alias("event_type")
-    )
-    kinds = [r[0] for r in signals.select("event_type").limit(CATALOG_ROWS + 1).collect()]
-    if len(kinds) <= CATALOG_ROWS:
-        # the file scan skips everything else
-        events = events.filter(F.col("event_type").isin(*sorted(set(kinds))))
-        signals = F.broadcast(signals)
-    return events.join(signals, ["stream", "event_type"])
+    field = F.coalesce("field", F.lit("event_type")) if "field" in catalog.columns else F.lit("event_type")
+    predicates = catalog.select(
+        F.col("key").alias("signal_key"), "role", "stream", field.alias("_field"), F.col("value").alias("_value")
+    ).where("_value IS NOT NULL").distinct()
+    few = predicates.limit(CATALOG_ROWS + 1).collect()
+    column = {name: fields.get(name, name) for name in {r["_field"] for r in few}}
+    if len(few) <= CATALOG_ROWS:
+        return _tag_by_expression(events, few, column)
+    names = {r[0] for r in predicates.select("_field").distinct().collect()}  # columns of the events, at most
+    column = {name: fields.get(name, name) for name in names}
+    given = [F.struct(F.lit(n).alias("_field"), F.col(c).cast("string").alias("_value")) for n, c in sorted(column.items()) if c in events.columns]
+    numbered = events.withColumn("_row", F.struct(*events.columns, F.monotonically_increasing_id().alias("_id")))
+    met = numbered.select("_row", "stream", F.inline(F.array(*given))).join(predicates, ["stream", "_field", "_value"])
+    once = met.select("_row", "signal_key", "role", "stream").distinct() if len(given) > 1 else met
+    return once.select(*[F.col("_row")[c].alias(c) for c in events.columns], "signal_key", "role")
+
+
+def _tag_by_expression(events: DataFrame, predicates: list, column: dict[str, str]) -> DataFrame:
+    """The predicates of a small catalog as one expression: no join, and the scan skips everything else."""
+    by_signal: dict[tuple, list[Column]] = {}
+    hits: list[Column] = []
+    values: dict[tuple, set] = {}
+    for r in predicates:
+        if column[r["_field"]] in events.columns:
+            values.setdefault((r["stream"], column[r["_field"]], r["signal_key"], r["role"]), set()).add(r["_value"])
+    for (stream, name, key, role), wanted in sorted(values.items()):
+        hit = (F.col("stream") == stream) & F.col(name).cast("string").isin(*sorted(wanted))
+        by_signal.setdefault((key, role), []).append(hit)
+        hits.append(hit)
+    if not hits:
+        return events.withColumns({"signal_key": F.lit(""), "role": F.lit("")}).where(F.lit(False))
+    any_hit, tags = hits[0], []
+    for hit in hits[1:]:
+        any_hit = any_hit | hit
+    for (key, role), parts in sorted(by_signal.items()):
+        some = parts[0]
+        for part in parts[1:]:
+            some = some | part
+        tags.append(F.when(some, F.struct(F.lit(key).alias("signal_key"), F.lit(role).alias("role"))))
+    return events.where(any_hit).select(*events.columns, F.inline(F.array_compact(F.array(*tags))))
 
 
 def signal_counts(
@@ -272,16 +306,29 @@ def pool_counts(
 
     Counted per pool at the ends of each window, so no event is paired with a
     cluster; a cluster with a pool looks at that pool alone in scoped streams.
+    Which pools a cluster looks at is read from the dyadic nodes of time that a
+    pool has events in: those that fill the cluster's window.
     """
     keys = ["signal_key", "pool_id", "pool_name"]
     points = tag_signals(events, catalog).filter("desktop_id IS NOT NULL OR desktop IS NOT NULL").select(
         "signal_key", F.coalesce("desktop_id", F.lit("")).alias("pool_id"), F.coalesce("desktop", F.lit("")).alias("pool_name"),
         F.unix_micros("timestamp").alias("at"),
     )
-    known = points.select(*keys).distinct()
-    probes = _probes(clusters, catalog, scoped_streams).join(known, "signal_key").filter("scope = '*' OR scope = pool_id")
     look = F.when(F.col("role") == "cause", cause_hours).otherwise(effect_hours) * F.lit(HOUR)
     start, end = F.unix_micros("window_start") - look, F.unix_micros("window_end") + 1
+    first, last = (intervals.cell(F.floor(x / 1_000_000)) for x in (start, end - 1))
+    asked = _probes(clusters, catalog, scoped_streams)
+    longest = asked.agg(F.max(last - first)).first()[0]
+    levels = (longest or 0).bit_length() + 1
+    # one row per pool, signal and node with events
+    active = points.select(*keys, intervals.cell(F.floor(F.col("at") / 1_000_000)).alias("_cell")).distinct().select(
+        *keys, F.explode(intervals.above(F.col("_cell"), levels)).alias("_node")
+    ).distinct()
+    windows = asked.where("window_start <= window_end").withColumn("_node", F.explode(intervals.cover(first, last, levels)))
+    known = windows.select("cluster_id", "signal_key", "scope", "_node").join(active, ["signal_key", "_node"]).where(
+        "scope = '*' OR scope = pool_id"
+    ).select("cluster_id", *keys).distinct()
+    probes = asked.join(known, ["cluster_id", "signal_key"])
     counted = ordered.range_counts(points, probes, keys, "at", "cluster_id", {"n": (start, end)})
     return counted.filter("n > 0").groupBy("cluster_id", "pool_id", "pool_name").agg(F.sum("n").alias("n")).select(
         "cluster_id", F.nullif("pool_id", F.lit("")).alias("name"), F.nullif("pool_name", F.lit("")).alias("pool"), "n"
@@ -326,10 +373,8 @@ def pool_error_signal(clusters: DataFrame, pools: DataFrame) -> DataFrame:
     stock = pools.withColumn("_e", errors)
     hints = clusters.select("cluster_id", F.lower("pool_hint").alias("_h"))
     # one total per distinct hint, then back to the clusters
-    per_hint = (
-        hints.filter("_h IS NOT NULL").select("_h").distinct()
-        .join(pool_substrings(stock), F.col("_h") == F.col("part")).groupBy("_h").agg(F.sum("_e").alias("_t"))
-    )
+    pairs = contains_pairs(hints, "_h", _pool_names(stock), "_text", "ord")
+    per_hint = pairs.join(stock.select("ord", "_e"), "ord").groupBy(F.col("hint").alias("_h")).agg(F.sum("_e").alias("_t"))
     everywhere = stock.agg(F.coalesce(F.sum("_e"), F.lit(0))).scalar()
     counted = hints.join(per_hint, "_h", "left").withColumn(
         "_c", F.when(F.col("_h").isNull(), everywhere).otherwise(F.coalesce("_t", F.lit(0)))
@@ -379,34 +424,26 @@ def change_overlap(
 ) -> DataFrame:
     """Changes whose planned window overlaps the cluster's, updated within the look-back.
 
-    Both sides are cut into days and joined on the day; the pair is kept on the
-    first day the two share, so it appears once. Without the overlap rule every
-    change updated since is a pair, for the keyword test of a few clusters;
-    where only the number is wanted, :func:`change_updates` counts without pairs.
+    Two intervals overlap where one starts within the other: a change that
+    starts in the cluster's window, or a window that starts later within the
+    change's. Both are points in intervals (:func:`~ticketmill.operators.intervals.stab`),
+    so each pair appears once and a change of any length has few rows. Without
+    the overlap rule every change updated since is a pair, for the keyword test
+    of a few clusters; where only the number is wanted, :func:`change_updates`
+    counts without pairs.
     """
-    day = 86_400
-
-    def days(lo: Column, hi: Column) -> Column:
-        return F.sequence(F.floor(F.unix_seconds(lo) / day), F.floor(F.unix_seconds(hi) / day))
-
     since = F.col("window_start") - F.make_dt_interval(hours=F.lit(lookback_hours))
-    fresh = F.col("updated") >= F.col("since")
     c = clusters.withColumn("since", since)
     if not require_overlap:
-        newest = changes.agg(F.max("updated")).scalar()
-        left = c.filter(F.col("since") <= newest).withColumn("_d", F.explode(days(F.col("since"), newest)))
-        right = changes.withColumn("_d", F.floor(F.unix_seconds("updated") / day))
-        return left.join(right, "_d").filter(fresh).drop("_d", "since")
-    left = c.withColumn("_d", F.explode(days(F.col("window_start"), F.col("window_end"))))
-    right = changes.filter("start IS NOT NULL AND end >= start").withColumn(
-        "_d", F.explode(days(F.col("start"), F.col("end")))
-    )
-    first = F.floor(F.unix_seconds(F.greatest("start", "window_start")) / day)
-    hit = (
-        (F.col("start") <= F.col("window_end")) & (F.col("end") >= F.col("window_start"))
-        & (F.col("_d") == first)
-    )
-    return left.join(right, "_d").filter(hit & fresh).drop("_d", "since")
+        newest = changes.agg(F.max("updated")).first()[0]
+        until = c.withColumn("_until", F.lit(newest).cast("timestamp"))
+        return intervals.stab(changes, "updated", until, "since", "_until").select(*clusters.columns, *changes.columns)
+    fresh = F.col("updated") >= F.col("since")
+    planned = changes.filter("start IS NOT NULL AND end >= start")
+    begins = intervals.stab(planned, "start", c, "window_start", "window_end")
+    within = intervals.stab(c, "window_start", planned, "start", "end").filter("window_start > start")
+    columns = [*clusters.columns, *changes.columns]
+    return begins.filter(fresh).select(*columns).unionByName(within.filter(fresh).select(*columns))
 
 
 def change_keyword_match(pairs: DataFrame) -> DataFrame:
@@ -550,29 +587,43 @@ def version_change_signal(
     Per cluster each app is judged by its newest snapshot up to the window end.
     A changed app counts; an unchanged one only for production and only when
     published within ``recency_hours``.
+
+    A snapshot is the newest of its app until the next one. The times in which
+    it counts form one interval, so the apps that count at a window's end are
+    the intervals begun by then less those over: two look-ups in running totals
+    per cluster, and no app meets a cluster.
     """
     ours = clusters.filter(F.contains(F.lower("key"), F.lit(app_word)))
-    moved = version_transitions(snapshots).withColumn("at", F.unix_micros("observed_at"))
-    placed = ordered.rank_in_key(moved, ["app"], "at", [F.col("current")], "pos")
-    # the watched applications are a short list; each cluster asks for the
-    # position of the newest snapshot before its end
-    apps = snapshots.agg(F.array_sort(F.collect_set("app"))).scalar()
-    probes = ours.select("cluster_id", "window_end", F.explode(apps).alias("app"))
-    upto = ordered.range_counts(
-        moved.select("app", "at"), probes, ["app"], "at", "cluster_id",
-        {"pos": (F.lit(-(2**62)), F.unix_micros("window_end") + 1)},
+    moved = version_transitions(snapshots).filter("observed_at IS NOT NULL").withColumns(
+        {"_at": F.unix_micros("observed_at"), "_back": -F.unix_micros("observed_at")}
     )
-    newest = (
-        upto.join(placed, ["app", "pos"]).join(ours.select("cluster_id", "window_end"), "cluster_id")
-        .select("cluster_id", "window_end", "app", F.struct("last_modified", "changed").alias("v"))
+    # the next snapshot of the app: the previous one in falling order
+    placed = ordered.rank_in_key(moved, ["app"], "_at", [F.col("current"), F.col("changed").desc()], "_pos")
+    until = ordered.previous_value(
+        placed.withColumn("_rev", -F.col("_pos")), ["app"], "_back", ["_rev"], "_at", "_next", ordered.MINUTE
     )
-    age = http_date_age_hours(F.col("v.last_modified"), F.col("window_end"))
     prod = F.contains(F.lower("app"), F.lit("prod"))
-    recent = F.coalesce(age <= recency_hours, F.lit(False))
-    found = newest.filter(F.col("v.changed") | (prod & recent))
+    age = http_date_age_hours(F.col("last_modified"), F.col("observed_at"))  # of the publish, when observed
+    fresh_until = F.col("_at") + F.round((recency_hours - age) * HOUR).cast("long")
+    over = F.when(F.col("changed"), F.lit(2**62)).when(prod, fresh_until + 1)
+    judged = compute_once(until, ["_at", "_next"], {"_over": over})
+    spans = judged.filter("_over IS NOT NULL").select(
+        "_at", F.least("_over", F.coalesce("_next", F.lit(2**62))).alias("_over")
+    ).filter("_over > _at")
+    ends = F.unix_micros("window_end") + 1
+    floor = F.lit(-(2**62))
+
+    def upto(times: Column, name: str) -> DataFrame:
+        return ordered.range_counts(
+            spans.select(F.lit("v").alias("all"), times.alias("at")), ours.withColumn("all", F.lit("v")), ["all"], "at",
+            "cluster_id", {name: (floor, ends)},
+        ).select("cluster_id", name)
+
+    counted = upto(F.col("_at"), "_begun").join(upto(F.col("_over"), "_gone"), "cluster_id").select(
+        "cluster_id", (F.col("_begun") - F.col("_gone")).alias("_n")
+    ).filter("_n > 0")
     return signal_rows(
-        found.groupBy("cluster_id").agg(F.count("*").alias("_n")),
-        F.lit(f"{app_word}.version_change"), F.lit("cause"), F.lit("versions"), F.lit("presence"), F.col("_n"),
+        counted, F.lit(f"{app_word}.version_change"), F.lit("cause"), F.lit("versions"), F.lit("presence"), F.col("_n"),
     )
 
 

@@ -59,6 +59,18 @@ def candidates(
 ) -> DataFrame:
     """Every (key, tick) with enough tickets in its window that passes the baseline."""
     parts = tick_parts(tick_panes(keyed, tick_minutes), window_minutes, tick_minutes)
+    return gate(parts, baseline, min_count, k_sigma, tz)
+
+
+def gate(
+    parts: DataFrame, baseline: DataFrame | None = None, min_count: int = D.MIN_COUNT,
+    k_sigma: float = D.BASELINE_SIGMA, tz: str = D.BASELINE_TZ,
+) -> DataFrame:
+    """Candidates from rows ``(key, system_key, tick, n, first)``.
+
+    A cluster's threshold is the largest of its system keys' slots; the
+    thresholds are rows that join on (system key, weekday, hour).
+    """
     limit = F.lit(None).cast("double")
     if baseline is not None:
         dow, hour = slot(F.col("tick"), tz)
@@ -90,23 +102,34 @@ def fire(ticks: Iterable, cooldown, last=None) -> Iterator[bool]:
         yield fires
 
 
-def cooldown_filter(cands: DataFrame, cooldown_minutes: int = D.COOLDOWN_MINUTES) -> DataFrame:
+def cooldown_filter(
+    cands: DataFrame, cooldown_minutes: int = D.COOLDOWN_MINUTES, fired_before: DataFrame | None = None
+) -> DataFrame:
     """Candidates that fire, greedily in time order per key.
 
     A gap of at least the cooldown between neighbours resets the rule, so each
     stretch between such gaps is a group of its own: groups stay small and a
     busy key is spread out. Only (key, tick) rows get here, at most one per
-    tick, never tickets.
+    tick, never tickets. ``fired_before`` are alerts (``key``, ``opened_at``)
+    that may still be cooling down; they take part and are not returned.
     """
     cooldown = pd.Timedelta(minutes=cooldown_minutes)
-    by_time = Window.partitionBy("key").orderBy("tick")
+    rows = cands.withColumn("_old", F.lit(False))
+    if fired_before is not None:
+        old = fired_before.join(cands.select("key").distinct(), "key", "left_semi")
+        rows = rows.unionByName(
+            old.select("key", F.col("opened_at").alias("tick"), F.lit(True).alias("_old")), allowMissingColumns=True
+        )
+    # at one tick an earlier alert goes first
+    by_time = Window.partitionBy("key").orderBy("tick", F.col("_old").desc())
     gap = F.unix_micros("tick") - F.unix_micros(F.lag("tick").over(by_time))
     starts = F.when(gap.isNull() | (gap >= cooldown_minutes * 60_000_000), 1).otherwise(0)
-    stretched = cands.withColumn("_s", starts).withColumn("_stretch", F.sum("_s").over(by_time)).drop("_s")
+    stretched = rows.withColumn("_s", starts).withColumn("_stretch", F.sum("_s").over(by_time)).drop("_s")
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick")
-        return pdf[list(fire(pdf["tick"], cooldown))].drop(columns="_stretch")
+        pdf = pdf.sort_values(["tick", "_old"], ascending=[True, False])
+        fired = pdf[list(fire(pdf["tick"], cooldown))]
+        return fired[~fired["_old"].astype(bool)].drop(columns=["_stretch", "_old"])
 
     return stretched.groupBy("key", "_stretch").applyInPandas(step, cands.schema)
 

@@ -6,175 +6,13 @@ operator returns ``(query_id, ticket_id, score, rank)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
-from ticketmill.functions.once import compute_once
 from ticketmill.functions.rules import recency_boost
-from ticketmill.operators.vectors import HITS, TopK, knn
-from ticketmill.schemas import SEARCHABLE
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-
-
-def top_per_query(scored: DataFrame, top: int | None) -> DataFrame:
-    """Rank by score, ties to the smaller id; the cut also runs before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ticket_id"))
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
-
-
-def _not_self(scored: DataFrame) -> DataFrame:
-    if "exclude_id" not in scored.columns:
-        return scored
-    return scored.filter(~F.col("ticket_id").eqNullSafe(F.col("exclude_id"))).drop("exclude_id")
-
-
-# Largest (word x query) matrix sent to every task, in bytes; beyond it the
-# query words are joined instead.
-MATRIX_BYTES = 64 << 20
-MATRIX_PAIRS = 200_000
-
-
-def bm25_scores(
-    docs: DataFrame, queries: DataFrame, top: int, fields: tuple[str, ...] = SEARCHABLE,
-    k1: float = D.BM25_K1, b: float = D.BM25_B, matrix_bytes: int = MATRIX_BYTES,
-) -> DataFrame:
-    """Top ``top`` documents per query by BM25 over the searchable fields.
-
-    Only occurrences of query words leave the scan. They are shuffled once, by
-    document, and that one exchange serves the corpus size, the document
-    frequencies and the scores, so the texts are read and tokenized once. Each
-    task then keeps its own top-k before the second, small shuffle. A query
-    without words matches every document with score 1.
-
-    Scores are rounded to 9 places: copies of a document tie exactly, whatever
-    the order of summation, and go by id.
-    """
-    extra = ["exclude_id"] if "exclude_id" in queries.columns else []
-    words = queries.select("query_id", *extra, F.array_distinct(tokens(F.col("text"))).alias("toks"))
-    query_words = words.select("query_id", *extra, F.explode("toks").alias("term"))
-    # a bounded look at the query words decides the plan
-    pairs = query_words.limit(MATRIX_PAIRS + 1).toPandas()
-    terms = sorted(set(pairs["term"]))
-    matrix = len(pairs) <= MATRIX_PAIRS and len(terms) * pairs["query_id"].nunique() * 8 <= matrix_bytes
-
-    # the empty word stands for the document itself: its rows carry the corpus
-    # size and the mean length through the same exchange
-    if matrix:
-        # measured above, so the hint is safe; it keeps the token side streaming
-        vocabulary = F.broadcast(docs.sparkSession.createDataFrame(
-            [("", -1)] + [(t, i) for i, t in enumerate(terms)], "term string not null, word int not null"
-        ))
-    else:
-        vocabulary = (
-            query_words.select("term").union(words.select(F.lit("").alias("term"))).distinct()
-            .select("term", F.col("term").alias("word"))
-        )
-    doc_tokens = compute_once(
-        docs, ["ticket_id"], {"toks": tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))}
-    ).select("ticket_id", "toks", F.size("toks").alias("dl"))
-    tf = (
-        doc_tokens.select("ticket_id", "dl", F.explode(F.array_append("toks", "")).alias("term"))
-        .join(vocabulary, "term").select("ticket_id", "dl", "word").filter("word IS NOT NULL")
-        .repartition("ticket_id")
-        .groupBy("ticket_id", "dl", "word").agg(F.count("*").alias("tf"))
-    )
-    own = F.col("word") == (-1 if matrix else "")
-    # Conditional aggregates, not a filter, and the document rows stay in until
-    # the scoring: a filter would move below the exchange of one use only, and
-    # the texts would be read again for the other.
-    corpus = tf.agg(
-        F.struct(F.count_if(own).alias("n"), F.avg(F.when(own, F.col("dl"))).alias("avgdl")).alias("s")
-    ).scalar()
-    idf = tf.groupBy("word").agg(F.count("*").alias("df")).select(
-        "word", F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    # one row per query word; without an exchange the rows stay together by document
-    weighted = tf.join(F.broadcast(idf) if matrix else idf, "word").select(
-        "ticket_id", "word",
-        (F.col("idf") * F.col("tf") * (k1 + 1)
-         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / corpus["avgdl"]))).alias("part"),
-    )
-    if matrix:
-        scored = _score_by_matrix(weighted, pairs, terms, top)
-    else:
-        scored = _not_self(
-            weighted.join(query_words.withColumnRenamed("term", "word"), "word")
-        ).groupBy("query_id", "ticket_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    ranked = top_per_query(scored, top)
-
-    # match-all queries take the first documents in id order, by position
-    empty = words.filter("size(toks) = 0").select(
-        "query_id", *extra, F.explode(F.sequence(F.lit(1), F.lit(top + 1))).alias("pos")
-    )
-    first = (
-        docs.select("ticket_id").orderBy("ticket_id").limit(top + 1)
-        .withColumn("pos", F.row_number().over(Window.orderBy("ticket_id")))
-    )
-    everything = _not_self(empty.join(first, "pos").select("query_id", "ticket_id", *extra))
-    return ranked.unionByName(top_per_query(everything.withColumn("score", F.lit(1.0)), top))
-
-
-def _score_by_matrix(weighted: DataFrame, pairs, terms: list[str], top: int) -> DataFrame:
-    """Document rows times the (word x query) matrix, top-k per task.
-
-    ``weighted`` is partitioned by document; rows are brought together per
-    document inside each task.
-    """
-    qids = np.array(sorted(set(pairs["query_id"])), dtype=np.int64)
-    member = np.zeros((len(terms), len(qids)))
-    member[
-        np.searchsorted(np.array(terms, dtype=object), pairs["term"].to_numpy()),
-        np.searchsorted(qids, pairs["query_id"].to_numpy()),
-    ] = 1.0
-    exclude = None
-    if "exclude_id" in pairs:
-        first = pairs.drop_duplicates("query_id").set_index("query_id")["exclude_id"]
-        exclude = first.reindex(qids).fillna(-(2**63)).to_numpy().astype(np.int64)
-    shared = weighted.sparkSession.sparkContext.broadcast((qids, member, exclude))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, withheld = shared.value
-        best = TopK(ids, withheld, top)
-
-        def flush(docs_: np.ndarray, words_: np.ndarray, parts_: np.ndarray) -> None:
-            starts = np.flatnonzero(np.r_[True, docs_[1:] != docs_[:-1]])
-            row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(docs_)]))
-            for at in range(0, len(starts), 512):
-                pick = (row >= at) & (row < at + 512)
-                n = min(512, len(starts) - at)
-                dense = np.zeros((n, matrix.shape[0]))
-                dense[row[pick] - at, words_[pick]] = parts_[pick]
-                total = np.round(dense @ matrix, 9).T
-                total[total <= 0] = -np.inf
-                best.add(docs_[starts[at : at + n]], total)
-
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("ticket_id", "word", "part")]
-            real = cols[1] >= 0
-            cols = [c[real] for c in cols]
-            held = [np.concatenate(x) for x in zip(held, cols)]
-            # the last document may go on in the next batch
-            whole = held[0] != held[0][-1] if len(held[0]) else np.empty(0, bool)
-            if whole.any():
-                flush(*[h[whole] for h in held])
-                held = [h[~whole] for h in held]
-        if len(held[0]):
-            flush(*held)
-        yield best.batch()
-
-    ordered = weighted.sortWithinPartitions("ticket_id")
-    return ordered.mapInArrow(score, HITS)
+from ticketmill.operators.lexical import LexicalIndex, bm25_scores, top_per_query
+from ticketmill.operators.vectors import knn
 
 
 def rrf_fuse(*rankings: DataFrame, k: int = D.RRF_K) -> DataFrame:
@@ -188,20 +26,21 @@ def rrf_fuse(*rankings: DataFrame, k: int = D.RRF_K) -> DataFrame:
 
 def hybrid_search(
     docs: DataFrame, queries: DataFrame, keep: Column | None = None, top: int = 5,
-    exclude_self: bool = False, vector: str = "symptom_vector",
+    exclude_self: bool = False, vector: str = "symptom_vector", index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Filter, then BM25 and k-NN side by side, fused by rank.
 
     ``keep`` is a :func:`~ticketmill.functions.rules.metadata_filter`. A query
     without a vector keeps its BM25 score. ``exclude_self`` withholds each
-    query's ``exclude_id``.
+    query's ``exclude_id``. ``index`` is a stored lexical index of the documents
+    that pass the filter; without it, one of the query words is made.
     """
     if keep is not None:
         docs = docs.filter(keep)
     if not exclude_self and "exclude_id" in queries.columns:
         queries = queries.drop("exclude_id")
     depth = max(4 * top, 20)
-    lexical = bm25_scores(docs, queries, depth)
+    lexical = bm25_scores(docs, queries, depth, index=index)
     if "vector" not in queries.columns:
         return top_per_query(lexical.drop("rank"), top).withColumn("mode", F.lit("bm25-only"))
     near = knn(docs, queries.filter("size(vector) > 0"), depth, vector)

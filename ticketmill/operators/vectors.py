@@ -6,7 +6,8 @@ merges the per-task top-k lists.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,16 +24,24 @@ BROADCAST_BYTES = 32 << 20
 _BLOCK_DOCS = 50_000
 
 
+UPPER = {c: c + 32 for c in range(65, 91)}  # A-Z
+
+
 def hashing_vector(texts: list[str], dims: int = 64) -> list[list[float]]:
-    """Default embedding: signed feature hashing of words, unit length."""
+    """Default embedding: signed feature hashing of words, unit length.
+
+    Words are runs without ASCII white space, A-Z in lower case. The first four
+    bytes of a word's MD5 choose the place and its top bit the sign; each
+    distinct word is hashed once per call.
+    """
+    listed = [re.findall(r"[^\x20\x09-\x0D]+", text.translate(UPPER)) for text in texts]
+    hashes = {w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4]) for words in listed for w in set(words)}
     out = []
-    for text in texts:
-        v = np.zeros(dims, dtype=np.float32)
-        for word in text.lower().split():
-            h = zlib.crc32(word.encode())
-            v[h % dims] += 1.0 if h & 0x80000000 else -1.0
-        norm = float(np.linalg.norm(v))
-        out.append((v / norm if norm else v).tolist())
+    for words in listed:
+        h = np.array([hashes[w] for w in words], np.int64)
+        v = np.bincount(h % dims, np.where(h & 0x80000000, 1.0, -1.0), dims) if len(h) else np.zeros(dims)
+        norm = np.float32(np.sqrt((v * v).sum()))
+        out.append((v.astype(np.float32) / norm if norm else v).tolist())
     return out
 
 
@@ -42,27 +51,22 @@ def embed_documents(
 ) -> DataFrame:
     """Add ``symptom_vector`` and ``resolution_vector``; row order is kept.
 
-    ``embed_fn`` gets at most ``batch_size`` texts per call, inside the tasks.
+    ``embed_fn`` gets at most ``batch_size`` texts per call, inside the tasks;
+    only the texts go to it, the other columns stay where they are.
     """
-    pairs = (("symptom_text", "symptom_vector"), ("resolution_text", "resolution_vector"))
-    base = df.drop(*[v for _, v in pairs])
-    added = [T.StructField(vec, T.ArrayType(T.FloatType())) for _, vec in pairs]
-    schema = T.StructType([*base.schema.fields, *added])
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for text, vec in pairs:
-                texts = pdf[text].fillna("").tolist()
-                vectors: list[list[float]] = []
-                for at in range(0, len(texts), batch_size):
-                    vectors.extend(embed_fn(texts[at : at + batch_size]))
-                pdf[vec] = pd.Series(vectors, index=pdf.index, dtype=object)
-            yield pdf
+    def embed(texts: pd.Series) -> pd.Series:
+        listed = texts.fillna("").tolist()
+        vectors: list[list[float]] = []
+        for at in range(0, len(listed), batch_size):
+            vectors.extend(embed_fn(listed[at : at + batch_size]))
+        return pd.Series(vectors, index=texts.index, dtype=object)
 
-    return base.mapInPandas(embed, schema)
+    vector = F.pandas_udf(embed, T.ArrayType(T.FloatType()))
+    return df.withColumns({"symptom_vector": vector("symptom_text"), "resolution_vector": vector("resolution_text")})
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(-1, max(dim, 1))
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -110,19 +114,19 @@ class TopK:
         )
 
 
-def _add_vectors(best: TopK, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, step: int = 4096) -> None:
+def add_vectors(best: TopK, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, step: int = 4096) -> None:
     for at in range(0, len(ids), step):
         # rounding lets copies tie exactly
         best.add(ids[at : at + step], np.round(qmat @ mat[at : at + step].T, 12))
 
 
-def _query_arrays(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def query_arrays(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = table.combine_chunks()
     qids = table.column("query_id").to_numpy()
     vectors = table.column("vector")
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     exclude = table.column("exclude_id").to_numpy()
-    return qids, _matrix(vectors, dim), exclude
+    return qids, matrix_of(vectors, dim), exclude
 
 
 def knn(docs: DataFrame, queries: DataFrame, k: int, vector: str = "symptom_vector",
@@ -159,7 +163,7 @@ def knn(docs: DataFrame, queries: DataFrame, k: int, vector: str = "symptom_vect
 
 
 def _knn_broadcast(docs: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    qids, qmat, exclude = _query_arrays(queries.toArrow(), dim)
+    qids, qmat, exclude = query_arrays(queries.toArrow(), dim)
     shared = docs.sparkSession.sparkContext.broadcast((qids, qmat, exclude))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,7 @@ def _knn_broadcast(docs: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
         best = TopK(ids, withheld, k)
         for batch in batches:
             if batch.num_rows:
-                _add_vectors(best, matrix, batch.column("ticket_id").to_numpy(), _matrix(batch.column("vector"), dim))
+                add_vectors(best, matrix, batch.column("ticket_id").to_numpy(), matrix_of(batch.column("vector"), dim))
         yield best.batch()
 
     return docs.mapInArrow(score, HITS)
@@ -189,10 +193,10 @@ def _knn_blocks(docs: DataFrame, queries: DataFrame, k: int, dim: int, q_blocks:
         if not query_table.num_rows or not doc_table.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "ticket_id": pa.array([], pa.int64()),
                              "score": pa.array([], pa.float64())})
-        ids, matrix, withheld = _query_arrays(query_table, dim)
+        ids, matrix, withheld = query_arrays(query_table, dim)
         best = TopK(ids, withheld, k)
         for batch in doc_table.to_batches():
-            _add_vectors(best, matrix, batch.column("ticket_id").to_numpy(), _matrix(batch.column("vector"), dim))
+            add_vectors(best, matrix, batch.column("ticket_id").to_numpy(), matrix_of(batch.column("vector"), dim))
         return pa.Table.from_batches([best.batch()])
 
     return d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb")).applyInArrow(score, HITS)

@@ -5,15 +5,13 @@ Each view is a plain projection; the oracles repeat it in SQL.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
 from ticketmill.functions.rules import system_key
 from ticketmill.operators.feedback import boost_table, suggestion_stats
-from ticketmill.session import checkpoint_root, configure
+from ticketmill.session import configure, scratch_folder as scratch
 
 NOW = "2024-01-15 12:00:00"
 
@@ -49,11 +47,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= min(cores, _FEW) else df.repartition(cores)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
-
-
 def text_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 

@@ -477,7 +477,9 @@ def _build() -> dict[str, str]:
     coalesce(CASE WHEN u.c_custkey IS NOT NULL THEN u.c_acctbal ELSE t.c_acctbal END, -1.0) AS c_acctbal,
     coalesce(t.c_mktsegment, 'none') AS c_mktsegment, coalesce(coalesce(u.x, t.x)::DOUBLE, -1.0) AS x0
   FROM t FULL JOIN u ON t.c_custkey = u.c_custkey"""
+    q["upsert_buckets"] = q["upsert"]
     q["delete"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+    q["delete_buckets"] = q["delete"]
     q["document_count"] = "SELECT count(*) AS documents FROM documents"
     q["scan_documents"] = "SELECT doc_id AS ticket_id, lang AS category, source AS store, (doc_id % 500)::INT AS age_days FROM documents"
     q["facets_category"] = "SELECT lang AS value, count(*) AS documents FROM documents GROUP BY lang"
@@ -516,6 +518,16 @@ def _build() -> dict[str, str]:
     q["knn_topk"] = f"WITH {vector_hits(True, 20)} SELECT query_id, ticket_id, rank, round(score, 6) AS score FROM hits"
     plain = "kd AS (SELECT doc_id AS ticket_id, text FROM documents), kq AS (SELECT item_id AS query_id, text FROM benchmark),"
     q["bm25"] = f"WITH {plain} {bm25('kd', 'kq', 20)} SELECT query_id, ticket_id, rank, round(score, 6) AS score FROM lex"
+    q["bm25_stored"] = q["bm25"]
+    q["knn_indexed"] = q["knn_topk"]
+    q["embed"] = r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM documents),
+  hashed AS (SELECT doc_id, ('0x' || md5(w)[1:8])::UBIGINT AS h FROM words),
+  places AS (SELECT doc_id, (h % 64)::INT AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::BIGINT AS c FROM hashed GROUP BY ALL),
+  norms AS (SELECT doc_id, sqrt(sum(c * c)::DOUBLE)::FLOAT AS n FROM places GROUP BY doc_id),
+  probes AS (SELECT doc_id, sum((c::FLOAT / n)::DOUBLE * (i + 1)) AS p FROM places JOIN norms USING (doc_id) WHERE n > 0 GROUP BY doc_id)
+  SELECT d.doc_id AS ticket_id, 64 AS dims, round(CASE WHEN p IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE, 3) AS norm, round(coalesce(p, 0.0)::DOUBLE, 6) AS probe
+  FROM documents d LEFT JOIN probes USING (doc_id)"""
     q["rrf"] = f"WITH {fused('', 20)} SELECT query_id, ticket_id, round(score, 9) AS score FROM rr"
     q["hybrid_filtered"] = f"""WITH {fused("WHERE doc_id % 10 <> 0 AND lang = 'en'", 20, TWICE)},
   mixed AS (SELECT query_id, ticket_id, rr.score, 'hybrid' AS mode FROM rr JOIN kq USING (query_id) WHERE kq.embedding IS NOT NULL
@@ -531,6 +543,15 @@ def _build() -> dict[str, str]:
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ticket_id) AS rank, ticket_id, raw AS symptom,
     length(raw) AS resolution_chars, (ticket_id % 500)::INT AS age_days, round(s, 4) AS score, 'bm25-only' AS mode
   FROM w JOIN kd USING (ticket_id) QUALIFY rank <= 3"""
+    q["search_kb_hybrid"] = f"""WITH {FB}, {fused("WHERE doc_id % 10 <> 0 AND lang = 'en'", 40, TWICE)},
+  mixed AS (SELECT query_id, ticket_id, rr.score, 'hybrid' AS mode FROM rr JOIN kq USING (query_id) WHERE kq.embedding IS NOT NULL
+    UNION ALL SELECT query_id, ticket_id, lex.score, 'bm25-only' FROM lex JOIN kq USING (query_id) WHERE kq.embedding IS NULL),
+  pool AS (SELECT * FROM mixed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticket_id) <= 10),
+  w AS (SELECT p.query_id, p.ticket_id, p.mode, p.score * CASE WHEN p.ticket_id % 500 <= 30 THEN 1.15::DOUBLE WHEN p.ticket_id % 500 <= 180 THEN 1.05::DOUBLE
+      WHEN p.ticket_id % 500 <= 365 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END * coalesce(b.boost, 1.0) AS s
+    FROM pool p LEFT JOIN boosts b USING (ticket_id))
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ticket_id) AS rank, ticket_id,
+    (ticket_id % 500)::INT AS age_days, mode FROM w QUALIFY rank <= 3"""
     q["trailing_count"] = "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS trailing FROM events"
     q["ticket_ranks"] = "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events"
     q["clusters_at"] = (

@@ -11,10 +11,10 @@ from ticketmill import defaults as D
 from ticketmill import schemas
 from ticketmill.functions import entities, rules, status, text, times
 from ticketmill.operators import (
-    baseline, clusters, corpus, digest, evidence, feedback, gold, kb, monitor, ordered, search, vectors,
+    baseline, clusters, corpus, digest, evidence, feedback, gold, kb, lexical, monitor, ordered, search, vector_index, vectors,
 )
 from ticketmill.plans import inputs as I
-from ticketmill.sources import landed, records, snapshots
+from ticketmill.sources import buckets, landed, records, snapshots
 from ticketmill.streaming import monitor as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,8 +323,7 @@ def metadata_filter(spark, sf):
 
 
 # --- corpus -----------------------------------------------------------------
-@query
-def upsert(spark, sf):
+def _upsert_sides(spark, sf):
     customer = I.table(spark, sf, "customer")
     target = customer.filter("c_custkey % 4 <> 3").select(
         "c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.array(F.col("c_acctbal").cast("float")).alias("x_vector")
@@ -335,7 +334,10 @@ def upsert(spark, sf):
         F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"),
         F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(1.0).cast("float"))).otherwise(empty).alias("x_vector"),
     )
-    merged = corpus.upsert_documents(target, updates, "c_custkey")
+    return target, updates
+
+
+def _upserted(merged):
     return merged.select(
         "c_custkey", "c_name", F.coalesce("c_acctbal", F.lit(-1.0)).alias("c_acctbal"),
         F.coalesce("c_mktsegment", F.lit("none")).alias("c_mktsegment"),
@@ -343,12 +345,37 @@ def upsert(spark, sf):
     )
 
 
+@query
+def upsert(spark, sf):
+    return _upserted(corpus.upsert_documents(*_upsert_sides(spark, sf), "c_custkey"))
+
+
+@query
+def upsert_buckets(spark, sf):
+    """The same in a stored table of which only the touched buckets are rewritten."""
+    target, updates = _upsert_sides(spark, sf)
+    path = f"{I.scratch(spark)}/customers"
+    for rows in (target, updates):
+        buckets.upsert(spark, path, target.schema, rows, "c_custkey", 16)
+    return _upserted(buckets.read(spark, path, target.schema))
+
+
 @query
 def delete(spark, sf):
     ids = I.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     return corpus.scan_ids(corpus.delete_documents(I.table(spark, sf, "documents"), ids, "doc_id"), "doc_id")
 
 
+@query
+def delete_buckets(spark, sf):
+    ids = I.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    docs = I.table(spark, sf, "documents").select("doc_id", "lang")
+    path = f"{I.scratch(spark)}/documents"
+    buckets.upsert(spark, path, docs.schema, docs, "doc_id", 16)
+    buckets.delete(spark, path, docs.schema, ids, "doc_id", 16)
+    return buckets.read(spark, path, docs.schema).select("doc_id")
+
+
 @query
 def document_count(spark, sf):
     return corpus.document_count(I.table(spark, sf, "documents"))
@@ -547,7 +574,11 @@ def relevant_found(spark, sf):
 def embed(spark, sf):
     embedded = vectors.embed_documents(I.kb_docs(spark, sf))
     norm = F.aggregate("symptom_vector", F.lit(0.0), lambda a, v: a + v * v)
-    return embedded.select("ticket_id", F.size("symptom_vector").alias("dims"), F.round(norm, 3).alias("norm"))
+    placed = F.transform("resolution_vector", lambda v, i: v.cast("double") * (i + 1))
+    probe = F.aggregate(placed, F.lit(0.0), lambda a, v: a + v)
+    return embedded.select(
+        "ticket_id", F.size("symptom_vector").alias("dims"), F.round(norm, 3).alias("norm"), F.round(probe, 6).alias("probe")
+    )
 
 
 @query
@@ -560,7 +591,28 @@ def knn_topk(spark, sf):
 
 @query
 def bm25(spark, sf):
-    hits = search.bm25_scores(I.kb_docs(spark, sf), I.queries(spark, sf), 20, ("symptom_text",))
+    hits = lexical.bm25_scores(I.kb_docs(spark, sf), I.queries(spark, sf), 20, ("symptom_text",))
+    return hits.select("query_id", "ticket_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_stored(spark, sf):
+    """The same through an index that is written once and opened again."""
+    path = f"{I.scratch(spark)}/lexical"
+    lexical.write_index(I.kb_docs(spark, sf), path, ("symptom_text",))
+    hits = lexical.bm25_search(lexical.open_index(spark, path), I.queries(spark, sf), 20)
+    return hits.select("query_id", "ticket_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def knn_indexed(spark, sf):
+    """The same as knn_topk through a stored inverted file, lists pruned by the triangle inequality."""
+    path = f"{I.scratch(spark)}/vectors"
+    docs = I.vector_docs(spark, sf)
+    vector_index.write_index(docs, path, lists=64)
+    q = docs.select(F.col("ticket_id").alias("query_id"), F.col("symptom_vector").alias("vector"),
+                    F.col("ticket_id").alias("exclude_id"))
+    hits = vector_index.knn(vector_index.open_index(spark, path), q, 20)
     return hits.select("query_id", "ticket_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -574,7 +626,7 @@ def _hybrid(spark, sf, top):
 @query
 def rrf(spark, sf):
     docs, q = I.kb_docs(spark, sf, vectors=True), I.queries(spark, sf, vectors=True)
-    lexical = search.bm25_scores(docs, q, 20, ("symptom_text",))
+    lexical = lexical.bm25_scores(docs, q, 20, ("symptom_text",))
     near = vectors.knn(docs, q.filter("size(vector) > 0"), 20)
     return search.rrf_fuse(lexical, near).select("query_id", "ticket_id", F.round("score", 9).alias("score"))
 
@@ -595,6 +647,15 @@ def search_kb(spark, sf):
     )
 
 
+@query
+def search_kb_hybrid(spark, sf):
+    found = search.search_kb(
+        I.kb_docs(spark, sf, vectors=True), I.queries(spark, sf, vectors=True), 3, rules.metadata_filter(category="en"),
+        I.boosts(spark, sf),
+    )
+    return found.select("query_id", "rank", "ticket_id", "age_days", "mode")
+
+
 # --- monitor ----------------------------------------------------------------
 @query
 def trailing_count(spark, sf):
@@ -997,22 +1058,27 @@ def digest_evidence(spark, sf):
 # --- streaming --------------------------------------------------------------
 @query
 def stream_replay(spark, sf):
-    """The live path over the events file, run to its end, read back from its sink."""
+    """The live path over landed event files, run to its end, read back from its sink."""
     I.configure(spark)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    user = (F.col("user_id") % 3).cast("string")
-    tickets = raw.select(
-        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"),
-        F.array("event_type").alias("cluster_keys"), rules.system_key(F.col("event_type"), user).alias("system_key"),
-    )
     folder = f"{I.scratch(spark)}/replay"
+    # the events as ticket files: the type is the text that the rules match
+    given = spark.read.parquet(f"{sf}/events.parquet")
+    landed = given.select(
+        F.col("event_id").alias("id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"),
+        F.col("event_type").alias("description_text"), F.col("event_type").alias("category"),
+        (F.col("user_id") % 3).cast("string").alias("sub_category"),
+    )
+    landed.write.json(f"{folder}/landed")
+    kinds = [r[0] for r in given.select("event_type").distinct().orderBy("event_type").collect()]
+    kinds_as_rules = [D.Rule(k, k, (k,), 1) for k in kinds if k]
+    tickets = live.ticket_stream(spark, f"{folder}/landed", rules=kinds_as_rules)
     end = I.events(spark, sf).agg(I.text_time(F.max("ts") + F.expr("interval 3 hours"))).first()[0]
-    tickets = live.with_closing(tickets, f"{folder}/closing", end)
-    alerts = live.live_alerts(tickets, _baseline(spark, sf))
-    run = live.start_monitor(alerts, f"{folder}/out", f"{folder}/checkpoint", trigger={"availableNow": True})
+    windows = live.live_windows(live.with_closing(tickets, f"{folder}/closing", end))
+    run = live.start_monitor(
+        windows, f"{folder}/out", f"{folder}/checkpoint", baseline=_baseline(spark, sf), trigger={"availableNow": True}
+    )
     run.awaitTermination()
-    fired = records.read_alerts(spark, f"{folder}/out/alerts")
+    fired = records.read_alerts(spark, f"{folder}/out")
     return fired.select(
         "key", I.text_time(F.col("opened_at")).alias("opened"), "count", "first_ticket_id", "status"
     )

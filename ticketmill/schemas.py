@@ -61,6 +61,11 @@ ALERTS = f"""
   id BIGINT, key STRING, first_ticket_id BIGINT, opened_at TIMESTAMP, count BIGINT,
   status STRING, cooldown_until TIMESTAMP, evidence {EVIDENCE}
 """
+OUTBOX = {
+    "outbox": "alert_id BIGINT, cluster_key STRING, label STRING, count BIGINT, first_ticket_id BIGINT, parts INT, note STRING",
+    "outbox_tickets": "alert_id BIGINT, rank BIGINT, ticket_id BIGINT, part INT",
+    "notes": "alert_id BIGINT, part INT, note STRING",
+}
 BASELINE = """
   key STRING, dow INT, hour INT, n INT, median DOUBLE, mad DOUBLE, updated_at TIMESTAMP
 """

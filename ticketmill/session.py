@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -55,3 +56,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not configured and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return configured or tempfile.mkdtemp(prefix="ticketmill-")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"

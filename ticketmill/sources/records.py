@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill import schemas
-from ticketmill.sources import snapshots
+from ticketmill.sources import commits, snapshots
 
 
 def write_records_jsonl(df: DataFrame, path: str) -> None:
@@ -97,14 +97,15 @@ def alert_id(key, opened_at):
     return F.xxhash64(key, opened_at)
 
 
-def append_alerts(alerts: DataFrame, path: str, batch_id: int) -> None:
-    """One row per fired alert, in a folder per micro-batch so a retry replaces it."""
-    alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def append_alerts(alerts: DataFrame, root: str, query: str, epoch: int, **more: DataFrame) -> str:
+    """One row per fired alert, committed with the epoch's other tables; see :mod:`~ticketmill.sources.commits`."""
+    return commits.write_epoch({"alerts": alerts, **more}, root, query, epoch)
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ALERTS).parquet(path)
+def read_alerts(spark: SparkSession, root: str) -> DataFrame:
+    return commits.read_table(spark, root, "alerts", schemas.ALERTS)
 
 
-def append_outbox(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def read_outbox(spark: SparkSession, root: str, table: str = "outbox") -> DataFrame:
+    """Committed rows of ``outbox``, ``outbox_tickets`` or ``notes``."""
+    return commits.read_table(spark, root, table, schemas.OUTBOX[table])

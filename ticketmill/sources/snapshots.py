@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def versions(spark: SparkSession, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -27,7 +27,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    found = _versions(spark, path)
+    found = versions(spark, path)
     return found[-1] if found else None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ticketmill import schemas
 from ticketmill.functions.times import parse_ts
 from ticketmill.operators import corpus, kb
 from ticketmill.operators.vectors import embed_documents, hashing_vector
+from ticketmill.sources import buckets as B
 from ticketmill.sources import snapshots
 
 
@@ -24,14 +26,46 @@ def latest_tickets(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy("id").agg(newest.alias("t")).select("id", "t.*").select(*tickets.columns)
 
 
+def ingest_conversations(spark: SparkSession, landed: str, store: str, buckets: int = B.BUCKETS) -> int | None:
+    """Append conversation files that landed since the last call to the store, in buckets by ticket.
+
+    Every file is parsed once, whenever it lands. A repeated batch finds its
+    delta in the manifest and adds nothing.
+    """
+    query_id = uuid.uuid5(uuid.NAMESPACE_URL, store).hex
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        B.append(batch, store, "ticket_id", buckets, part=f"{query_id}-{epoch}")
+
+    (
+        spark.readStream.schema(schemas.CONVERSATIONS).json(landed).writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    B.compact(spark, store, schemas.CONVERSATIONS, "ticket_id", buckets)
+    return snapshots.latest_version(spark, f"{store}/manifest")
+
+
+def batch_conversations(tickets: DataFrame, store: str, buckets: int = B.BUCKETS) -> DataFrame:
+    """The conversations of a batch of tickets: only the buckets of its ids are opened."""
+    spark = tickets.sparkSession
+    ids = tickets.select(F.col("id").alias("ticket_id")).where("ticket_id IS NOT NULL")
+    found = B.read(spark, store, schemas.CONVERSATIONS, B.touched_buckets(ids, "ticket_id", buckets))
+    return found.join(ids.distinct(), "ticket_id", "left_semi")
+
+
+def read_documents(spark: SparkSession, documents_path: str, dimensions: int = 64) -> DataFrame:
+    return B.read(spark, documents_path, schemas.kb_schema(dimensions))
+
+
 def index_batch(
     tickets: DataFrame, convs: DataFrame, documents_path: str, dimensions: int,
     embed_fn: Callable = hashing_vector, links: DataFrame | None = None,
-    min_symptom_chars: int = D.MIN_SYMPTOM_CHARS,
+    min_symptom_chars: int = D.MIN_SYMPTOM_CHARS, buckets: int = B.BUCKETS,
 ) -> int:
     """Build, embed and upsert one batch of tickets; returns the new version.
 
-    Documents whose vector has the wrong width are left out of the upsert.
+    Documents whose vector has the wrong width are left out of the upsert. Only
+    the buckets of the batch's documents are read and rewritten.
     """
     spark = tickets.sparkSession
     built = kb.build_documents(latest_tickets(tickets), convs, links, min_symptom_chars)
@@ -41,21 +75,22 @@ def index_batch(
     staged = f"{documents_path}_staged"
     version = snapshots.write_version(accepted, staged)
     updates = spark.read.schema(accepted.schema).parquet(f"{staged}/v={version}")
-    target = snapshots.read_latest(spark, documents_path, schemas.kb_schema(dimensions))
-    return snapshots.write_version(corpus.upsert_documents(target, updates), documents_path)
+    return B.upsert(spark, documents_path, schemas.kb_schema(dimensions), updates, "id", buckets)
 
 
 def incremental_index(
     spark: SparkSession, tickets_path: str, conversations_path: str, documents_path: str,
     control_path: str, dimensions: int = 64, updated_since: str | None = None,
     no_watermark: bool = False, limit: int | None = None, order_by: str | None = None,
-    order_type: str | None = None, embed_fn: Callable = hashing_vector,
+    order_type: str | None = None, embed_fn: Callable = hashing_vector, buckets: int = B.BUCKETS,
 ) -> int:
     """The scheduled batch run: watermark, build, upsert, then move the watermark.
 
     The control row is written only after the documents are, so a failed run
-    repeats its window.
+    repeats its window. Conversations are kept in ``<documents_path>_conversations``.
     """
+    store = f"{documents_path}_conversations"
+    ingest_conversations(spark, conversations_path, store, buckets)
     control = snapshots.read_control(spark, control_path)
     tickets = spark.read.schema(schemas.TICKETS).json(tickets_path).withColumn(
         "_updated", parse_ts(F.col("updated_at"))
@@ -66,8 +101,9 @@ def incremental_index(
         tickets = tickets.orderBy(col.desc() if order_type == "desc" else col.asc(), "id")
     if limit is not None:
         tickets = tickets.limit(limit)
-    convs = spark.read.schema(schemas.CONVERSATIONS).json(conversations_path)
-    version = index_batch(tickets.drop("_updated"), convs, documents_path, dimensions, embed_fn)
+    batch = tickets.drop("_updated")
+    convs = batch_conversations(batch, store, buckets)
+    version = index_batch(batch, convs, documents_path, dimensions, embed_fn, buckets=buckets)
     built = spark.read.schema(schemas.kb_schema(dimensions)).parquet(
         f"{documents_path}_staged/v={snapshots.latest_version(spark, documents_path + '_staged')}"
     )
@@ -85,13 +121,15 @@ def backfill(spark: SparkSession, *paths: str, limit: int | None = None, **setti
 
 def incremental_index_stream(
     spark: SparkSession, tickets_path: str, conversations_path: str, documents_path: str,
-    checkpoint: str, dimensions: int = 64, embed_fn: Callable = hashing_vector,
+    checkpoint: str, dimensions: int = 64, embed_fn: Callable = hashing_vector, buckets: int = B.BUCKETS,
 ) -> StreamingQuery:
     """The same as a stream: every landed file once, then stop (cron owns the cadence)."""
-    convs = spark.read.schema(schemas.CONVERSATIONS).json(conversations_path)
+    store = f"{documents_path}_conversations"
+    ingest_conversations(spark, conversations_path, store, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch, convs, documents_path, dimensions, embed_fn)
+        convs = batch_conversations(batch, store, buckets)
+        index_batch(batch, convs, documents_path, dimensions, embed_fn, buckets=buckets)
 
     return (
         spark.readStream.schema(schemas.TICKETS).json(tickets_path)
@@ -100,8 +138,9 @@ def incremental_index_stream(
     )
 
 
-def reconcile_documents(spark: SparkSession, tickets: DataFrame, documents_path: str, dimensions: int = 64) -> int:
+def reconcile_documents(
+    spark: SparkSession, tickets: DataFrame, documents_path: str, dimensions: int = 64, buckets: int = B.BUCKETS
+) -> int:
     """Delete documents whose ticket is no longer live; returns the new version."""
-    target = snapshots.read_latest(spark, documents_path, schemas.kb_schema(dimensions))
-    stale = corpus.reconcile(corpus.scan_ids(target), tickets)
-    return snapshots.write_version(corpus.delete_documents(target, stale), documents_path)
+    stale = corpus.reconcile(corpus.scan_ids(read_documents(spark, documents_path, dimensions)), tickets)
+    return B.delete(spark, documents_path, schemas.kb_schema(dimensions), stale, "id", buckets)

@@ -13,13 +13,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ticketmill import defaults as D
 from ticketmill import schemas
-from ticketmill.functions.times import slot
 from ticketmill.operators import digest, evidence as ev
 from ticketmill.operators.baseline import compute_baseline
-from ticketmill.operators.baseline import threshold as slot_threshold
 from ticketmill.operators.clusters import keyed_tickets, parse_live_tickets
-from ticketmill.operators.monitor import fire, to_alerts
-from ticketmill.sources import records
+from ticketmill.operators.monitor import cooldown_filter, gate, to_alerts
+from ticketmill.sources import commits, records
 
 LOG = logging.getLogger(__name__)
 
@@ -64,161 +62,215 @@ def dedupe_stream(df: DataFrame) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(["id"])
 
 
-def sliding_clusters(
-    keyed: DataFrame, window_minutes: int = D.WINDOW_MINUTES, tick_minutes: int = D.TICK_MINUTES
-) -> DataFrame:
-    """Tickets per key in the closed window ``[tick - window, tick]`` of every tick.
+def pane_stream(keyed: DataFrame, tick_minutes: int = D.TICK_MINUTES) -> DataFrame:
+    """Tickets per (key, system key) and pane ``(tick - width, tick]``, once the pane has passed.
 
-    A window one microsecond longer than the nominal one includes its end, so
-    stream and batch count alike. Counts combine map-side; the system keys come
-    from the ticket classification, a small vocabulary.
+    Panes do not overlap, so a ticket is one row; counts are combined before the
+    shuffle, so a hot key arrives as few rows.
     """
-    span = F.window(
-        "created_at", f"{window_minutes * 60_000_000 + 1} microseconds", f"{tick_minutes} minutes"
+    pane = F.window("created_at", f"{tick_minutes} minutes", f"{tick_minutes} minutes", "1 microsecond")
+    on_edge = F.unix_micros("created_at") % (tick_minutes * 60_000_000) == 0
+    one = F.struct(F.unix_micros("created_at").alias("at"), F.col("id"))
+    counted = keyed.withColumns({"_one": one, "_edge": on_edge}).groupBy(pane.alias("w"), "key", "system_key").agg(
+        F.count("*").alias("n"), F.min("_one").alias("first"),
+        F.count_if("_edge").alias("edge"), F.min(F.when(F.col("_edge"), F.col("_one"))).alias("edge_first"),
     )
-    return (
-        keyed.groupBy(span.alias("w"), "key").agg(
-            F.count("*").alias("count"),
-            F.min(F.struct("created_at", "id")).alias("first"),
-            F.collect_set("system_key").alias("system_keys"),
-        )
-        .select(
-            "key", F.timestamp_micros(F.unix_micros("w.end") - 1).alias("tick"), "count",
-            F.col("first.id").alias("first_ticket_id"), "system_keys",
-        )
+    return counted.select(
+        "key", "system_key", F.window_time("w").alias("tick"), "n", F.col("first.at").alias("first_at"),
+        F.col("first.id").alias("first_id"), "edge", F.col("edge_first.at").alias("edge_at"),
+        F.col("edge_first.id").alias("edge_id"),
     )
 
 
-def gate(
-    clusters: DataFrame, baseline: DataFrame | None, min_count: int = D.MIN_COUNT,
-    k_sigma: float = D.BASELINE_SIGMA, tz: str = D.BASELINE_TZ,
-) -> DataFrame:
-    """Clusters with enough tickets that also pass the baseline of their slot.
+PARTS = "key string, system_key string, tick timestamp, n bigint, first_at timestamp, first_id bigint"
 
-    The baseline is grouped by (weekday, hour) into a map of thresholds, so the
-    stream-static join is one equality and needs no further aggregation.
-    """
-    enough = clusters.filter(F.col("count") >= min_count)
-    if baseline is None:
-        return enough.withColumn("threshold", F.lit(None).cast("double")).drop("system_keys")
-    limits = baseline.groupBy("dow", "hour").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("key", slot_threshold(F.col("median"), F.col("mad"), k_sigma)))
-        ).alias("limits")
-    )
-    dow, hour = slot(F.col("tick"), tz)
-    joined = enough.withColumns({"dow": dow, "hour": hour}).join(limits, ["dow", "hour"], "left")
-    found = F.array_max(F.transform("system_keys", lambda k: F.col("limits")[k]))
-    return (
-        joined.withColumn("threshold", found)
-        .filter("threshold IS NULL OR count >= threshold")
-        .drop("dow", "hour", "limits", "system_keys")
-    )
 
+class PaneRing(StatefulProcessor):
+    """Per (key, system key) the panes of one window; a timer emits the window's total at every tick.
 
-class Cooldown(StatefulProcessor):
-    """Per key the last firing, in micros; rows come in as (key, tick) candidates."""
+    ``panes`` holds at most window / tick + 1 entries: the whole panes of the
+    window and the one whose last instant is the window's first. ``next`` is the
+    tick the timer waits for.
+    """
 
-    def __init__(self, cooldown: pd.Timedelta):
-        self.cooldown = cooldown
+    def __init__(self, window_minutes: int, tick_minutes: int):
+        self.span, self.step = window_minutes * 60_000_000, tick_minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros bigint")
+        self.handle = handle
+        pane = "n bigint, first_at bigint, first_id bigint, edge bigint, edge_at bigint, edge_id bigint"
+        self.panes = handle.getMapState("panes", "tick bigint", pane)
+        self.next = handle.getValueState("next", "tick bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.last.get()
-        last = None if stored is None else pd.Timestamp(stored[0] * 1000)
-        pdf = pd.concat(list(rows)).sort_values("tick")
-        fired = pdf[list(fire(pdf["tick"], self.cooldown, last))]
-        if len(fired):
-            self.last.update((int(fired["tick"].iloc[-1].value // 1000),))
-        yield fired[["key", "tick", "count", "first_ticket_id", "threshold"]]
+        first = None
+        for pdf in rows:
+            ticks = pdf["tick"].astype("datetime64[us]").astype("int64")
+            values = pdf[["n", "first_at", "first_id", "edge", "edge_at", "edge_id"]].astype("Int64")
+            for tick, value in zip(ticks, values.itertuples(index=False)):
+                self.panes.updateValue((int(tick),), tuple(None if pd.isna(v) else int(v) for v in value))
+                first = tick if first is None else min(first, tick)
+        if first is not None and not self.next.exists():
+            self._wait(int(first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        panes = {k[0]: v for k, v in self.panes.iterator()}
+        tick = self.next.get()[0]
+        out = []
+        while panes and tick < timerValues.getCurrentWatermarkInMs() * 1000:
+            inside = [(n, at, i) for t, (n, at, i, *_) in panes.items() if tick - self.span < t <= tick]
+            inside += [v[3:] for t, v in panes.items() if t == tick - self.span and v[3]]
+            if inside:
+                at, first = min(x[1:] for x in inside)
+                out.append((*key, tick, sum(x[0] for x in inside), at, first))
+            for t in [t for t in panes if t <= tick - self.span]:
+                del panes[t]
+                self.panes.removeKey((t,))
+            tick += self.step
+        if panes:
+            self._wait(tick)
+        else:
+            self.next.clear()
+        made = pd.DataFrame(out, columns=["key", "system_key", "tick", "n", "first_at", "first_id"])
+        for column in ("tick", "first_at"):
+            made[column] = pd.to_datetime(made[column], unit="us")
+        yield made
+
+    def _wait(self, tick: int) -> None:
+        """Timers have milliseconds: the first one after the tick."""
+        self.next.update((tick,))
+        self.handle.registerTimer(tick // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
-# state store the stateful alert operator needs
+# state store the stateful operator needs
 STATE_STORE = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 )
 
 
-def alert_stream(cands: DataFrame, cooldown_minutes: int = D.COOLDOWN_MINUTES) -> DataFrame:
-    """Candidates that fire; per key the last firing is kept as state.
+def sliding_clusters(
+    keyed: DataFrame, window_minutes: int = D.WINDOW_MINUTES, tick_minutes: int = D.TICK_MINUTES
+) -> DataFrame:
+    """Tickets per (key, system key) in the closed window ``[tick - window, tick]`` of every tick.
 
-    Candidate rows are (key, tick) aggregates, so even the busiest key brings at
-    most one row per tick.
+    Each ticket is counted in one pane; a window is the sum of the panes kept as
+    state (:class:`PaneRing`). All rows of a tick come in the micro-batch in
+    which the watermark passes it, so a tick can be judged within its batch.
     """
-    cands.sparkSession.conf.set(*STATE_STORE)
-    out = "key string, tick timestamp, count bigint, first_ticket_id bigint, threshold double"
-    return (
-        cands.select("key", "tick", "count", "first_ticket_id", "threshold").groupBy("key")
-        .transformWithStateInPandas(
-            Cooldown(pd.Timedelta(minutes=cooldown_minutes)), outputStructType=out,
-            outputMode="append", timeMode="None",
-        )
+    keyed.sparkSession.conf.set(*STATE_STORE)
+    return pane_stream(keyed, tick_minutes).groupBy("key", "system_key").transformWithStateInPandas(
+        PaneRing(window_minutes, tick_minutes), outputStructType=PARTS, outputMode="append", timeMode="EventTime",
     )
 
 
-def live_alerts(tickets: DataFrame, baseline: DataFrame | None = None, delay: str | None = None) -> DataFrame:
-    """Tickets to alert rows, end to end."""
+def live_windows(tickets: DataFrame, delay: str | None = None) -> DataFrame:
+    """Tickets to window counts: late tickets and repeated ids go, then :func:`sliding_clusters`."""
     live = late_data_policy(tickets, delay or f"{D.WINDOW_MINUTES} minutes")
-    cands = gate(sliding_clusters(keyed_tickets(dedupe_stream(live))), baseline)
-    return to_alerts(alert_stream(cands))
+    return sliding_clusters(keyed_tickets(dedupe_stream(live)))
+
+
+Baseline = DataFrame | str | None
+
+
+def newest_baseline(spark: SparkSession, baseline: Baseline) -> DataFrame | None:
+    """A table as it is; of a folder of versions the newest complete one at this moment."""
+    return records.read_baseline(spark, baseline) if isinstance(baseline, str) else baseline
+
+
+def alert_batch(
+    windows: DataFrame, baseline: DataFrame | None, fired_before: DataFrame, cooldown_minutes: int = D.COOLDOWN_MINUTES,
+) -> DataFrame:
+    """Alerts of one micro-batch of windows.
+
+    Thresholds are rows that join on (system key, weekday, hour). The alerts
+    fired before are the cooldown's state; only those that can still be cooling
+    down are read.
+    """
+    cands = gate(windows.withColumn("first", F.struct(F.col("first_at").alias("created_at"), F.col("first_id").alias("id"))), baseline)
+    since = windows.agg(F.min("tick")).scalar() - F.expr(f"interval {cooldown_minutes} minutes")
+    recent = fired_before.filter(F.col("opened_at") > since)
+    return to_alerts(cooldown_filter(cands, cooldown_minutes, recent), cooldown_minutes)
+
+
+def live_proof(events: DataFrame | None = None, catalog: DataFrame | None = None, **sources) -> Callable:
+    """Evidence for :func:`start_monitor`: all signals of a batch's windows, and the pools seen in them."""
+    return lambda clusters: ev.corroborate(clusters, events, catalog, **sources)
 
 
 def start_monitor(
-    alerts: DataFrame, out: str, checkpoint: str, tickets: DataFrame | None = None,
-    signals: Callable[[DataFrame], DataFrame] | None = None,
-    report: Callable[[DataFrame], None] | None = None, trigger: dict | None = None,
+    windows: DataFrame, out: str, checkpoint: str, tickets: DataFrame | None = None, baseline: Baseline = None,
+    proof: Callable[[DataFrame], DataFrame] | None = None, report: Callable[[DataFrame], None] | None = None,
+    trigger: dict | None = None, cooldown_minutes: int = D.COOLDOWN_MINUTES,
 ) -> StreamingQuery:
-    """Write alerts and their outbox per micro-batch.
+    """Judge windows and write alerts and their outbox per micro-batch.
 
+    ``windows`` comes from :func:`live_windows`. ``baseline`` is a table, or the
+    folder of its versions, of which every micro-batch reads the newest.
     ``tickets`` is the batch view of the landed tickets with cluster keys, for
-    the digests; without it there is no outbox. ``signals`` maps cluster windows
-    to signal rows. ``report`` is called with the outbox rows, or else with the
-    alerts; its failure is logged and never loses the alert. Both folders
-    are keyed by batch id, so a retried batch replaces its own output.
+    the digests; without it there is no outbox. ``proof`` maps cluster windows
+    to ``(cluster_id, evidence, items)``, see :func:`live_proof`. ``report`` is
+    called with the outbox rows, or else with the alerts; its failure is logged
+    and never loses the alert.
+
+    The tables of an epoch are committed together under the query's id, so a
+    repeated epoch changes nothing and a fresh checkpoint overwrites nothing.
+    Alerts of earlier queries in ``out`` count for the cooldown.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # written first and read back: the alert is decided once
-        plain = f"{out}/fired"
-        records.append_alerts(batch, plain, batch_id)
-        fired = batch.sparkSession.read.schema(batch.schema).parquet(f"{plain}/batch={batch_id}")
-        proof = None
-        if signals is not None:
-            windows = fired.select(
-                F.col("id").alias("cluster_id"), "key",
-                (F.col("opened_at") - F.expr(f"interval {D.WINDOW_MINUTES} minutes")).alias("window_start"),
-                F.col("opened_at").alias("window_end"),
-            )
-            proof = ev.alert_evidence(signals(windows))
-        if proof is None:
-            full = fired.withColumn("evidence", F.lit(None).cast(schemas.EVIDENCE))
-        else:
-            full = fired.join(proof.select(F.col("cluster_id").alias("id"), "evidence"), "id", "left")
-        records.append_alerts(full, f"{out}/alerts", batch_id)
-        made = f"{out}/alerts/batch={batch_id}"
-        if tickets is not None:
-            listed = digest.alert_tickets(fired, keyed_tickets(tickets))
-            notes = digest.compose_digest(fired, listed, proof)
-            records.append_outbox(digest.outbox_tickets(listed), f"{out}/outbox_tickets", batch_id)
-            records.append_outbox(notes, f"{out}/notes", batch_id)
-            records.append_outbox(digest.alert_outbox(fired, notes), f"{out}/outbox", batch_id)
-            made = f"{out}/outbox/batch={batch_id}"
-        if report is not None:
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        attempt = commits.committed(spark, out, query, epoch)
+        if attempt is None:
+            windows = batch.persist()
             try:
-                report(batch.sparkSession.read.parquet(made))
+                if windows.isEmpty():
+                    return
+                fired = alert_batch(
+                    windows, newest_baseline(spark, baseline), records.read_alerts(spark, out), cooldown_minutes
+                ).persist()
+                attempt = _append(fired, out, query, epoch, tickets, proof)
+                fired.unpersist()
+            finally:
+                windows.unpersist()
+        if report is not None and attempt is not None:
+            table = "alerts" if tickets is None else "outbox"
+            try:
+                report(spark.read.parquet(commits.folder(out, table, query, epoch, attempt)))
             except Exception:  # a report must not break the stream
-                LOG.exception("report failed for batch %s", batch_id)
+                LOG.exception("report failed for epoch %s", epoch)
 
-    writer = alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": f"{D.TICK_MINUTES} minutes"})).start()
 
 
+def _append(
+    fired: DataFrame, out: str, query: str, epoch: int, tickets: DataFrame | None, proof: Callable | None
+) -> str | None:
+    """Commit the alerts of an epoch with evidence, notes and outbox; nothing when none fired."""
+    if fired.isEmpty():
+        return None
+    found, full = None, fired.withColumn("evidence", F.lit(None).cast(schemas.EVIDENCE))
+    if proof is not None:
+        found = proof(fired.select(
+            F.col("id").alias("cluster_id"), "key",
+            (F.col("opened_at") - F.expr(f"interval {D.WINDOW_MINUTES} minutes")).alias("window_start"),
+            F.col("opened_at").alias("window_end"),
+        ))
+        full = fired.join(found.select(F.col("cluster_id").alias("id"), "evidence"), "id", "left")
+    more = {}
+    if tickets is not None:
+        listed = digest.alert_tickets(fired, keyed_tickets(tickets))
+        notes = digest.compose_digest(fired, listed, found)
+        more = {"outbox_tickets": digest.outbox_tickets(listed), "notes": notes, "outbox": digest.alert_outbox(fired, notes)}
+    return records.append_alerts(full, out, query, epoch, **more)
+
+
 def refresh_baseline(
     tickets: DataFrame, path: str, now: str, interval_hours: int = 24,
     weeks: int = D.BASELINE_WEEKS, tz: str = D.BASELINE_TZ,
