@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -28,6 +29,8 @@ SPREAD, REACH = 4.0, 0.4
 SHORTEST, LONGEST, LEAST = 3, 10, 8
 # Characters after which a longer text no longer sharpens the score.
 CONFIDENCE = 60
+# Characters scored at once: arrays of a few numbers per character.
+SCORED_CHARS = 250_000
 UNKNOWN = "und"
 BOUNDARY, SPACE, BITS = 1, 32, np.uint64(16)
 
@@ -72,7 +75,7 @@ def ngrams(s: np.ndarray) -> np.ndarray:
 def parts(text: str | None) -> list[str]:
     """A text, or pieces of a very long one, each of which begins anew."""
     text = text or ""
-    return [text[i : i + BLOCK_CHARS] for i in range(0, max(1, len(text)), BLOCK_CHARS)]
+    return [text[i : i + SCORED_CHARS] for i in range(0, max(1, len(text)), SCORED_CHARS)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -360,13 +363,13 @@ def predict(docs: DataFrame, models: Models, id_column: str = "doc_id", text_col
 
 
 def _scored(m: Models, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores in blocks of at most about ``BLOCK_CHARS`` characters."""
+    """Scores in blocks of at most about ``SCORED_CHARS`` characters."""
     if not m.languages:
         return np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     found, at = [], 0
     while at < len(texts):
         end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= BLOCK_CHARS:
+        while end < len(texts) and size + len(texts[end]) <= SCORED_CHARS:
             size += len(texts[end])
             end += 1
         found.append(m.score(texts[at:end]))
@@ -407,9 +410,7 @@ def accepted(docs: DataFrame, models: Models, text_column: str = "text") -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, at):
             pieces = [parts(t) for t in batch.column(at).to_pylist()]
             first = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
             found = _scored(m, [x for p in pieces for x in p])
@@ -419,6 +420,17 @@ def accepted(docs: DataFrame, models: Models, text_column: str = "text") -> Data
     return docs.mapInArrow(run, docs.schema)
 
 
+def _slices(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``SCORED_CHARS`` bytes of text each, at least one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(sizes.astype(np.int64) + 64) // SCORED_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def identify(docs: DataFrame, holds_out: Column) -> DataFrame:
     """Learn from the labelled rows outside ``holds_out`` and predict every row (``doc_id``, ``lang``, ``text``)."""
     labelled = docs.where(~holds_out).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text")
