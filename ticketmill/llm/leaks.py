@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.functions.once import compute_once
-from ticketmill.llm.common import materialise, prepare
+from ticketmill.llm.common import free_names, materialise, prepare
 
 # Positions with 1 must agree, positions with 0 are ignored. The first mask has
 # no gap; the others find overlaps whose agreeing runs are shorter than five.
 MASKS = ("11111", "110111", "1101011", "11001101")
 # A leak: this share of the words where text and item lie side by side, if that
-# is at least so many words; or a stretch that scores as high (a word that
+# is at least so many words (a shorter item: all of its words); or a stretch that scores as high (a word that
 # agrees counts 1, another -4, so a stretch has four fifths of its words).
 SHARE, LEAST_WORDS, PENALTY, STRETCH = 0.8, 8, 4, 13
 # Seeds of the benchmark that are broadcast at most, about 40 bytes each.
@@ -88,9 +88,12 @@ def overlaps(docs: DataFrame, items: DataFrame, keep: list[str], text: Column) -
         here = F.greatest(s["here"] + x, F.lit(0))
         return F.struct(F.greatest(s["best"], here).alias("best"), here.alias("here"), (s["same"] + (x == 1).cast("int")).alias("same"))
 
-    return compute_once(hits, [*keep, "item_id"], {"overlap": length, "s": F.aggregate(beside, start, step)}).select(
-        *keep, "item_id", "overlap", F.col("s.same").alias("matched"), F.col("s.best").alias("stretch")
-    ).where(((F.col("overlap") >= LEAST_WORDS) & (F.col("matched") >= SHARE * F.col("overlap"))) | (F.col("stretch") >= STRETCH))
+    found = compute_once(
+        hits, [*keep, "item_id"], {"overlap": length, "size": F.size("item_words"), "s": F.aggregate(beside, start, step)}
+    ).withColumns({"matched": F.col("s.same"), "stretch": F.col("s.best")})
+    long = (F.col("overlap") >= LEAST_WORDS) & (F.col("matched") >= SHARE * F.col("overlap"))
+    short = (F.col("size") < LEAST_WORDS) & (F.col("matched") == F.col("size"))
+    return found.where(long | short | (F.col("stretch") >= STRETCH)).select(*keep, "item_id", "overlap", "matched", "stretch")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -115,7 +118,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
     Words are lower-cased runs of letters and digits, so case, punctuation and
     line breaks do not matter. A text is contaminated if an item lies in it with
-    at least four fifths of its words, or a long stretch of an item does. The
+    at least four fifths of its words (an item of five to seven words: with all
+    of them), or a long stretch of an item does. The
     benchmark's seeds are broadcast when they are few enough (counted first) and
     joined by their hash in a shuffle otherwise.
 
@@ -142,8 +146,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 def without_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows."""
     prepare(docs.sparkSession)
-    found = leaks(docs, items, id_column, text_column).select(F.col(id_column).alias("_id"), F.col("text_key").alias("_key"))
-    same = (F.xxhash64(docs[text_column]) == F.col("_key")) & docs[id_column].eqNullSafe(F.col("_id"))
+    key, text_key = free_names(docs, "_id", "_key")
+    found = leaks(docs, items, id_column, text_column).select(F.col(id_column).alias(key), F.col("text_key").alias(text_key))
+    same = (F.xxhash64(docs[text_column]) == F.col(text_key)) & docs[id_column].eqNullSafe(F.col(key))
     return docs.join(found, same, "left_anti")
 
 
@@ -168,7 +173,7 @@ bp AS (SELECT item_id, v, unnest(range(0, len(v) - {len(MASKS[0]) - 1})) AS j FR
 bs AS (SELECT item_id, j, unnest({_masked("v", "j")}) AS s FROM bp),
 diagonals AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs USING (s) WHERE s IS NOT NULL),
 cells AS (
-  SELECT doc_id, item_id, shift, k, CASE WHEN w[k + shift + 1] = v[k + 1] THEN 1 ELSE -{PENALTY} END AS x
+  SELECT doc_id, item_id, shift, k, len(v) AS size, CASE WHEN w[k + shift + 1] = v[k + 1] THEN 1 ELSE -{PENALTY} END AS x
   FROM (SELECT *, unnest(range(greatest(0, -shift), least(len(v), len(w) - shift))) AS k
         FROM diagonals JOIN d USING (doc_id) JOIN b USING (item_id))
 ), sums AS (
@@ -179,6 +184,7 @@ cells AS (
   SELECT doc_id, item_id, shift, count(*) AS overlap, count(*) FILTER (x = 1) AS matched, max(s - low) AS stretch
   FROM lows GROUP BY ALL
   HAVING (count(*) >= {LEAST_WORDS} AND count(*) FILTER (x = 1) >= {SHARE} * count(*)) OR max(s - low) >= {STRETCH}
+      OR (max(size) < {LEAST_WORDS} AND count(*) FILTER (x = 1) = max(size))
 ), items AS (
   SELECT doc_id, item_id, arg_max((matched, overlap), (matched, -overlap, stretch)) AS b FROM per GROUP BY ALL
 ), best AS (

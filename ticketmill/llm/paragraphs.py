@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ticketmill.llm.common import materialise, prepare, rows_of
+from ticketmill.llm.common import free_names, materialise, prepare, rows_of
 from ticketmill.llm.components import connected_components
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -295,11 +295,12 @@ def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the removed lines of ``repeated_paragraphs`` taken out of their texts; rows of one id share them."""
-    gone = found.select(F.col(id_column).alias("_id"), F.transform(F.filter("repeats", lambda r: r["removed"]), lambda r: r["par"]).alias("_gone"))
-    gone = gone.where(F.size("_gone") > 0).dropDuplicates(["_id"])
-    joined = docs.join(gone, docs[id_column].eqNullSafe(F.col("_id")), "left")
-    kept = _kept_lines(docs[text_column], F.col("_gone"))
-    new = F.when(F.col("_gone").isNull(), docs[text_column]).otherwise(kept)
+    key, lost = free_names(docs, "_id", "_gone")
+    removed = F.transform(F.filter("repeats", lambda r: r["removed"]), lambda r: r["par"])
+    gone = found.select(F.col(id_column).alias(key), removed.alias(lost)).where(F.size(lost) > 0).dropDuplicates([key])
+    joined = docs.join(gone, docs[id_column].eqNullSafe(F.col(key)), "left")
+    kept = _kept_lines(docs[text_column], F.col(lost))
+    new = F.when(F.col(lost).isNull(), docs[text_column]).otherwise(kept)
     return joined.select(*[new.alias(c) if c == text_column else docs[c] for c in docs.columns])
 
 

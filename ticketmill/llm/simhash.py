@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ticketmill.llm.common import materialise, prepare, rows_of
+from ticketmill.llm.common import free_names, materialise, prepare, rows_of
 from ticketmill.llm.components import connected_components
 
 WIDTH, SEED = 4, 42
@@ -232,10 +232,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = near_duplicates(docs, id_column, text_column)
     first = F.struct(F.col(id_column).isNull().alias("no_id"), id_column, "text_key")
     rows = found.groupBy("component", id_column, "text_key").agg(F.count("*").alias("copies"))
+    key, text_key, copies = free_names(docs, "_id", "_key", "_copies")
     stays = rows.groupBy("component").agg(F.min(F.struct(first.alias("row"), "copies")).alias("s")).select(
-        F.col(f"s.row.{id_column}").alias("_id"), F.col("s.row.text_key").alias("_key"), F.col("s.copies").alias("_copies")
+        F.col(f"s.row.{id_column}").alias(key), F.col("s.row.text_key").alias(text_key), F.col("s.copies").alias(copies)
     )
-    own = docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_key"))
+    own = docs[id_column].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_column]) == F.col(text_key))
     kept = docs.join(stays, own)
-    again = kept.where("_copies > 1").dropDuplicates(["_id", "_key"])
-    return kept.where("_copies = 1").unionAll(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = kept.where(F.col(copies) > 1).dropDuplicates([key, text_key])
+    return kept.where(F.col(copies) == 1).unionAll(again).select(*[F.col(f"`{c}`") for c in docs.columns])
