@@ -104,3 +104,16 @@ def test_repeated_passage_in_many(spark):
     df = spark.createDataFrame([(i, f"{' '.join(f'own{i}x{k}' for k in range(20))}\n{passage}", None) for i in range(400)], SCHEMA)
     got = P.repeated_paragraphs(df).collect()
     assert sum(r.n_removed for r in got) == 399 and all(r.n_repeated == 1 for r in got)
+
+
+def test_shared_passages(spark):
+    def line(tag, n):
+        return " ".join(f"{tag}{k}" for k in range(n))
+
+    rows = [(1, f"{line('p', 60)}\n{line('own', 30)}\n{line('own', 30)}"), (2, f"{line('x', 25)}\n{line('p', 60)} more"),
+            (3, f"{line('s', 20)}\n{line('s', 20)}"), (4, line("s", 20)), (5, line("alone", 90)), (6, line("q", 21)), (None, line("q", 21).upper()),
+            (7, line("twice", 40)), (7, line("twice", 40)), (8, None)]
+    got = {r.doc_id: (r.n_shared, [(x.par, x.n_words, x.shared) for x in r.repeats]) for r in P.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (1, [(0, 60, True), (1, 30, False), (2, 30, False)]) and got[2] == (1, [(1, 61, True)])
+    assert got[3] == (0, [(0, 20, True), (1, 20, True)]) and got[4] == (0, [(0, 20, True)])
+    assert got[6] == got[None] == (1, [(0, 21, True)]) and got[5] == got[8] == (0, []) and got[7] == (0, [(0, 40, False)])

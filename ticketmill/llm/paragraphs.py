@@ -18,6 +18,8 @@ WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 # multiplies at a time.
 TILE, CELLS = 1024, 8_000_000
 CACHE_WORDS = 500_000
+# Words a repeated paragraph must exceed to count as a shared passage.
+PASSAGE_WORDS = 20
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL, budget: int = 64) -> tuple[int, int]:
@@ -153,24 +155,25 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- on Spark ------------------------------------------------------------------------
 def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Every paragraph: ``id``, ``text_key``, ``par``, ``pid`` (128-bit hash of its words), ``bands``.
+    """Every paragraph: ``id``, ``text_key``, ``par``, ``n_words``, ``pid`` (128-bit hash of its words), ``bands``.
 
     The band keys come once per paragraph and block of texts, else they are null.
     """
     key = docs.schema[id_column].dataType
     id_type = to_arrow_type(key)
-    names = ["id", "text_key", "par", "pid", "bands"]
+    names = ["id", "text_key", "par", "n_words", "pid", "bands"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for block in rows_of(batches, "id", "text_key", "text"):
-            ids, keys, pars, pids, sets, first = [], [], [], [], [], {}
+            ids, keys, pars, sizes, pids, sets, first = [], [], [], [], [], [], {}
             for i, text_key, text in block:
                 for par, words in paragraphs(text):
                     pid = hasher.digest(" ".join(words))
                     ids.append(i)
                     keys.append(text_key)
                     pars.append(par)
+                    sizes.append(len(words))
                     if pid not in first:
                         first[pid] = len(pids)
                         sets.append(hasher.shingles(words))
@@ -181,12 +184,12 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             for at, row in zip(first.values(), hasher.bands(sets)):
                 bands[at] = row
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(keys, pa.int64()), pa.array(pars, pa.int32()), pa.array(pids, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], names)
+                [pa.array(ids, id_type), pa.array(keys, pa.int64()), pa.array(pars, pa.int32()), pa.array(sizes, pa.int32()),
+                 pa.array(pids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names)
 
     text = docs[text_column]
     picked = docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return picked.mapInArrow(run, f"id {key.simpleString()}, text_key bigint, par int, pid binary, bands array<bigint>")
+    return picked.mapInArrow(run, f"id {key.simpleString()}, text_key bigint, par int, n_words int, pid binary, bands array<bigint>")
 
 
 def colliding(found: DataFrame) -> DataFrame:
@@ -242,7 +245,10 @@ def links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each occurrence of a repeated paragraph: ``id``, ``text_key``, ``par``, ``first_id``, ``first_par``, ``removed``.
+    """Each occurrence of a repeated paragraph.
+
+    ``id``, ``text_key``, ``par``, ``n_words``, ``first_id``, ``first_par``,
+    ``removed``, and ``shared``: whether its cluster lies in two documents.
 
     Paragraphs are lines of five words or more. Equal ones (words, ignoring case
     and spacing) are one class; classes of similarity 0.8 or more are linked, and
@@ -252,31 +258,34 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     prepare(docs.sparkSession)
     found = materialise(occurrences(docs, id_column, text_column))
     place = F.struct("id", "text_key", "par")
-    classes = found.groupBy("pid").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    classes = found.groupBy("pid").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))
     parts = connected_components(links(docs, found, id_column, text_column))
     labelled = classes.join(parts.withColumnRenamed("node", "pid"), "pid", "left").where("n > 1 OR component IS NOT NULL").select(
-        "pid", "place", F.coalesce("component", "pid").alias("component")
+        "pid", "place", "last", F.coalesce("component", "pid").alias("component")
     )
-    first = labelled.groupBy("component").agg(F.min("place").alias("first"))
-    named = labelled.select("pid", "component").join(first, "component").select("pid", "first")
-    return found.select("id", "text_key", "par", "pid").join(named, "pid").select(
-        "id", "text_key", "par", F.col("first.id").alias("first_id"), F.col("first.par").alias("first_par"),
-        (~place.eqNullSafe(F.col("first"))).alias("removed"),
+    first = labelled.groupBy("component").agg(F.min("place").alias("first"), F.max("last").alias("last"))
+    named = labelled.select("pid", "component").join(first, "component").select("pid", "first", "last")
+    one = F.col("first.id").eqNullSafe(F.col("last.id")) & F.col("first.text_key").eqNullSafe(F.col("last.text_key"))
+    return found.select("id", "text_key", "par", "n_words", "pid").join(named, "pid").select(
+        "id", "text_key", "par", "n_words", F.col("first.id").alias("first_id"), F.col("first.par").alias("first_par"),
+        (~place.eqNullSafe(F.col("first"))).alias("removed"), (~one).alias("shared"),
     )
 
 
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: the id, ``n_paragraphs`` (lines), ``n_repeated``, ``n_removed``, ``repeats``.
+    """Per row: the id, ``n_paragraphs`` (lines), ``n_repeated``, ``n_removed``, ``n_shared``, ``repeats``.
 
     ``repeats`` lists the lines that belong to a cluster: ``par``, ``first_id``
-    and ``first_par`` (the occurrence that stays) and ``removed``.
+    and ``first_par`` (the occurrence that stays), ``n_words``, ``removed`` and
+    ``shared`` (the cluster lies in two documents or more). ``n_shared`` counts
+    the shared ones of more than ``PASSAGE_WORDS`` words.
 
     Null text has no lines, empty text one. Lines of fewer than five words are
     left alone. Fully repeated rows are one document: each is reported, and none
     is removed for the other's sake. A null id is the smallest. An empty table
     gives an empty table; other columns are not read.
     """
-    listed = F.sort_array(F.collect_set(F.struct("par", "first_id", "first_par", "removed"))).alias("repeats")
+    listed = F.sort_array(F.collect_set(F.struct("par", "first_id", "first_par", "n_words", "removed", "shared"))).alias("repeats")
     by_doc = repeats(docs, id_column, text_column).groupBy("id", "text_key").agg(listed).select(
         F.col("id").alias("_id"), F.col("text_key").alias("_key"), "repeats"
     )
@@ -289,7 +298,9 @@ def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column:
     own = F.coalesce("repeats", F.array().cast(by_doc.schema["repeats"].dataType))
     return joined.select(
         F.col("id").alias(id_column), "n_paragraphs", F.size(own).cast("bigint").alias("n_repeated"),
-        F.size(F.filter(own, lambda r: r["removed"])).cast("bigint").alias("n_removed"), own.alias("repeats"),
+        F.size(F.filter(own, lambda r: r["removed"])).cast("bigint").alias("n_removed"),
+        F.size(F.filter(own, lambda r: r["shared"] & (r["n_words"] > PASSAGE_WORDS))).cast("bigint").alias("n_shared"),
+        own.alias("repeats"),
     )
 
 
