@@ -11,7 +11,7 @@ from ticketmill import schemas
 from ticketmill.operators import contains, digest, evidence as ev, intervals, ordered
 from ticketmill.operators.monitor import to_alerts
 
-NOW = datetime(2026, 9, 30, 12, 0, 0)
+NOW = datetime(2025, 3, 19, 12, 0, 0)
 SIG = "cluster_id string, signal_key string, role string, stream string, mode string, count bigint, prior bigint, threshold_hit boolean"
 
 
@@ -56,27 +56,27 @@ def test_window_edges_are_half_open(spark, cluster, catalog):
 
 
 def test_pool_scope(spark, cluster, catalog):
-    events = logs(spark, ("CLONE", 4, 30, "man2-vdi"), ("CLONE", 13, 30, "bos1-vdi"))
-    scoped = cluster.withColumn("pool", F.lit("man2-vdi"))
+    events = logs(spark, ("CLONE", 4, 30, "kio4-vdi"), ("CLONE", 13, 30, "dep2-vdi"))
+    scoped = cluster.withColumn("pool", F.lit("kio4-vdi"))
     count = lambda c: ev.signal_counts(events, c, catalog).filter("signal_key = 'vdi.error'").first()["count"]
     assert (count(scoped), count(cluster)) == (4, 17)
 
 
 def pools(spark, man, bos):
-    return spark.createDataFrame([(0, "man2-vdi", "GR Manufacturing Pool", man), (1, "bos1-vdi", "GR Office Pool", bos)], "ord int, name string, display_name string, error_count int")
+    return spark.createDataFrame([(0, "kio4-vdi", "Lisbon Kiosk Pool", man), (1, "dep2-vdi", "Lisbon Depot Pool", bos)], "ord int, name string, display_name string, error_count int")
 
 
 def test_pools(spark, cluster):
-    hinted = cluster.withColumn("pool_hint", F.lit("MAN2"))
+    hinted = cluster.withColumn("pool_hint", F.lit("KIO4"))
     plain = cluster.withColumn("pool_hint", F.lit(None).cast("string"))
     count = lambda c, p: ev.pool_error_signal(c, p).first()["count"]
     assert [count(hinted, pools(spark, 4, 0)), count(hinted, pools(spark, 0, 13)), count(plain, pools(spark, 4, 13))] == [4, 0, 17]
-    assert ev.resolve_pool(hinted, pools(spark, 0, 0)).first().pool == "man2-vdi"
+    assert ev.resolve_pool(hinted, pools(spark, 0, 0)).first().pool == "kio4-vdi"
     assert ev.resolve_pool(hinted.withColumn("pool_hint", F.lit("x9")), pools(spark, 0, 0)).first().pool is None
-    assert ev.resolve_pool(hinted.withColumn("pool_hint", F.lit("gr ")), pools(spark, 0, 0)).first().pool == "man2-vdi"
-    assert [r.pool for r in ev.pool_error_samples(pools(spark, 4, 0)).collect()] == ["GR Manufacturing Pool"]
-    samples = spark.createDataFrame([("c1", "a", 0, "man2-vdi", "GR Man"), ("c1", "b", 0, "bos1", "x")], "cluster_id string, signal_key string, ord int, name string, pool string")
-    assert ev.aligned_pools(samples, hinted).first().aligned == "man2-vdi"
+    assert ev.resolve_pool(hinted.withColumn("pool_hint", F.lit("lisbon")), pools(spark, 0, 0)).first().pool == "kio4-vdi"
+    assert [r.pool for r in ev.pool_error_samples(pools(spark, 4, 0)).collect()] == ["Lisbon Kiosk Pool"]
+    samples = spark.createDataFrame([("c1", "a", 0, "kio4-vdi", "Lis Kiosk"), ("c1", "b", 0, "bos1", "x")], "cluster_id string, signal_key string, ord int, name string, pool string")
+    assert ev.aligned_pools(samples, hinted).first().aligned == "kio4-vdi"
     assert ev.aligned_pools(samples, hinted.withColumn("pool_hint", F.lit("zz"))).first().aligned == "none matched"
 
 
@@ -104,12 +104,12 @@ def test_samples_and_pools_follow_the_cluster_pool(spark, cluster, catalog):
 
 
 def changes(spark, *rows):
-    base = {"description_text": None, "status": "Closed", "risk": "Low", "impacted_services": [], "updated_at": "2026-09-30T08:00:00Z"}
+    base = {"description_text": None, "status": "Closed", "risk": "Low", "impacted_services": [], "updated_at": "2025-03-19T08:00:00Z"}
     return ev.parsed_changes(spark.createDataFrame([{**base, **r} for r in rows], schemas.CHANGES))
 
 
-IN = {"planned_start_date": "2026-09-30T11:45:00Z", "planned_end_date": "2026-09-30T12:30:00Z"}
-PAST = {"planned_start_date": "2026-09-29T04:00:00Z", "planned_end_date": "2026-09-29T04:30:00Z"}
+IN = {"planned_start_date": "2025-03-19T11:45:00Z", "planned_end_date": "2025-03-19T12:30:00Z"}
+PAST = {"planned_start_date": "2025-03-18T04:00:00Z", "planned_end_date": "2025-03-18T04:30:00Z"}
 
 
 def matched(cluster, rows, words, overlap=True):
@@ -122,14 +122,14 @@ def matched(cluster, rows, words, overlap=True):
 
 
 def test_changes(spark, cluster):
-    engage = {"subject": "Change affecting Engage", "impacted_services": ["Engage"]}
+    engage = {"subject": "New build for Engage", "impacted_services": ["Engage"]}
     rows = changes(
-        spark, {"id": 1, "subject": "Routine maintenance", "impacted_services": ["Engage"], **IN},
-        {"id": 2, "subject": "Updating Engage servers", **IN}, {"id": 3, "subject": "Printer firmware", **IN},
+        spark, {"id": 1, "subject": "Cable tidying", "impacted_services": ["Engage"], **IN},
+        {"id": 2, "subject": "Engage hosts get more memory", **IN}, {"id": 3, "subject": "Scanner batteries", **IN},
         {"id": 4, **engage, **PAST}, {"id": 5, **engage},
-        {"id": 6, **engage, "planned_start_date": "2026-09-30T11:00:00Z"},
-        {"id": 7, **engage, "planned_start_date": "2026-09-01T00:00:00Z", "planned_end_date": "2026-10-20T00:00:00Z"},
-        {"id": 8, **engage, **IN, "updated_at": "2026-09-20T00:00:00Z"},
+        {"id": 6, **engage, "planned_start_date": "2025-03-19T11:00:00Z"},
+        {"id": 7, **engage, "planned_start_date": "2025-02-18T00:00:00Z", "planned_end_date": "2025-04-08T00:00:00Z"},
+        {"id": 8, **engage, **IN, "updated_at": "2025-03-09T00:00:00Z"},
     )
     assert matched(cluster, rows, ["engage"]) == [1, 2, 6, 7]
     assert matched(cluster, rows, []) == [1, 2, 3, 6, 7]
@@ -139,10 +139,10 @@ def test_changes(spark, cluster):
 
 def test_keywords_and_hint(spark, cluster):
     t = spark.createDataFrame(
-        [("c1", 2, before(5), "x", "on BOS1-VDI-3", "engage/engage desktop"), ("c1", 1, before(9), "x", "MAN2-VDI-128 slow", "software/with vpn")],
+        [("c1", 2, before(5), "x", "at DEP2-VDI-9", "engage/engage till"), ("c1", 1, before(9), "x", "KIO4-VDI-207 crawls", "checkout/with vpn")],
         "cluster_id string, id bigint, created_at timestamp, subject string, description_text string, system_key string")
-    assert ev.cluster_keywords(cluster, t).first().keywords == ["engage", "software"]
-    assert ev.cluster_pool_hint(t).first().pool_hint == "man2"
+    assert ev.cluster_keywords(cluster, t).first().keywords == ["checkout", "engage", "till"]
+    assert ev.cluster_pool_hint(t).first().pool_hint == "kio4"
 
 
 def test_log_error_rate(spark, cluster):
@@ -173,44 +173,44 @@ def test_metric_picks_and_elevation(spark, cluster, one):
 
 def test_version_change(spark, cluster):
     snap = "app string, observed_at timestamp, last_modified string, version string"
-    old, new = "Fri, 25 Sep 2026 14:52:54 GMT", "Tue, 29 Sep 2026 16:00:00 GMT"
+    old, new = "Fri, 14 Mar 2025 14:52:54 GMT", "Tue, 18 Mar 2025 16:00:00 GMT"
     count = lambda c, rows: [r["count"] for r in ev.version_change_signal(c, spark.createDataFrame(rows, snap)).collect()]
-    both = ("Engage (Prod)", "Engage Test-Flight")
-    assert count(cluster, [(a, before(90), old, "6.1.9.9") for a in both]) == []
-    moved = [(a, before(90), old, "6.1.9.9") for a in both] + [(a, before(5), new, "6.1.9.10") for a in both]
+    both = ("Engage Till prod", "Engage Till lab")
+    assert count(cluster, [(a, before(90), old, "4.0.2.7") for a in both]) == []
+    moved = [(a, before(90), old, "4.0.2.7") for a in both] + [(a, before(5), new, "4.0.2.8") for a in both]
     assert count(cluster, moved) == [2]
     assert count(cluster, [(a, before(5), new, "1") for a in both]) == [1]  # recent, production only
     assert count(cluster.withColumn("key", F.lit("print:printer")), moved) == []
-    rows = spark.createDataFrame([("Engage (Prod)", True), ("Engage (Prod)", False), ("Test-Flight", False)], "a string, c boolean")
+    rows = spark.createDataFrame([("Engage Till prod", True), ("Engage Till prod", False), ("Till lab", False)], "a string, c boolean")
     assert [r[0] for r in rows.select(ev.version_weight(F.col("a"), F.col("c"))).collect()] == [1.0, 0.7, 0.21]
 
 
 def test_evidence_digest_and_parts(spark):
     signals = spark.createDataFrame([("1", "vdi.push", "cause", "horizon", "presence", 1, 0, False), ("1", "vdi.error", "effect", "horizon", "elevation", 10, 3, False)], SIG)
-    seen = spark.createDataFrame([("1", 1, "GR <Pool>")], "cluster_id string, rank int, pool string")
-    fired = spark.createDataFrame([("app:engage", NOW, 3, 1000)], "key string, tick timestamp, count bigint, first_ticket_id bigint")
+    seen = spark.createDataFrame([("1", 1, "North <Pool>")], "cluster_id string, rank int, pool string")
+    fired = spark.createDataFrame([("app:engage", NOW, 3, 5200)], "key string, tick timestamp, count bigint, first_ticket_id bigint")
     alerts = to_alerts(fired)
     proof = ev.alert_evidence(signals, seen).withColumn("cluster_id", F.lit(alerts.first().id))
     struct = proof.first().evidence
-    assert struct.confidence == "likely" and struct.pools == ["GR <Pool>"] and [s.elevated for s in struct.signals] == [True, True]
+    assert struct.confidence == "likely" and struct.pools == ["North <Pool>"] and [s.elevated for s in struct.signals] == [True, True]
     assert '"confidence":"likely"' in proof.select(ev.evidence_json(F.col("evidence"))).first()[0]
-    t = spark.createDataFrame([("app:engage", 1000 + i, before(30 - i), f" a<b>\n{i}", "engage/engage desktop") for i in range(3)],
+    t = spark.createDataFrame([("app:engage", 5200 + i, before(30 - i), f" a<b>\n{i}", "engage/engage till") for i in range(3)],
                               "key string, id bigint, created_at timestamp, subject string, system_key string")
     listed = digest.alert_tickets(alerts, t)
     note = digest.compose_digest(alerts, listed, proof).first().note
-    assert "#1000" in note and "#1002" in note and "a&lt;b&gt; 0" in note and "Engage (app:engage)" in note
+    assert "#5200" in note and "#5202" in note and "a&lt;b&gt; 0" in note and "Engage (app:engage)" in note
     assert "<li>[effect] <b>vdi.error</b> @ horizon: 10 events (prior window 3) *</li>" in note
-    assert "<li>[cause] <b>vdi.push</b> @ horizon: 1 event</li>" in note and "GR &lt;Pool&gt;" in note
+    assert "<li>[cause] <b>vdi.push</b> @ horizon: 1 event</li>" in note and "North &lt;Pool&gt;" in note
     bare = digest.compose_digest(alerts, listed).first().note
-    assert "Corroborators" not in bare and "engage/engage desktop" in bare
+    assert "Corroborators" not in bare and "engage/engage till" in bare
     parts = digest.compose_digest(alerts, digest.alert_tickets(alerts, t, note_tickets=2)).orderBy("part").collect()
-    assert len(parts) == 2 and "#1002" in parts[1].note and "#1002" not in parts[0].note
+    assert len(parts) == 2 and "#5202" in parts[1].note and "#5202" not in parts[0].note
     box = digest.alert_outbox(alerts, digest.compose_digest(alerts, listed)).first()
-    assert (box.label, box["count"], box.first_ticket_id, box.parts) == ("Engage", 3, 1000, 1) and box.note == bare
+    assert (box.label, box["count"], box.first_ticket_id, box.parts) == ("Engage", 3, 5200, 1) and box.note == bare
     cut = digest.alert_tickets(alerts, t, note_tickets=2)
     boxes = digest.alert_outbox(alerts, digest.compose_digest(alerts, cut)).collect()
     assert [b.parts for b in boxes] == [2]
-    assert [(r.ticket_id, r.part) for r in digest.outbox_tickets(cut).orderBy("rank").collect()] == [(1000, 0), (1001, 0), (1002, 1)]
+    assert [(r.ticket_id, r.part) for r in digest.outbox_tickets(cut).orderBy("rank").collect()] == [(5200, 0), (5201, 0), (5202, 1)]
 
 
 def test_default_catalogue_of_rules_is_consistent():
@@ -286,8 +286,8 @@ def test_change_overlap_against_brute_force(spark, monkeypatch):
 
 
 def test_hot_day_of_changes(spark, cluster):
-    minute = "timestampadd(SECOND, cast(id % 3600 as int), timestamp'2026-09-30 11:00:00')"
-    many = spark.range(100_000).selectExpr("id", f"{minute} start", f"{minute} end", "timestamp'2026-09-30 08:00:00' updated")
+    minute = "timestampadd(SECOND, cast(id % 3600 as int), timestamp'2025-03-19 11:00:00')"
+    many = spark.range(100_000).selectExpr("id", f"{minute} start", f"{minute} end", "timestamp'2025-03-19 08:00:00' updated")
     assert ev.change_overlap(cluster, many).count() == 100_000
     late = cluster.withColumn("window_end", F.col("window_start"))
     assert ev.change_overlap(late, many).count() == 28

@@ -12,11 +12,11 @@ from ticketmill.functions.rules import metadata_filter
 from ticketmill.operators import feedback, gold, lexical, search, vector_index, vectors
 from ticketmill.sources import records
 
-FIX = "Unlocked account in AD and cleared cached credential on the phone."
+FIX = "Swapped the toner drum and ran the cleaning page on the copier."
 CORPUS = [
-    (101, "Outlook account locked after password change", FIX, "User Account", ["8-Atlanta"]),
-    (102, "Cannot sign in, account locked following password reset", FIX, "User Account", ["8-Atlanta"]),
-    (103, "WorldShip label printer offline", "Restarted the print spooler and re-added the UPS printer.", "Hardware", ["5-Boston"]),
+    (101, "Copier prints grey stripes since the toner change", FIX, "Copiers", ["3-Lisbon"]),
+    (102, "Grey stripes on copies after the new toner went in", FIX, "Copiers", ["3-Lisbon"]),
+    (103, "Bakery scale shows no weight", "Reset the load cell and tared the scale twice.", "Hardware", ["6-Turin"]),
 ]
 HITS = "query_ticket_id bigint, rank int, ticket_id bigint"
 
@@ -212,7 +212,7 @@ def test_blocks_that_cannot_reach_the_top_are_not_read(spark, tmp_path, monkeypa
 
 
 def test_query_without_words_matches_all(spark, docs):
-    q = spark.createDataFrame([(1, " ,. "), (2, "printer")], "query_id bigint, text string")
+    q = spark.createDataFrame([(1, " ,. "), (2, "scale")], "query_id bigint, text string")
     got = lexical.bm25_scores(docs, q, 2, ("symptom_text",)).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.ticket_id, r.score) for r in got if r.query_id == 1] == [(1, 101, 1.0), (1, 102, 1.0)]
     assert [r.ticket_id for r in got if r.query_id == 2] == [103]
@@ -304,13 +304,13 @@ def kb(docs):
 
 
 def test_search_kb_modes_filters_and_projection(spark, docs):
-    q = spark.createDataFrame([(1, "account locked password")], "query_id bigint, text string")
+    q = spark.createDataFrame([(1, "grey stripes toner")], "query_id bigint, text string")
     got = search.search_kb(kb(docs), q, 2).orderBy("rank").collect()
     assert [r.ticket_id for r in got] == [102, 101] and got[0].mode == "bm25-only" and got[0].itglue_urls == []
-    assert got[0].symptom.startswith("Cannot sign in")
+    assert got[0].symptom.startswith("Grey stripes")
     boosted = search.search_kb(kb(docs), q, 1, boosts=spark.createDataFrame([(101, 1.5)], "ticket_id bigint, boost double"))
     assert boosted.first().ticket_id == 101
-    keep = metadata_filter(category="Hardware", store="5-Boston", app="outlook")
+    keep = metadata_filter(category="Hardware", store="6-Turin", app="outlook")
     assert search.search_kb(kb(docs), q, 3, keep).count() == 0
     assert kb(docs).filter(metadata_filter(category="O'Brien")).count() == 0
 

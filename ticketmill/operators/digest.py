@@ -11,6 +11,11 @@ from ticketmill.functions.times import iso
 from ticketmill.operators import ordered
 from ticketmill.operators.clusters import cluster_label
 
+# What every note says about itself.
+NOTICE = (
+    "Found by words that the ticket texts share; categories played no part. This is a guess at a common cause, not a "
+    "confirmed incident. The tickets stay separate. Check the systems before you act."
+)
 # Tickets listed in one note; a larger cluster continues in further notes.
 NOTE_TICKETS = 500
 
@@ -89,12 +94,7 @@ def compose_digest(
     )
     tail = F.concat(
         F.lit("<p><b>System key(s):</b> "), escape_html(F.col("systems")), F.lit("</p>"),
-        # fixed text: the disclaimer readers of a note rely on
-        F.lit(
-            "<p><i>Detection: description-text cluster match (category/sub_category not "
-            "used for detection). Heuristic cluster, not a confirmed incident. No tickets "
-            "were merged; verify against the live systems before acting.</i></p>"
-        ),
+        F.lit(f"<p><i>{NOTICE}</i></p>"),
         proof,
     )
     first = F.col("part") == 0

@@ -362,7 +362,7 @@ def digests(size: int) -> str:
       || ')</b></p><p>' || count || ' ticket(s) created within 60 min as of ' || {iso('window_end')}
       || ' (UTC).</p><p>Tickets (oldest first):</p>' ELSE '' END
     || '<ul>' || li || '</ul>' ||
-    CASE WHEN part = 0 THEN '<p><b>System key(s):</b> ' || systems || '</p><p><i>Detection: description-text cluster match (category/sub_category not used for detection). Heuristic cluster, not a confirmed incident. No tickets were merged; verify against the live systems before acting.</i></p>' ELSE '' END AS note
+    CASE WHEN part = 0 THEN '<p><b>System key(s):</b> ' || systems || '</p><p><i>Found by words that the ticket texts share; categories played no part. This is a guess at a common cause, not a confirmed incident. The tickets stay separate. Check the systems before you act.</i></p>' ELSE '' END AS note
     FROM items i JOIN sys USING (cluster_id))"""
 
 
