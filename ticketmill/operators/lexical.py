@@ -7,9 +7,10 @@ search first reads, per query, the blocks of the highest bounds until they hold
 enough documents; the k-th score found there is a floor, and of all other blocks
 only those whose bound reaches it are read.
 
-Layout below a folder: ``docs`` (``ticket_id, dl, block``) and ``postings``
-(``term, block, n, max_tf, min_dl, entries``), in folders by ``bucket``, a hash of
-the term, and sorted by term, so that a search touches only its words' places.
+Layout below a folder: ``counts`` (``ticket_id, dl, term, tf``), in which the empty
+term stands for the document itself, and ``postings`` (``term, block, n, max_tf,
+min_dl, entries``), in folders by ``bucket``, a hash of the term, and sorted by
+term, so that a search touches only its words' places.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ POSTINGS = (
     "term STRING, block BIGINT, n BIGINT, max_tf BIGINT, min_dl INT, "
     "entries ARRAY<STRUCT<ticket_id: BIGINT, tf: BIGINT, dl: INT>>, bucket INT"
 )
-LENGTHS = "ticket_id BIGINT, dl INT, block BIGINT"
+COUNTS = "ticket_id BIGINT, dl INT, term STRING, tf BIGINT"
 
 
 @dataclass
 class LexicalIndex:
+    """``docs`` has ``ticket_id`` and length ``dl``; ``n`` and ``avgdl`` are their number and mean length."""
+
     docs: DataFrame
     postings: DataFrame
+    n: int
+    avgdl: float | None
 
 
 def tokens(text: Column) -> Column:
@@ -65,39 +70,41 @@ def write_index(
     are left out. A frequent term has one row per block, so no row grows with
     the corpus.
     """
+    spark = docs.sparkSession
     docs = docs.where("ticket_id IS NOT NULL")
-    spread = docs.count() // (CLASSES * block_docs) + 1
-    length = F.size("toks")
-    # blocks of one length class; a class is dealt out by the hash of the id
-    block = (
-        F.floor(F.log2(length + 1) * LENGTH_STEPS).cast("long") * F.lit(2**32)
-        + F.pmod(F.xxhash64("ticket_id"), F.lit(spread))
-    )
     toks = compute_once(docs, ["ticket_id"], {"toks": tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))})
     rows = toks.select(
-        F.col("ticket_id").cast("long").alias("ticket_id"), length.alias("dl"), block.alias("block"),
-        F.explode(F.array_append("toks", "")).alias("term"),  # the empty word stands for the document itself
+        F.col("ticket_id").cast("long").alias("ticket_id"), F.size("toks").alias("dl"),
+        F.explode(F.array_append("toks", "")).alias("term"),
     )
     if words is not None:
         wanted = words.select("term").union(words.sparkSession.range(1).select(F.lit(""))).distinct()
         rows = rows.join(wanted, "term", "left_semi")
-    rows.groupBy("ticket_id", "dl", "block", "term").agg(F.count("*").alias("tf")).write.parquet(f"{path}/counts")
-    counts = docs.sparkSession.read.schema(f"{LENGTHS}, term STRING, tf BIGINT").parquet(f"{path}/counts")
-    counts.where("term = ''").select("ticket_id", "dl", "block").write.parquet(f"{path}/docs")
-    postings = counts.where("term <> ''").groupBy("term", "block").agg(
+    rows.groupBy("ticket_id", "dl", "term").agg(F.count("*").alias("tf")).write.parquet(f"{path}/counts")
+    counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
+    n = counts.where("term = ''").count()
+    # blocks of one length class; a class is dealt out by the hash of the id
+    block = (
+        F.floor(F.log2(F.col("dl") + 1) * LENGTH_STEPS).cast("long") * F.lit(2**32)
+        + F.pmod(F.xxhash64("ticket_id"), F.lit(n // (CLASSES * block_docs) + 1))
+    )
+    postings = counts.where("term <> ''").withColumn("block", block).groupBy("term", "block").agg(
         F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
         F.collect_list(F.struct("ticket_id", "tf", "dl")).alias("entries"),
-    ).withColumn("bucket", _bucket("term", buckets))
-    # ranges cut a frequent term's blocks into several files
-    ranged = postings.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    ranged.write.partitionBy("bucket").parquet(f"{path}/postings")
-    return open_index(docs.sparkSession, path)
+    )
+    if words is None:
+        # ranges cut a frequent term's blocks into several files
+        ranged = postings.withColumn("bucket", _bucket("term", buckets)).repartitionByRange("bucket", "term", "block")
+        ranged.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    else:
+        postings.withColumn("bucket", F.lit(0)).write.parquet(f"{path}/postings")
+    return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return LexicalIndex(
-        spark.read.schema(LENGTHS).parquet(f"{path}/docs"), spark.read.schema(POSTINGS).parquet(f"{path}/postings"),
-    )
+    docs = spark.read.schema(COUNTS).parquet(f"{path}/counts").where("term = ''").select("ticket_id", "dl")
+    n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
+    return LexicalIndex(docs, spark.read.schema(POSTINGS).parquet(f"{path}/postings"), n, avgdl)
 
 
 def bounds(index: LexicalIndex, weights: DataFrame, part: Column) -> DataFrame:
@@ -164,7 +171,7 @@ def bm25_search(
     """
     spark = queries.sparkSession
     folder = scratch_folder(spark)
-    n, avgdl = index.docs.agg(F.count("*"), F.avg("dl")).first()
+    n, avgdl = index.n, index.avgdl
     withheld = None
     if "exclude_id" in queries.columns:
         withheld = queries.select("query_id", F.col("exclude_id").cast("long").alias("ticket_id")).where(
@@ -187,7 +194,7 @@ def bm25_search(
         needed = needed.join(more, "query_id", "left").select(
             "query_id", (F.col("needed") + F.coalesce("more", F.lit(0))).alias("needed")
         )
-    firsts = _kept(first_blocks(bounded, needed), f"{folder}/firsts")
+    firsts = first_blocks(bounded, needed)
     early = _kept(
         top_per_query(_scores(index, weights, firsts, withheld, part("tf", "dl")), top).drop("rank"), f"{folder}/early"
     )
