@@ -626,9 +626,9 @@ def _hybrid(spark, sf, top):
 @query
 def rrf(spark, sf):
     docs, q = I.kb_docs(spark, sf, vectors=True), I.queries(spark, sf, vectors=True)
-    lexical = lexical.bm25_scores(docs, q, 20, ("symptom_text",))
+    words = lexical.bm25_scores(docs, q, 20, ("symptom_text",))
     near = vectors.knn(docs, q.filter("size(vector) > 0"), 20)
-    return search.rrf_fuse(lexical, near).select("query_id", "ticket_id", F.round("score", 9).alias("score"))
+    return search.rrf_fuse(words, near).select("query_id", "ticket_id", F.round("score", 9).alias("score"))
 
 
 @query
