@@ -28,6 +28,8 @@ from ticketmill.session import scratch_folder
 # Documents of a block, about; and folders of the postings.
 BLOCK_DOCS = 512
 BUCKETS = 16
+# Distinct query words that are broadcast at most, about 50 bytes each.
+BROADCAST_WORDS = 500_000
 # Lengths within a factor of 2 ** (1 / LENGTH_STEPS) share a class; a corpus
 # fills about so many classes.
 LENGTH_STEPS = 4
@@ -79,7 +81,9 @@ def write_index(
     )
     if words is not None:
         wanted = words.select("term").union(words.sparkSession.range(1).select(F.lit(""))).distinct()
-        rows = rows.join(wanted, "term", "left_semi")
+        # few words go to every task, so that all other tokens end in the scan
+        few = wanted.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+        rows = rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     rows.groupBy("ticket_id", "dl", "term").agg(F.count("*").alias("tf")).write.parquet(f"{path}/counts")
     counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
     n = counts.where("term = ''").count()
