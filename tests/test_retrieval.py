@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -233,6 +234,27 @@ def test_knn_against_brute_force(spark, limit):
         assert [r.ticket_id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == want
 
 
+def test_scores_held_at_once_do_not_grow_with_the_queries():
+    rng = np.random.default_rng(8)
+    mat = rng.normal(size=(6_000, 8)).round(1)
+    mat[3_000:5_000] = mat[0]  # ties over several tiles
+    ids = rng.permutation(len(mat)).astype(np.int64)
+    few = vectors.TopK(ids[:700], ids[:700], 5)
+    for at in range(0, len(mat), 2_500):
+        vectors.add_vectors(few, mat[:700], ids[at : at + 2_500], mat[at : at + 2_500])
+    got = few.batch().to_pydict()
+    scores = np.round(mat[:700] @ mat.T, 12)
+    want = [(int(ids[q]), int(i)) for q in range(700) for i in ids[np.lexsort((ids, -scores[q]))] if i != ids[q]]
+    want = [pair for at in range(0, len(want), len(mat) - 1) for pair in want[at : at + 5]]
+    assert list(zip(got["query_id"], got["ticket_id"])) == want
+    many = np.repeat(mat, 5, axis=0)
+    tracemalloc.start()
+    vectors.add_vectors(vectors.TopK(np.arange(len(many)), None, 5), many, ids[:4_096], mat[:4_096])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20  # 30,000 by 4,096 scores are 983 MB
+
+
 def vector_rows(spark, mat, ids=None):
     rows = [(int(i), None if v is None else [float(x) for x in v]) for i, v in zip(ids if ids is not None else range(len(mat)), mat)]
     return spark.createDataFrame(rows, "ticket_id bigint, symptom_vector array<float>")

@@ -22,6 +22,8 @@ HITS = "query_id long, ticket_id long, score double"
 # documents are both cut into blocks.
 BROADCAST_BYTES = 32 << 20
 _BLOCK_DOCS = 50_000
+# Queries and documents whose scores a task holds at once: 16 MB, whatever the number of queries.
+TILE_QUERIES, TILE_DOCS = 512, 4_096
 
 
 UPPER = {c: c + 32 for c in range(65, 91)}  # A-Z
@@ -73,51 +75,71 @@ def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query; equal scores go to the smaller id."""
-    if len(ids) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > kth)
-        level = np.flatnonzero(scores == kth)
-        level = level[np.argsort(ids[level], kind="stable")[: k - len(above)]]
-        pick = np.concatenate([above, level])
-        scores, ids = scores[pick], ids[pick]
-    real = scores > -np.inf
-    return scores[real], ids[real]
-
-
 class TopK:
-    """Running top-k per query over batches of document scores."""
+    """Running top-k per query over batches of document scores.
+
+    The best so far lie flat, one entry per hit: place of the query, score, id.
+    """
 
     def __init__(self, qids: np.ndarray, exclude: np.ndarray | None, k: int):
         self.qids, self.exclude, self.k = qids, exclude, k
-        self.best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(qids)
+        # per block of queries, and the k-th score of every query with its id
+        self.best = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))] * -(-len(qids) // TILE_QUERIES)
+        self.floor, self.last = np.full(len(qids), -np.inf), np.full(len(qids), np.iinfo(np.int64).max)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is (query x document); minus infinity means no hit."""
+    def add(self, block: int, ids: np.ndarray, order: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` is (query of the block x document); minus infinity means no hit.
+
+        ``order`` sorts ``ids``. Equal scores go to the smaller id.
+        """
+        first = block * TILE_QUERIES
+        queries = slice(first, first + len(scores))
         if self.exclude is not None:
-            scores[self.exclude[:, None] == ids[None, :]] = -np.inf
-        for q in range(len(self.qids)):
-            s, i = self.best[q]
-            self.best[q] = _best(np.concatenate([s, scores[q]]), np.concatenate([i, ids]), self.k)
+            own = self.exclude[queries]
+            lo, hi = (np.searchsorted(ids, own, side, sorter=order) for side in ("left", "right"))
+            for q in np.flatnonzero(hi > lo):
+                scores[q, order[lo[q] : hi[q]]] = -np.inf
+        floor = self.floor[queries].copy()
+        new = np.flatnonzero(floor == -np.inf)
+        if len(new) and len(ids) > self.k:
+            floor[new] = np.partition(scores[new], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+        # rounding moves a score by less than this
+        q, d = np.nonzero((scores >= floor[:, None] - 1e-12) & (scores > -np.inf))
+        # rounding lets copies tie exactly
+        s, i = np.round(scores[q, d], 12), ids[d]
+        above = (s > self.floor[first + q]) | ((s == self.floor[first + q]) & (i < self.last[first + q]))
+        if not above.any():
+            return
+        q, s, i = (np.concatenate([old, x[above]]) for old, x in zip(self.best[block], (q, s, i)))
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kth = place == self.k - 1
+        self.floor[first + q[kth]], self.last[first + q[kth]] = s[kth], i[kth]
+        kept = place < self.k
+        self.best[block] = (q[kept], s[kept], i[kept])
 
     def batch(self) -> pa.RecordBatch:
-        counts = [len(i) for _, i in self.best]
-        cat = (lambda n: np.concatenate([b[n] for b in self.best]) if self.best else np.empty(0))
+        queries = [n * TILE_QUERIES + q for n, (q, _, _) in enumerate(self.best)]
+        cat = (lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(self.qids, counts), pa.int64()),
-                pa.array(cat(1).astype(np.int64), pa.int64()),
-                pa.array(cat(0).astype(np.float64), pa.float64()),
+                pa.array(self.qids[cat(queries, np.int64)], pa.int64()),
+                pa.array(cat([i for _, _, i in self.best], np.int64), pa.int64()),
+                pa.array(cat([s for _, s, _ in self.best], np.float64), pa.float64()),
             ],
             names=["query_id", "ticket_id", "score"],
         )
 
 
-def add_vectors(best: TopK, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, step: int = 4096) -> None:
+def add_vectors(best: TopK, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, step: int = TILE_DOCS) -> None:
+    """The documents' scores, in tiles of a bounded number of queries and documents."""
     for at in range(0, len(ids), step):
-        # rounding lets copies tie exactly
-        best.add(ids[at : at + step], np.round(qmat @ mat[at : at + step].T, 12))
+        some, rows = ids[at : at + step], mat[at : at + step].T
+        order = np.argsort(some, kind="stable")
+        for block in range(len(best.best)):
+            first = block * TILE_QUERIES
+            best.add(block, some, order, qmat[first : first + TILE_QUERIES] @ rows)
 
 
 def query_arrays(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
