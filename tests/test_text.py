@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -104,6 +105,15 @@ def test_entities(one):
     assert one(["Outlook crossword, not Teams"], lambda t: entities.extract_apps(t)) == [["outlook", "teams", "word"]]
 
 
+def test_spellings_of_many_words_take_no_time_each(one):
+    words = [w for n in range(20_000) for w in (f"Word{n}", f"word{n}", f" WORD{n} ")]
+    started = time.perf_counter()
+    (got,) = one([words], entities.dedupe_ci, "array<string>")
+    assert got == [f"Word{n}" for n in range(20_000)]
+    assert time.perf_counter() - started < 60
+    assert one([None, [], [None, "b", "B"], ["", " "]], entities.dedupe_ci, "array<string>") == [None, [], ["b"], []]
+
+
 def test_dedupe_keeps_first_spelling(one):
     got = one([["b", " A", "a", "", "B ", "c"]], lambda t: entities.dedupe_ci(t), "array<string>")
     assert got == [["b", "A", "c"]]

@@ -13,12 +13,16 @@ from ticketmill.functions.text import strip_space
 
 def dedupe_ci(values: Column) -> Column:
     """Trim, drop empties, keep the first spelling of each value ignoring case."""
-    # exact repeats go first by hash; only distinct spellings are compared
+    # exact repeats go first by hash; the spellings of a value then lie side by side
     kept = F.array_distinct(F.filter(F.transform(values, strip_space), lambda v: v != ""))
-    lowered = F.transform(kept, F.lower)
-    first = F.transform(kept, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    first = F.filter(first, lambda s: F.array_position(lowered, F.lower(s["v"])) == s["i"] + 1)
-    return F.transform(first, lambda s: s["v"])
+    placed = F.sort_array(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("i"), v.alias("v"))))
+
+    def firsts(row: Column) -> Column:
+        new = F.filter(row, lambda s, n: (n == 0) | (F.get(row, n - 1)["low"] != s["low"]))
+        return F.transform(F.sort_array(F.transform(new, lambda s: F.struct(s["i"], s["v"]))), lambda s: s["v"])
+
+    # a lambda's argument is made once, other expressions anew for every element
+    return F.get(F.transform(F.array(placed), firsts), F.lit(0))
 
 
 def _all_matches(text: Column, patterns: Iterable[str]) -> Column:
