@@ -266,6 +266,36 @@ def test_dyadic_nodes(spark):
     assert all([(n.level, n.node) for n in r.n] == [(k, r.c >> k) for k in range(5)] for r in up)
 
 
+def counted(spark, column):
+    """``column`` as it is, and an accumulator of how often it was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def plain(value):
+        made.add(1)
+        return value
+
+    return F.udf(plain, "string")(column), made
+
+
+def test_changes_and_clusters_are_read_once(spark):
+    changes = spark.createDataFrame(
+        [(i, f"1995-01-{1 + i % 20:02d}T00:00:00Z", f"1995-01-{3 + i % 20:02d}T00:00:00Z") for i in range(200)],
+        "id bigint, planned_start_date string, planned_end_date string",
+    )
+    subject, subjects = counted(spark, F.concat(F.lit("s"), F.col("id").cast("string")))
+    changes = changes.withColumns({"updated_at": F.col("planned_start_date"), "subject": subject})
+    clusters = spark.createDataFrame([(f"{d}", f"1995-01-{d:02d} 00:00:00") for d in range(1, 25)], "day string, at string")
+    name, names = counted(spark, F.concat(F.lit("c"), F.col("day")))
+    start = F.col("at").cast("timestamp")
+    clusters = clusters.select(
+        name.alias("cluster_id"), start.alias("window_start"), (start + F.expr("interval 1 hour")).alias("window_end")
+    )
+    pairs = ev.change_overlap(clusters, ev.parsed_changes(changes))
+    rows = pairs.select("cluster_id", "id", "subject").collect()
+    assert len(rows) == 600 and all(r.subject == f"s{r.id}" for r in rows)
+    assert (subjects.value, names.value) == (200, 24)
+
+
 def test_change_overlap_against_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     hour = timedelta(hours=1)

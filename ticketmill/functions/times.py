@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # "2026" or "2026-9-1".
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6}\d*)?)?)?([zZ]|[+-]\d{2}(:?\d{2})?)?)?$"
 
+_WHOLE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
+
 
 def parse_ts(text: Column) -> Column:
     """ISO-8601 text to TIMESTAMP; no offset means UTC, anything else is null."""
@@ -17,15 +19,22 @@ def parse_ts(text: Column) -> Column:
     fixed = F.regexp_replace(trimmed, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=$|[zZ+-])", "$1:00")
     fixed = F.regexp_replace(fixed, r"^(.{11}\d{2}:\d{2})(?=$|[zZ+-])", "$1:00")
     fixed = F.regexp_replace(fixed, ",", ".")
-    fixed = F.regexp_replace(fixed, r"(?<=[T ].{2,30})([+-]\d{2})$", "$1:00")
+    # anchored: the time of an ISO text begins at its eleventh character
+    fixed = F.regexp_replace(fixed, r"^(.{10}[T ].{2,30}[+-]\d{2})$", "$1:00")
     fixed = F.regexp_replace(fixed, "z$", "Z")
-    has_zone = fixed.rlike(r"([Z]|[T ].*[+-]\d{2}:?\d{2})$")
-    utc = F.when(has_zone, fixed).otherwise(
-        F.when(fixed.rlike("[T ]"), F.concat(fixed, F.lit("Z"))).otherwise(
-            F.concat(fixed, F.lit("T00:00:00Z"))
+
+    def utc(text: Column) -> Column:
+        has_zone = text.rlike(r"([Z]|[T ].*[+-]\d{2}:?\d{2})$")
+        return F.when(has_zone, text).otherwise(
+            F.when(text.rlike("[T ]"), F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit("T00:00:00Z")))
         )
+
+    # as a lambda's argument the text is made once
+    zoned = F.get(F.transform(F.array(fixed), utc), F.lit(0))
+    # a whole date-time in UTC needs no mending
+    return F.when(trimmed.rlike(_WHOLE), trimmed.try_cast("timestamp")).when(
+        trimmed.rlike(_ISO), zoned.try_cast("timestamp")
     )
-    return F.when(trimmed.rlike(_ISO), utc.try_cast("timestamp"))
 
 
 def iso(ts: Column) -> Column:

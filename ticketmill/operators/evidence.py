@@ -20,6 +20,7 @@ from ticketmill.functions.status import parse_status_banner
 from ticketmill.functions.times import http_date_age_hours, parse_ts
 from ticketmill.operators import intervals, ordered
 from ticketmill.operators.contains import contains_pairs
+from ticketmill.session import scratch_folder, stored
 
 HOUR = 3_600_000_000
 SIGNAL = ("cluster_id", "signal_key", "role", "stream", "mode", "count", "prior", "threshold_hit")
@@ -430,16 +431,19 @@ def change_overlap(
     so each pair appears once and a change of any length has few rows. Without
     the overlap rule every change updated since is a pair, for the keyword test
     of a few clusters; where only the number is wanted, :func:`change_updates`
-    counts without pairs.
+    counts without pairs. Both sides are read many times, so they are written
+    once, below the shared checkpoint folder.
     """
+    folder = scratch_folder(clusters.sparkSession)
     since = F.col("window_start") - F.make_dt_interval(hours=F.lit(lookback_hours))
-    c = clusters.withColumn("since", since)
+    c = stored(clusters.withColumn("since", since), f"{folder}/clusters")
     if not require_overlap:
         newest = changes.agg(F.max("updated")).first()[0]
         until = c.withColumn("_until", F.lit(newest).cast("timestamp"))
         return intervals.stab(changes, "updated", until, "since", "_until").select(*clusters.columns, *changes.columns)
     fresh = F.col("updated") >= F.col("since")
-    planned = changes.filter("start IS NOT NULL AND end >= start")
+    parsed = stored(changes, f"{folder}/changes")
+    planned = parsed.filter("start IS NOT NULL AND end >= start")
     begins = intervals.stab(planned, "start", c, "window_start", "window_end")
     within = intervals.stab(c, "window_start", planned, "start", "end").filter("window_start > start")
     columns = [*clusters.columns, *changes.columns]

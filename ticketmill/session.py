@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import ticketmill
 
@@ -61,3 +61,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to the new folder ``path`` and read from there, so that its work is done once."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
