@@ -294,6 +294,36 @@ def test_indexed_knn_equals_the_full_comparison(spark, tmp_path, monkeypatch):
     assert hits(vector_index.knn(opened, q.limit(2), 3)) == hits(vectors.knn(d, q.limit(2), 3))
 
 
+def test_pairs_of_queries_and_cells_are_handed_on_in_pieces(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    mat = rng.normal(size=(400, 5)).astype(np.float32)
+    d = vector_rows(spark, mat)
+    index = vector_index.write_index(d, str(tmp_path / "a"), lists=16)
+    monkeypatch.setattr(vector_index, "PICKED_PAIRS", 2 * index.cells.count())
+    q = d.coalesce(1).select(F.col("ticket_id").alias("query_id"), F.col("symptom_vector").alias("vector"))
+    handed = []
+
+    def watch(queries, *rest):
+        # an iterator's batches as the tasks hand them on
+        class Rows:
+            sparkSession = queries.sparkSession
+
+            def select(self, *names):
+                self.table = queries.select(*names).toArrow()
+                return self
+
+            def mapInArrow(self, fn, schema):
+                handed.extend(b.num_rows for b in fn(iter(self.table.to_batches())))
+                return queries.select(*["query_id", "vector", "more", "floor"]).mapInArrow(fn, schema)
+
+        return picked(Rows(), *rest)
+
+    picked = vector_index.wanted_cells
+    monkeypatch.setattr(vector_index, "wanted_cells", watch)
+    assert hits(vector_index.knn(index, q, 20)) == hits(vectors.knn(d, q, 20))
+    assert len(handed) == 400 and max(handed) <= 2 * index.cells.count()
+
+
 def test_indexed_knn_of_spread_vectors_and_empty_tables(spark, tmp_path):
     rng = np.random.default_rng(2)
     mat = rng.normal(size=(300, 5)).astype(np.float32)

@@ -31,6 +31,8 @@ RINGS = 16
 # Vectors of a cell, and queries, that meet in one task.
 CELL_DOCS = 50_000
 TASK_QUERIES = 10_000
+# Pairs of a query, with its vector, and a cell that a task holds at once.
+PICKED_PAIRS = 100_000
 # More than the rounding of scores and distances.
 SLACK = 1e-9
 NOWHERE = -1  # the cell of vectors without direction: their score is 0 with everything
@@ -147,7 +149,8 @@ def wanted_cells(queries: DataFrame, model: tuple, dim: int, k: int | None) -> D
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, cell, n, low, high = shared.value
-        for batch in batches:
+        step = max(1, PICKED_PAIRS // max(len(cell), 1))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             unit = matrix_of(batch.column("vector"), dim)
             more, floor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("more", "floor"))
             rows, picked = [], []
