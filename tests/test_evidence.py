@@ -296,6 +296,21 @@ def test_changes_and_clusters_are_read_once(spark):
     assert (subjects.value, names.value) == (200, 24)
 
 
+def test_corroborate_makes_its_clusters_once(spark):
+    clusters = spark.createDataFrame([(d, f"1995-01-{d:02d} 00:00:00") for d in range(1, 9)], "day int, at string")
+    name, names = counted(spark, F.concat(F.lit("c"), F.col("day").cast("string")))
+    start = F.col("at").cast("timestamp")
+    clusters = clusters.select(
+        name.alias("cluster_id"), F.lit("vpn").alias("key"), start.alias("window_start"),
+        (start + F.expr("interval 1 hour")).alias("window_end"),
+    )
+    logs = spark.createDataFrame([("vpn", "Error", "1995-01-02 00:10:00")], "app string, level string, at string")
+    logs = logs.select("app", "level", F.col("at").cast("timestamp").alias("timestamp"))
+    pages = spark.createDataFrame([("v", "<p>ok</p>")], "vendor string, html string")
+    found = ev.corroborate(clusters, app_logs=logs, app="vpn", pages=pages).select("cluster_id").collect()
+    assert sorted(r.cluster_id for r in found) == [f"c{d}" for d in range(1, 9)] and names.value == 8
+
+
 def test_change_overlap_against_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     hour = timedelta(hours=1)

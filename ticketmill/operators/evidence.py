@@ -614,6 +614,7 @@ def version_change_signal(
     spans = judged.filter("_over IS NOT NULL").select(
         "_at", F.least("_over", F.coalesce("_next", F.lit(2**62))).alias("_over")
     ).filter("_over > _at")
+    spans = stored(spans, f"{scratch_folder(clusters.sparkSession)}/spans")  # for both look-ups
     ends = F.unix_micros("window_end") + 1
     floor = F.lit(-(2**62))
 
@@ -713,8 +714,10 @@ def corroborate(
     """Tier, evidence and items of every cluster from all its signals; see :func:`all_signals`.
 
     The pools named are the busiest ones among the events. A cluster without any
-    signal has tier ``none``.
+    signal has tier ``none``. Every source looks at the clusters, so they are
+    written once, below the shared checkpoint folder.
     """
+    clusters = stored(clusters, f"{scratch_folder(clusters.sparkSession)}/clusters")
     found = all_signals(clusters, events, catalog, **sources)
     seen = None
     if events is not None and catalog is not None:
