@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -212,6 +213,44 @@ def test_blocks_that_cannot_reach_the_top_are_not_read(spark, tmp_path, monkeypa
     assert have[1] > 100 and seen[1] < have[1] / 10 and seen[2] < have[2] / 2 and seen[3] < have[3]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_of_a_block_are_sent_once_and_not_per_query(spark, tmp_path, monkeypatch, few):
+    """A posting used to be shuffled once for every query that has its word."""
+    if not few:
+        for name, value in {"TILE_QUERIES": 2, "TILE_TERMS": 3, "BROADCAST_TILES": 1, "BROADCAST_WORDS": 1}.items():
+            monkeypatch.setattr(lexical, name, value, raising=False)
+    rng = random.Random(4)
+    words = ["mail", "vpn", "disk", "login", "slow", "print", "the", "a"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(120)]
+    asks = [(i, " ".join(rng.sample(words, 3))) for i in range(9)]
+    d = spark.createDataFrame(texts, "ticket_id bigint, symptom_text string")
+    q = spark.createDataFrame(asks, "query_id bigint, text string")
+    plans, scores = [], lexical._scores
+    monkeypatch.setattr(lexical, "_scores", lambda *a: plans.append(scores(*a)) or plans[-1])
+    index = lexical.write_index(d, str(tmp_path / "index"), ("symptom_text",), block_docs=4)
+    found = [lexical.bm25_search(index, q, 5).collect(), lexical.bm25_scores(d, q, 5, ("symptom_text",)).collect()]
+    want = brute_bm25(texts, asks)
+    best = {}
+    for query in range(9):
+        order = sorted((k for k in want if k[0] == query), key=lambda k: (-want[k], k[1]))[:5]
+        best |= {(query, rank): i for rank, (_, i) in enumerate(order, 1)}
+    assert index.n == 120 and {r.ticket_id for r in index.docs.collect()} == set(range(120))
+    for got in found:
+        assert {(r.query_id, r["rank"]): r.ticket_id for r in got} == best
+    for plan in plans:
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, block", shown)
+
+
+def test_rows_of_one_id_and_length_are_one_document(spark, tmp_path):
+    rows = [(1, "vpn slow"), (1, "vpn disk"), (1, "vpn"), (2, "")]
+    d = spark.createDataFrame(rows, "ticket_id bigint, symptom_text string")
+    index = lexical.write_index(d, str(tmp_path / "index"), ("symptom_text",))
+    assert sorted(map(tuple, index.docs.collect())) == [(1, 1), (1, 2), (2, 0)] and index.avgdl == 1.0
+    found = index.postings.select("term", F.inline("entries")).collect()
+    assert sorted(map(tuple, found)) == [("disk", 1, 1, 2), ("slow", 1, 1, 2), ("vpn", 1, 1, 1), ("vpn", 1, 2, 2)]
+
+
 def test_query_without_words_matches_all(spark, docs):
     q = spark.createDataFrame([(1, " ,. "), (2, "scale")], "query_id bigint, text string")
     got = lexical.bm25_scores(docs, q, 2, ("symptom_text",)).orderBy("query_id", "rank").collect()

@@ -7,23 +7,30 @@ search first reads, per query, the blocks of the highest bounds until they hold
 enough documents; the k-th score found there is a floor, and of all other blocks
 only those whose bound reaches it are read.
 
-Layout below a folder: ``counts`` (``ticket_id, dl, term, tf``), in which the empty
-term stands for the document itself, and ``postings`` (``term, block, n, max_tf,
-min_dl, entries``), in folders by ``bucket``, a hash of the term, and sorted by
-term, so that a search touches only its words' places.
+A text is shuffled once, as its distinct words, to the task that makes all rows of
+its block; a search sends the rows of its words once to the tasks that score a
+block for up to ``TILE_QUERIES`` queries. The arithmetic is numpy inside Spark tasks.
+
+Layout below a folder: ``postings`` (``term, block, n, max_tf, min_dl, entries``), in
+folders by ``bucket``, a hash of the term, every file sorted by term, so that a search
+touches only its words' places. The empty term, in a bucket of its own, lists the
+documents of a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketmill import defaults as D
-from ticketmill.functions.once import compute_once
 from ticketmill.schemas import SEARCHABLE
-from ticketmill.session import scratch_folder
+from ticketmill.session import scratch_folder, stored
 
 # Documents of a block, about; and folders of the postings.
 BLOCK_DOCS = 512
@@ -34,22 +41,32 @@ BROADCAST_WORDS = 500_000
 # fills about so many classes.
 LENGTH_STEPS = 4
 CLASSES = 8
+# Words from which a text counts as several for the size of its block.
+LONG_WORDS = 2_048
+# Queries and terms whose weights a task holds at once, and (block, tile of queries) pairs that are broadcast at most.
+TILE_QUERIES, TILE_TERMS = 512, 1_024
+BROADCAST_TILES = 500_000
+DOCUMENTS = -1  # the bucket of the empty term
 
 POSTINGS = (
     "term STRING, block BIGINT, n BIGINT, max_tf BIGINT, min_dl INT, "
     "entries ARRAY<STRUCT<ticket_id: BIGINT, tf: BIGINT, dl: INT>>, bucket INT"
 )
-COUNTS = "ticket_id BIGINT, dl INT, term STRING, tf BIGINT"
+COUNTED = "ticket_id BIGINT, dl INT, terms ARRAY<STRING>, tfs ARRAY<BIGINT>"
 
 
 @dataclass
 class LexicalIndex:
-    """``docs`` has ``ticket_id`` and length ``dl``; ``n`` and ``avgdl`` are their number and mean length."""
+    """``docs`` has ``ticket_id`` and length ``dl``; ``n`` and ``avgdl`` are their number and mean length.
+
+    ``narrow`` says that the postings are those of a search's words alone.
+    """
 
     docs: DataFrame
     postings: DataFrame
     n: int
     avgdl: float | None
+    narrow: bool = False
 
 
 def tokens(text: Column) -> Column:
@@ -61,54 +78,113 @@ def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of a column's lists, and their elements in one array."""
+    lengths = pc.list_value_length(column).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(column)
+    return lengths, flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+
+
+def _counted(batches: Iterator[pa.RecordBatch], wanted: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """Per text its number of words, its distinct words (among the wanted ones) and how often each occurs."""
+    for batch in batches:
+        dl, toks = _flat(batch.column("toks"))
+        coded = toks.dictionary_encode()
+        codes, terms = coded.indices.to_numpy(), coded.dictionary
+        owner = np.repeat(np.arange(len(dl)), dl)
+        if wanted is not None:
+            kept = pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False)[codes]
+            owner, codes = owner[kept], codes[kept]
+        pairs, tf = np.unique(owner * max(len(terms), 1) + codes, return_counts=True)
+        owner, codes = np.divmod(pairs, max(len(terms), 1))
+        at = pa.array(np.searchsorted(owner, np.arange(len(dl) + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("ticket_id"), pa.array(dl, pa.int32()),
+                pa.ListArray.from_arrays(at, terms.take(pa.array(codes, pa.int64()))),
+                pa.ListArray.from_arrays(at, pa.array(tf, pa.int64())),
+            ],
+            names=["ticket_id", "dl", "terms", "tfs"],
+        )
+
+
+def _block_postings(table: pa.Table) -> pa.Table:
+    """All rows of one block; rows with one id and length are one document."""
+    keys = np.stack([table.column("ticket_id").to_numpy(), table.column("dl").to_numpy()])
+    (ids, dl), doc = np.unique(keys, axis=1, return_inverse=True)
+    lengths, terms = _flat(table.column("terms"))
+    coded = terms.dictionary_encode()
+    owner = np.repeat(doc.reshape(-1), lengths)
+    pairs, at = np.unique(coded.indices.to_numpy() * np.int64(len(ids)) + owner, return_inverse=True)
+    tf = np.bincount(at, _flat(table.column("tfs"))[1].to_numpy(), len(pairs)).astype(np.int64)
+    code, owner = np.divmod(pairs, len(ids))
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+
+    # the empty term's row comes last and lists the documents
+    def column(term: np.ndarray, document: np.ndarray) -> pa.Array:
+        return pa.array(np.concatenate([term, document]))
+
+    def least(x: np.ndarray, ufunc: np.ufunc) -> np.ndarray:
+        return ufunc.reduceat(x, starts) if len(starts) else x
+
+    entries = pa.StructArray.from_arrays(
+        [column(ids[owner], ids), column(tf, np.ones_like(ids)), column(dl[owner], dl).cast(pa.int32())],
+        names=["ticket_id", "tf", "dl"],
+    )
+    ends = np.concatenate([starts, [len(pairs), len(pairs) + len(ids)]])
+    named = pa.concat_arrays([coded.dictionary.take(pa.array(code[starts], pa.int64())), pa.array([""])])
+    return pa.table({
+        "term": named, "block": pa.array(np.full(len(named), table.column("block")[0].as_py()), pa.int64()),
+        "n": column(np.diff(ends[:-1]), np.array([len(ids)])),
+        "max_tf": column(least(tf, np.maximum), np.array([1])),
+        "min_dl": column(least(dl[owner], np.minimum), np.array([dl.min()])).cast(pa.int32()),
+        "entries": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
+    })
+
+
 def write_index(
     docs: DataFrame, path: str, fields: tuple[str, ...] = SEARCHABLE, words: DataFrame | None = None,
     block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS,
 ) -> LexicalIndex:
     """Write the index of ``docs`` to the new folder ``path``.
 
-    Texts are read and tokenized once. ``words`` (``term``) limits the postings
-    to some terms, for a search without a stored index. Rows without a ticket id
-    are left out. A frequent term has one row per block, so no row grows with
-    the corpus.
+    Texts are read and tokenized once and shuffled once, as their distinct words.
+    ``words`` (``term``) limits the postings to some terms, for a search without a
+    stored index. Rows without a ticket id are left out. A frequent term has one
+    row per block, so no row grows with the corpus.
     """
     spark = docs.sparkSession
     docs = docs.where("ticket_id IS NOT NULL")
-    toks = compute_once(docs, ["ticket_id"], {"toks": tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))})
-    rows = toks.select(
-        F.col("ticket_id").cast("long").alias("ticket_id"), F.size("toks").alias("dl"),
-        F.explode(F.array_append("toks", "")).alias("term"),
-    )
+    few, wanted = False, None
     if words is not None:
-        wanted = words.select("term").union(words.sparkSession.range(1).select(F.lit(""))).distinct()
+        words = words.select("term").distinct()
         # few words go to every task, so that all other tokens end in the scan
-        few = wanted.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-        rows = rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    rows.groupBy("ticket_id", "dl", "term").agg(F.count("*").alias("tf")).write.parquet(f"{path}/counts")
-    counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
-    n = counts.where("term = ''").count()
-    # blocks of one length class; a class is dealt out by the hash of the id
-    block = (
-        F.floor(F.log2(F.col("dl") + 1) * LENGTH_STEPS).cast("long") * F.lit(2**32)
-        + F.pmod(F.xxhash64("ticket_id"), F.lit(n // (CLASSES * block_docs) + 1))
+        few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+        wanted = spark.sparkContext.broadcast(words.toArrow().column("term").combine_chunks()) if few else None
+    toks = docs.select(
+        F.col("ticket_id").cast("long").alias("ticket_id"), tokens(F.concat_ws(" ", *[F.col(f) for f in fields])).alias("toks")
     )
-    postings = counts.where("term <> ''").withColumn("block", block).groupBy("term", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-        F.collect_list(F.struct("ticket_id", "tf", "dl")).alias("entries"),
-    )
-    if words is None:
-        # ranges cut a frequent term's blocks into several files
-        ranged = postings.withColumn("bucket", _bucket("term", buckets)).repartitionByRange("bucket", "term", "block")
-        ranged.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    else:
-        postings.withColumn("bucket", F.lit(0)).write.parquet(f"{path}/postings")
-    return open_index(spark, path)
-
-
-def open_index(spark: SparkSession, path: str) -> LexicalIndex:
-    docs = spark.read.schema(COUNTS).parquet(f"{path}/counts").where("term = ''").select("ticket_id", "dl")
+    counted = toks.mapInArrow(lambda batches: _counted(batches, wanted.value if wanted else None), COUNTED)
+    # blocks of one length class; a class is dealt out by the hash of the id, long texts to more blocks
+    n = docs.count()
+    step = F.floor(F.log2(F.col("dl") + 1) * LENGTH_STEPS).cast("long")
+    long = F.floor(F.pow(F.lit(2.0), step / LENGTH_STEPS) / LONG_WORDS).cast("long") + 1
+    block = step * F.lit(2**32) + F.pmod(F.xxhash64("ticket_id"), F.lit(n // (CLASSES * block_docs) + 1) * long)
+    schema = POSTINGS.removesuffix(", bucket INT")
+    postings = counted.withColumn("block", block).groupBy("block").applyInArrow(_block_postings, schema)
+    if words is not None and not few:
+        postings = postings.join(words.unionByName(spark.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
+    bucket = F.lit(0) if words is not None else _bucket("term", buckets)
+    placed = postings.withColumn("bucket", F.when(F.col("term") == "", DOCUMENTS).otherwise(bucket))
+    placed.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    return open_index(spark, path, words is not None)
+
+
+def open_index(spark: SparkSession, path: str, narrow: bool = False) -> LexicalIndex:
+    rows = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    docs = rows.where(F.col("bucket") == DOCUMENTS).select(F.inline("entries")).select("ticket_id", "dl")
     n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
-    return LexicalIndex(docs, spark.read.schema(POSTINGS).parquet(f"{path}/postings"), n, avgdl)
+    return LexicalIndex(docs, rows.where(F.col("bucket") != DOCUMENTS), n, avgdl, narrow)
 
 
 def bounds(index: LexicalIndex, weights: DataFrame, part: Column) -> DataFrame:
@@ -137,22 +213,77 @@ def further_blocks(bounded: DataFrame, firsts: DataFrame, scored: DataFrame, top
     )
     rest = bounded.join(firsts, ["query_id", "block"], "left_anti").join(kth, "query_id", "left")
     # scores are rounded to 9 places
-    return rest.where("floor IS NULL OR bound + 2e-9 >= floor").select("query_id", "block")
-
-
-def _scores(index: LexicalIndex, weights: DataFrame, blocks: DataFrame, withheld: DataFrame | None, part: Column) -> DataFrame:
-    """Scores of all documents in the given (query, block) pairs.
+    return rest.where("floor IS NULL OR bound + 2e-9 >= floor").select("query_id", "block", "floor")
+
+
+def _block_scores(found: pa.Table, asked: pa.Table, k1: float, b: float, avgdl: float) -> tuple[np.ndarray, ...]:
+    """Hits of some queries in one block: place of the query, id, score, ordered; at most ``needed`` per query."""
+    lengths, entries = _flat(found.column("entries"))
+    ids, doc = np.unique(entries.field("ticket_id").to_numpy(), return_inverse=True)
+    tf, dl = (entries.field(name).to_numpy().astype(np.float64) for name in ("tf", "dl"))
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    words, listed = _flat(asked.column("words"))
+    terms = found.column("term").combine_chunks()
+    place = pc.index_in(listed.field("term"), value_set=terms).fill_null(-1).to_numpy()
+    query, idf = np.repeat(np.arange(len(words)), words), listed.field("idf").to_numpy()
+    scores = np.zeros((len(words), len(ids)))
+    for at in range(0, len(lengths), TILE_TERMS):
+        size = min(TILE_TERMS, len(lengths) - at)
+        rows = slice(ends[at], ends[at + size])
+        parts = np.bincount((owner[rows] - at) * len(ids) + doc[rows], part[rows], size * len(ids)).reshape(size, -1)
+        met = (place >= at) & (place < at + size)
+        weights = np.bincount(query[met] * size + place[met] - at, idf[met], len(words) * size).reshape(-1, size)
+        scores += weights @ parts
+    needed = asked.column("needed").to_numpy()
+    floor = asked.column("floor").to_numpy().astype(np.float64)
+    floor = np.where(np.isnan(floor), 0.0, floor - 2e-9)
+    most = int(needed.max())
+    if most < len(ids):
+        kth = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most]
+        floor = np.maximum(floor, kth - 2e-9)  # scores are rounded to 9 places
+    q, d = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+    s = np.round(scores[q, d], 9)
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < needed[q]
+    return q[kept], ids[d[kept]], s[kept]
+
+
+def _scores(
+    index: LexicalIndex, weights: DataFrame, blocks: DataFrame, withheld: DataFrame | None, needed: DataFrame,
+    k1: float, b: float,
+) -> DataFrame:
+    """The best scores of the documents in the given (query, block) pairs, at least ``needed`` per pair where it has them.
 
-    The compact entries are shuffled by (query, block); a document is in one
+    The rows of a block go once to a tile of queries; a document is in one
     block, so its sum needs no further shuffle.
     """
-    found = blocks.join(weights, "query_id").join(index.postings, ["term", "block"])
-    entries = found.select("query_id", "block", "idf", "entries").repartition("query_id", "block").select(
-        "query_id", "block", "idf", F.inline("entries")
+    avgdl = index.avgdl or 1.0
+    if "floor" not in blocks.columns:
+        blocks = blocks.withColumn("floor", F.lit(None).cast("double"))
+    tiles = -(-needed.count() // TILE_QUERIES)
+    tiled = blocks.withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(max(tiles, 1))).cast("int"))
+    tiled = stored(tiled, scratch_folder(blocks.sparkSession))
+    met = tiled.select(F.col("block").alias("block"), F.col("tile").alias("tile")).distinct()
+    if met.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES:
+        met = F.broadcast(met)
+    found = index.postings.select("term", "block", "entries").join(met, "block")
+    words = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("words"))
+    asked = tiled.join(words.join(needed, "query_id"), "query_id")
+    kind = weights.schema["query_id"].dataType
+
+    def score(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if not rows.num_rows or not queries.num_rows:
+            empty = pa.array([], pa.int64())
+            return pa.table({"query_id": queries.column("query_id").slice(0, 0), "ticket_id": empty, "score": empty.cast(pa.float64())})
+        q, ids, s = _block_scores(rows, queries, k1, b, avgdl)
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(q)), "ticket_id": pa.array(ids), "score": pa.array(s)})
+
+    scored = found.groupBy("block", "tile").cogroup(asked.groupBy("block", "tile")).applyInArrow(
+        score, f"query_id {kind.simpleString()}, ticket_id long, score double"
     )
-    scored = entries.groupBy("query_id", "block", "ticket_id").agg(
-        F.round(F.sum(F.col("idf") * part), 9).alias("score")
-    ).select("query_id", "ticket_id", "score")
     return scored if withheld is None else scored.join(withheld, ["query_id", "ticket_id"], "left_anti")
 
 
@@ -186,11 +317,16 @@ def bm25_search(
         return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / (avgdl or 1.0)))
 
     asked = query_words(queries)
-    terms = asked.select("term").distinct()
-    df = index.postings.select("term", "n").join(terms, "term").groupBy("term").agg(F.sum("n").alias("df"))
+    if not index.narrow:
+        # one pass over the stored rows; few words go to every task, so that no other row is shuffled
+        terms = asked.select("term").distinct()
+        few = terms.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+        rows = index.postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+        index = LexicalIndex(index.docs, stored(rows, f"{folder}/narrow"), n, avgdl, True)
+    df = index.postings.select("term", "n").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = _kept(asked.join(df, "term").select("query_id", "term", idf.alias("idf")), f"{folder}/weights")
-    bounded = _kept(bounds(index, weights, part("max_tf", "min_dl")), f"{folder}/bounds")
+    weights = stored(asked.join(df, "term").select("query_id", "term", idf.alias("idf")), f"{folder}/weights")
+    bounded = stored(bounds(index, weights, part("max_tf", "min_dl")), f"{folder}/bounds")
 
     needed = weights.select("query_id").distinct().withColumn("needed", F.lit(top).cast("long"))
     if withheld is not None:
@@ -199,19 +335,14 @@ def bm25_search(
             "query_id", (F.col("needed") + F.coalesce("more", F.lit(0))).alias("needed")
         )
     firsts = first_blocks(bounded, needed)
-    early = _kept(
-        top_per_query(_scores(index, weights, firsts, withheld, part("tf", "dl")), top).drop("rank"), f"{folder}/early"
+    early = stored(
+        top_per_query(_scores(index, weights, firsts, withheld, needed, k1, b), top).drop("rank"), f"{folder}/early"
     )
     others = further_blocks(bounded, firsts, early, top)
-    scored = early.unionByName(_scores(index, weights, others, withheld, part("tf", "dl")))
+    scored = early.unionByName(_scores(index, weights, others, withheld, needed, k1, b))
     return top_per_query(scored, top).unionByName(_match_all(index, queries, withheld, top))
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _match_all(index: LexicalIndex, queries: DataFrame, withheld: DataFrame | None, top: int) -> DataFrame:
     """Queries without words take the first documents in id order."""
     empty = queries.groupBy("query_id").agg(F.max(F.size(tokens(F.col("text")))).alias("words")).where("words = 0")
