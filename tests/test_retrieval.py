@@ -217,7 +217,7 @@ def test_blocks_that_cannot_reach_the_top_are_not_read(spark, tmp_path, monkeypa
 def test_rows_of_a_block_are_sent_once_and_not_per_query(spark, tmp_path, monkeypatch, few):
     """A posting used to be shuffled once for every query that has its word."""
     if not few:
-        for name, value in {"TILE_QUERIES": 2, "TILE_TERMS": 3, "BROADCAST_TILES": 1, "BROADCAST_WORDS": 1}.items():
+        for name, value in {"TILE_QUERIES": 2, "TILE_TERMS": 3, "PIECE_WORDS": 40, "BROADCAST_TILES": 1, "BROADCAST_WORDS": 1}.items():
             monkeypatch.setattr(lexical, name, value, raising=False)
     rng = random.Random(4)
     words = ["mail", "vpn", "disk", "login", "slow", "print", "the", "a"]

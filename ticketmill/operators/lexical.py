@@ -45,6 +45,8 @@ CLASSES = 8
 LONG_WORDS = 2_048
 # Queries and terms whose weights a task holds at once, and (block, tile of queries) pairs that are broadcast at most.
 TILE_QUERIES, TILE_TERMS = 512, 1_024
+# Words of texts that a task counts at once.
+PIECE_WORDS = 500_000
 BROADCAST_TILES = 500_000
 DOCUMENTS = -1  # the bucket of the empty term
 
@@ -85,9 +87,17 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
     return lengths, flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about ``PIECE_WORDS`` words."""
+    words = np.cumsum(pc.list_value_length(batch.column("toks")).to_numpy(), dtype=np.int64)
+    cuts = (np.flatnonzero(np.diff(words // PIECE_WORDS)) + 1).tolist()
+    for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(start, end - start)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], wanted: pa.Array | None) -> Iterator[pa.RecordBatch]:
     """Per text its number of words, its distinct words (among the wanted ones) and how often each occurs."""
-    for batch in batches:
+    for batch in (piece for batch in batches for piece in _pieces(batch)):
         dl, toks = _flat(batch.column("toks"))
         coded = toks.dictionary_encode()
         codes, terms = coded.indices.to_numpy(), coded.dictionary
