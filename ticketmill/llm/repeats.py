@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ticketmill.llm.common import materialise, prepare, rows_of
+from ticketmill.llm.passages import shared_words
+from ticketmill.llm.windows import Windows, anchor_places
 
 LENGTH, ANCHOR = 400, 200
 # Bytes of a text that are hashed at once, and of segments under one transform.
@@ -30,52 +32,9 @@ PART_BYTES, TEXT_BYTES = 4_000_000, 1_500_000
 # with more is resolved by the hashes of its strings.
 GROUP_SEGMENTS = 3_000
 FIRST_SYMBOLS = 7
-_FACTOR = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 # --- anchors -----------------------------------------------------------------------
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-class Windows:
-    """Hashes of any stretch of a text of up to ``PART_BYTES`` and some bytes."""
-
-    def __init__(self):
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def load(self, data: bytes) -> None:
-        n = len(data)
-        if len(self.powers) <= n:
-            size = max(n + 1, 1 << 17)
-            self.powers, self.inverse = _powers(_FACTOR, size), _powers(pow(_FACTOR, -1, 1 << 64), size)
-        self.sums = np.zeros(n + 1, np.uint64)
-        codes = _mixed(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1))
-        np.cumsum(codes * self.powers[:n], out=self.sums[1:])
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
-
-
-def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """Least key of every ``width`` consecutive ones: suffix and prefix minima of fixed blocks."""
-    n = len(keys)
-    padded = np.concatenate([keys, np.full(-n % width, np.uint64(_MASK))]).reshape(-1, width)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - width + 1
-    return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
-
-
 def segments(data: bytes, windows: Windows, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
     """Anchor hash, segment hash, first and last start of each segment, part by part."""
     for base in range(0, max(len(data) - length + 1, 0), PART_BYTES):
@@ -84,14 +43,11 @@ def segments(data: bytes, windows: Windows, length: int = LENGTH, anchor: int =
         n = len(part)
         at = np.arange(n - anchor + 1)
         h = windows.hashes(at, at + anchor)
-        place = (1 << 24) - 1
-        keys = (h & np.uint64(_MASK ^ place)) | at.astype(np.uint64)
-        least = (_sliding_least(keys, length - anchor + 1) & np.uint64(place)).astype(np.int64)
+        least = anchor_places(h, length - anchor + 1)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.concatenate([first[1:], [len(least)]]) - 1
         spot = least[first]
-        shape = ((spot - first) * (length + 1) + (last - first)).astype(np.uint64)
-        own = _mixed(windows.hashes(first, last + length) ^ _mixed(shape + np.uint64(1)))
+        own = windows.segment_hashes(first, last, spot, length)
         yield h[spot].view(np.int64), own.view(np.int64), first + base, last + base
 
 
@@ -375,12 +331,14 @@ def spans(ranges: list, n: int, length: int) -> list[tuple[int, int]]:
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_spans: bool = False,
 ) -> DataFrame:
-    """Per row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``spans``, ``kept``, on demand).
+    """Per row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_shared_words`` (and ``spans``, ``kept``, on demand).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts
     anywhere else, in the same text or another; matches never cross texts, and
     all strings are judged on the input. ``kept`` is what is left, as bytes: a
-    removal may cut a character.
+    removal may cut a character. ``n_shared_words`` counts the words in passages of
+    over 50 words that another document holds too (:func:`~ticketmill.llm.passages.shared_words`);
+    these may be shorter than ``length``, and nothing is removed for them.
 
     Null text counts as empty; texts shorter than ``length`` stay whole. Fully
     repeated rows are copies of each other like any other texts. A null id stays
@@ -389,29 +347,33 @@ def remove_repeats(
     prepare(docs.sparkSession)
     text = docs[text_column]
     named = docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = repeated_ranges(named, length, anchor).groupBy("id", "text_key").agg(
-        F.collect_set(F.struct("a", "b")).alias("ranges")
-    ).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "ranges")
-    joined = named.join(found, (F.col("text_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "ranges", "text")
+    removed = repeated_ranges(named, length, anchor).select("id", "text_key", F.struct("a", "b").alias("r"), F.lit(None).cast("bigint").alias("n"))
+    shared = shared_words(named).select("id", "text_key", F.lit(None).cast(removed.schema["r"].dataType).alias("r"), "n")
+    found = removed.unionAll(shared).groupBy("id", "text_key").agg(
+        F.collect_set("r").alias("ranges"), F.max("n").alias("shared")
+    ).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "ranges", "shared")
+    joined = named.join(found, (F.col("text_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left").select(
+        "id", "ranges", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"), "text"
+    )
     key = docs.schema[id_column].dataType
     id_type = to_arrow_type(key)
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in rows_of(batches, "id", "ranges", "text"):
+        for block in rows_of(batches, "id", "ranges", "shared", "text"):
             out = []
-            for i, ranges, own in block:
+            for i, ranges, n_shared, own in block:
                 data = (own or "").encode()
                 gone = spans(ranges or [], len(data), length)
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                row = (i, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+                row = (i, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), n_shared)
                 out.append((*row, [{"a": a, "b": b} for a, b in gone], kept) if with_spans else row)
-            types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.binary()]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+            types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span_type, pa.binary()]
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "spans", "kept"]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
-    schema = f"id {key.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = f"id {key.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_words bigint"
     schema += f", spans {RANGES}, kept binary" * with_spans
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_column)
