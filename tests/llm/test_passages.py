@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ticketmill.llm import passages, repeats
+from ticketmill.llm import paragraphs, passages, repeats
 from ticketmill.llm.windows import Windows
 
 
@@ -83,3 +83,6 @@ def test_passages_under_400_bytes_and_inside_lines_are_told(spark):
     removed = repeats.remove_repeats(df).collect()
     assert {r.doc_id: r.n_shared_words for r in removed} == wanted
     assert {r.doc_id: r.n_removed for r in removed} == dict.fromkeys(wanted, 0)
+    found = paragraphs.repeated_paragraphs(df).collect()
+    assert {r.doc_id: r.n_shared_words for r in found} == wanted
+    assert {r.doc_id: r.n_shared for r in found} == dict.fromkeys(wanted, 0)

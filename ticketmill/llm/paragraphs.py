@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ticketmill.llm.common import free_names, materialise, prepare, rows_of
 from ticketmill.llm.components import connected_components
+from ticketmill.llm.passages import shared_words
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 # Paragraphs of a bucket that one task compares, and cells of the matrix it
@@ -273,23 +274,30 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: the id, ``n_paragraphs`` (lines), ``n_repeated``, ``n_removed``, ``n_shared``, ``repeats``.
+    """Per row: the id, ``n_paragraphs`` (lines), ``n_repeated``, ``n_removed``, ``n_shared``, ``n_shared_words``, ``repeats``.
 
     ``repeats`` lists the lines that belong to a cluster: ``par``, ``first_id``
     and ``first_par`` (the occurrence that stays), ``n_words``, ``removed`` and
     ``shared`` (the cluster lies in two documents or more). ``n_shared`` counts
-    the shared ones of more than ``PASSAGE_WORDS`` words.
+    the shared ones of more than ``PASSAGE_WORDS`` words. ``n_shared_words``
+    counts the words in passages of over 50 words that another document holds
+    too, also inside lines that differ otherwise
+    (:func:`~ticketmill.llm.passages.shared_words`); nothing is removed for them.
 
     Null text has no lines, empty text one. Lines of fewer than five words are
     left alone. Fully repeated rows are one document: each is reported, and none
     is removed for the other's sake. A null id is the smallest. An empty table
     gives an empty table; other columns are not read.
     """
-    listed = F.sort_array(F.collect_set(F.struct("par", "first_id", "first_par", "n_words", "removed", "shared"))).alias("repeats")
-    by_doc = repeats(docs, id_column, text_column).groupBy("id", "text_key").agg(listed).select(
-        F.col("id").alias("_id"), F.col("text_key").alias("_key"), "repeats"
+    found = repeats(docs, id_column, text_column).select(
+        "id", "text_key", F.struct("par", "first_id", "first_par", "n_words", "removed", "shared").alias("r"), F.lit(None).cast("bigint").alias("n")
     )
     text = docs[text_column]
+    named = docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    passages = shared_words(named).select("id", "text_key", F.lit(None).cast(found.schema["r"].dataType).alias("r"), "n")
+    by_doc = found.unionAll(passages).groupBy("id", "text_key").agg(
+        F.sort_array(F.collect_set("r")).alias("repeats"), F.max("n").alias("n")
+    ).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "repeats", "n")
     rows = docs.select(
         docs[id_column].alias("id"), F.xxhash64(text).alias("text_key"),
         F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("bigint").alias("n_paragraphs"),
@@ -300,7 +308,7 @@ def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column:
         F.col("id").alias(id_column), "n_paragraphs", F.size(own).cast("bigint").alias("n_repeated"),
         F.size(F.filter(own, lambda r: r["removed"])).cast("bigint").alias("n_removed"),
         F.size(F.filter(own, lambda r: r["shared"] & (r["n_words"] > PASSAGE_WORDS))).cast("bigint").alias("n_shared"),
-        own.alias("repeats"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_shared_words"), own.alias("repeats"),
     )
 
 
