@@ -117,3 +117,24 @@ def test_shared_passages(spark):
     assert got[1] == (1, [(0, 60, True), (1, 30, False), (2, 30, False)]) and got[2] == (1, [(1, 61, True)])
     assert got[3] == (0, [(0, 20, True), (1, 20, True)]) and got[4] == (0, [(0, 20, True)])
     assert got[6] == got[None] == (1, [(0, 21, True)]) and got[5] == got[8] == (0, []) and got[7] == (0, [(0, 40, False)])
+
+
+def test_paragraphs_of_a_block_are_hashed_together():
+    hasher, hashed = P.Hasher(), []
+    plain_hash = hasher.word_hash
+    hasher.word_hash = lambda w: hashed.append(w) or plain_hash(w)
+    listed = [[f"w{k * i % 7}" for k in range(n)] for i, n in enumerate((5, 9, 6, 5, 30), 1)]
+    every, bounds = hasher.shingles(listed)
+    assert sorted(hashed) == sorted({w for words in listed for w in words})
+    parts = np.split(every, bounds[1:-1])
+    assert [len(p) for p in parts] == [len(words) - 4 for words in listed]
+    assert all((p == hasher.shingles([words])[0]).all() for p, words in zip(parts, listed))
+    assert (hasher.bands(every, bounds) == [hasher.bands(*hasher.shingles([words]))[0] for words in listed]).all()
+
+
+def test_band_keys_travel_without_pids(spark):
+    rows = [(b"a" * 16, [1, 2]), (b"b" * 16, [1, 3]), (b"c" * 16, [4, 3]), (b"a" * 16, None), (b"d" * 16, [5, 6]), (b"d" * 16, [5, 6]), (b"b" * 16, [1, 3])]
+    met = P.colliding(spark.createDataFrame(rows, "pid binary, bands array<bigint>"))
+    assert sorted((r.key, bytes(r.pid)[:1]) for r in met.collect()) == [(1, b"a"), (1, b"b"), (3, b"b"), (3, b"c")]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(p#" in plan and "min(pid" not in plan

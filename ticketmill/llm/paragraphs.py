@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 # Paragraphs of a bucket that one task compares, and cells of the matrix it
 # multiplies at a time.
 TILE, CELLS = 1024, 8_000_000
-CACHE_WORDS = 500_000
 # Words a repeated paragraph must exceed to count as a shared passage.
 PASSAGE_WORDS = 20
 
@@ -49,38 +49,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 # --- inside a task -----------------------------------------------------------------
 class Hasher:
-    """Hashes of word shingles and band keys of paragraphs."""
+    """Hashes of word shingles and band keys of paragraphs, many paragraphs at once."""
 
     def __init__(self):
         from xxhash import xxh64_intdigest, xxh128_digest
 
         self.word_hash, self.digest = xxh64_intdigest, xxh128_digest
-        self.words: dict[str, int] = {}
         self.factors, self.offsets = _constants(BANDS * ROWS)
         self.places, _ = _constants(WIDTH)
 
-    def shingles(self, words: list[str]) -> np.ndarray:
-        """Hash of each window of ``WIDTH`` words."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        for w in words:
-            if w not in known:
-                known[w] = self.word_hash(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        n = len(h) - WIDTH + 1
+    def shingles(self, listed: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each window of ``WIDTH`` words within a paragraph, and where each paragraph begins and the last ends."""
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        coded = pa.array(chain.from_iterable(listed), pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        h = np.fromiter(map(self.word_hash, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
+        n = max(len(h) - WIDTH + 1, 0)
         total = np.zeros(n, np.uint64)
         for k, factor in enumerate(self.places):
             total += h[k : k + n] * factor
-        return _mixed(total)
+        inside = np.ones(n, bool)  # windows that begin in the last words of a paragraph reach into the next one
+        inside[(np.cumsum(sizes)[:-1, None] - np.arange(1, WIDTH)).ravel()] = False
+        return _mixed(total[inside]), np.concatenate([[0], np.cumsum(sizes - WIDTH + 1)])
 
-    def bands(self, sets: list[np.ndarray]) -> np.ndarray:
+    def bands(self, every: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """One key per paragraph and band."""
-        every = np.concatenate(sets)
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-        keys = np.empty((len(sets), BANDS), np.uint64)
+        starts = bounds[:-1]
+        keys = np.empty((len(starts), BANDS), np.uint64)
         for band in range(BANDS):
-            key = np.full(len(sets), band + 1, np.uint64)
+            key = np.full(len(starts), band + 1, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
                 key = _mixed(key ^ np.minimum.reduceat(every * self.factors[k] + self.offsets[k], starts))
             keys[:, band] = key
@@ -89,7 +86,7 @@ class Hasher:
 
 def paragraphs(text: str | None) -> list[tuple[int, list[str]]]:
     """Number and lower-cased words of each line of at least ``WIDTH`` words."""
-    lines = ((i, line.lower().split()) for i, line in enumerate((text or "").split("\n")))
+    lines = ((i, line.split()) for i, line in enumerate((text or "").lower().split("\n")))
     return [(i, words) for i, words in lines if len(words) >= WIDTH]
 
 
@@ -167,7 +164,7 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for block in rows_of(batches, "id", "text_key", "text"):
-            ids, keys, pars, sizes, pids, sets, first = [], [], [], [], [], [], {}
+            ids, keys, pars, sizes, pids, listed, first = [], [], [], [], [], [], {}
             for i, text_key, text in block:
                 for par, words in paragraphs(text):
                     pid = hasher.digest(" ".join(words))
@@ -177,12 +174,12 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     sizes.append(len(words))
                     if pid not in first:
                         first[pid] = len(pids)
-                        sets.append(hasher.shingles(words))
+                        listed.append(words)
                     pids.append(pid)
             if not pids:
                 continue
             bands: list = [None] * len(pids)
-            for at, row in zip(first.values(), hasher.bands(sets)):
+            for at, row in zip(first.values(), hasher.bands(*hasher.shingles(listed))):
                 bands[at] = row
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, id_type), pa.array(keys, pa.int64()), pa.array(pars, pa.int32()), pa.array(sizes, pa.int32()),
@@ -194,11 +191,16 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def colliding(found: DataFrame) -> DataFrame:
-    """``key`` and ``pid`` of the paragraphs that share a band key with another one."""
-    rows = found.where("bands IS NOT NULL").select("pid", F.explode("bands").alias("key"))
+    """``key`` and ``pid`` of the paragraphs that share a band key with another one.
+
+    The keys are shuffled with a 64-bit hash of the ``pid``, which halves their bytes; few are left to meet the ``pid``.
+    """
+    named = found.where("bands IS NOT NULL").select(F.xxhash64("pid").alias("p"), "pid", "bands")
+    rows = named.select("p", F.explode("bands").alias("key"))
     bucket = Window.partitionBy("key")
-    seen = rows.select("key", "pid", F.min("pid").over(bucket).alias("low"), F.max("pid").over(bucket).alias("high"))
-    return seen.where("low <> high").select("key", "pid").distinct()
+    seen = rows.select("key", "p", F.min("p").over(bucket).alias("low"), F.max("p").over(bucket).alias("high"))
+    met = seen.where("low <> high").select("key", "p").distinct()
+    return met.join(named.select("p", "pid"), "p").select("key", "pid").distinct()
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -213,12 +215,14 @@ def shingle_sets(docs: DataFrame, chosen: DataFrame, id_column: str, text_column
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for block in rows_of(batches, "wanted", "text"):
-            pids, sets = [], []
+            pids, listed = [], []
             for wanted, text in block:
-                lines = dict(paragraphs(text))
+                lines = text.lower().split("\n")
                 for w in wanted:
                     pids.append(w["pid"])
-                    sets.append(np.unique(hasher.shingles(lines[w["par"]])).view(np.int64))
+                    listed.append(lines[w["par"]].split())
+            every, bounds = hasher.shingles(listed)
+            sets = [np.unique(s).view(np.int64) for s in np.split(every, bounds[1:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(pids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["pid", "shingles"])
 
     return joined.mapInArrow(run, "pid binary, shingles array<bigint>").dropDuplicates(["pid"])

@@ -40,7 +40,8 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     real = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
     lists = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
     coded = words.filter(kept).dictionary_encode()
-    hashes = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxh64_intdigest, distinct), np.uint64, len(distinct))
     return hashes[coded.indices.to_numpy()], real[lists]
 
 
