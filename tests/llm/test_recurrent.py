@@ -77,6 +77,14 @@ def test_gradients_as_differences():
             assert g[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-4), (name, at)
 
 
+def test_softmax_of_a_window_is_taken_at_once(monkeypatch):
+    calls, plain_surplus = [], R._surplus
+    monkeypatch.setattr(R, "_surplus", lambda z, *rest: calls.append(len(z)) or plain_surplus(z, *rest))
+    target = np.random.default_rng(8).integers(0, R.SLOTS, (16, 20))
+    R.gradients(weights(), np.roll(target, 1, axis=0), target, np.ones((16, 20), bool), np.zeros((20, R.UNITS), np.float32))
+    assert calls == [320, 320]  # classes, then words, not one call for each of the 32 classes
+
+
 def plain(rows):
     def toks(t):
         return [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x)

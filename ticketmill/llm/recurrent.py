@@ -70,23 +70,28 @@ def initial(counts: np.ndarray) -> Weights:
     return w
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def forward(w: Weights, previous: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step for inputs (steps, lanes); ``keep`` gets what backpropagation needs."""
-    x = w["inputs"][previous]
-    states = np.empty((len(previous), *h.shape), np.float32)
+def forward(w: Weights, previous: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """States after each step for inputs (steps, lanes); ``keep`` gets what backpropagation needs, one array for all steps."""
+    # a sigmoid is half of one plus the tanh of half its argument
+    every, gates = (w["inputs"][:, : 2 * UNITS] * 0.5)[previous], w["gates"] * 0.5
+    new = w["inputs"][:, 2 * UNITS :][previous]
+    states, held = np.empty(new.shape, new.dtype), np.empty(new.shape, new.dtype)
+    first = h
     for t in range(len(previous)):
-        gate = _sigmoid(x[t, :, : 2 * UNITS] + h @ w["gates"])
-        reset, update = gate[:, :UNITS], gate[:, UNITS:]
-        held = reset * h
-        new = np.tanh(x[t, :, 2 * UNITS :] + held @ w["state"])
-        if keep is not None:
-            keep.append((h, reset, update, held, new))
-        h = h + update * (new - h)
-        states[t] = h
+        gate, n = every[t], new[t]
+        gate += h @ gates
+        np.tanh(gate, out=gate)
+        gate += 1
+        gate *= 0.5
+        np.multiply(gate[:, :UNITS], h, out=held[t])
+        n += held[t] @ w["state"]
+        np.tanh(n, out=n)
+        step = np.subtract(n, h, out=states[t])
+        step *= gate[:, UNITS:]
+        step += h
+        h = step
+    if keep is not None:
+        keep |= {"gate": every, "held": held, "new": new, "before": np.concatenate([first[None], states[:-1]])}
     return states
 
 
@@ -117,31 +122,44 @@ def advance(half: tuple[np.ndarray, ...], previous: np.ndarray, h: np.ndarray) -
     return states
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _surplus(z: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
+    """``scale`` times the gradient of minus the log-softmax at one column per row: the shares less one there."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (scale / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    z[np.arange(len(z)), at] -= scale
+    return z
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that puts targets of one class side by side, and the stretch of each class in it."""
     of = (target // WIDTH).astype(np.uint8)
     order = np.argsort(of, kind="stable")
-    bounds = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+    bounds = np.searchsorted(of[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+
+
+def _within(w: Weights, states: np.ndarray, classes: list[tuple[int, slice]]) -> np.ndarray:
+    """The words of each state's class, before the softmax; the states are in the order of their classes."""
+    z = np.empty((len(states), WIDTH), states.dtype)
+    for c, own in classes:
+        np.matmul(states[own], w["word_w"][c], out=z[own])
+        z[own] += w["word_b"][c]
+    return z
 
 
 def log_probability(w: Weights, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithm: the class of each target, then the word within its class."""
-    out = _picked(states @ w["class_w"], w["class_b"], target // WIDTH)
-    for c, own in _by_class(target):
-        out[own] += _picked(states[own] @ w["word_w"][c], w["word_b"][c], target[own] % WIDTH)
+    z = states @ w["class_w"]
+    z += w["class_b"]
+    out = _picked(z, target // WIDTH)
+    order, classes = _by_class(target)
+    out[order] += _picked(_within(w, states[order], classes), target[order] % WIDTH)
     return out
 
 
-def _picked(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-softmax of ``z`` plus ``bias`` at one column per row; states lie in (-1, 1), so no exponent is large."""
-    z += bias
+def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of ``z`` at one column per row; states lie in (-1, 1), so no exponent is large."""
     chosen = z[np.arange(len(z)), at]
     np.exp(z, out=z)
     return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
@@ -149,41 +167,54 @@ def _picked(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def gradients(w: Weights, previous: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Weights, np.ndarray]:
     """Gradients of the mean negative log-probability over one window, and the last state."""
-    kept: list = []
+    kept: dict = {}
     states = forward(w, previous, h, kept)
-    g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items() if name != "inputs"}
+    g = {}
     on = np.flatnonzero(mask.ravel())
     s, goal = states.reshape(-1, UNITS)[on], target.ravel()[on]
     scale = np.float32(1 / max(len(on), 1))
-    dz = np.exp(_log_softmax(s @ w["class_w"] + w["class_b"]))
-    dz[np.arange(len(on)), goal // WIDTH] -= 1
-    dz *= scale
-    g["class_w"], g["class_b"] = s.T @ dz, dz.sum(axis=0)
+    order, classes = _by_class(goal)
+    on, s, goal = on[order], s[order], goal[order]
+    z = s @ w["class_w"]
+    z += w["class_b"]
+    dz = _surplus(z, goal // WIDTH, scale)
+    g["class_w"], g["class_b"] = s.T @ dz, np.ones(len(dz), dz.dtype) @ dz
     ds = dz @ w["class_w"].T
-    for c, own in _by_class(goal):
-        inner = np.exp(_log_softmax(s[own] @ w["word_w"][c] + w["word_b"][c]))
-        inner[np.arange(len(own)), goal[own] % WIDTH] -= 1
-        inner *= scale
-        g["word_w"][c], g["word_b"][c] = s[own].T @ inner, inner.sum(axis=0)
-        ds[own] += inner @ w["word_w"][c].T
-    d_states = np.zeros((states.shape[0] * states.shape[1], UNITS), np.float32)
+    g["word_w"], g["word_b"] = np.zeros(SHAPES["word_w"], dz.dtype), np.zeros(SHAPES["word_b"], dz.dtype)
+    inner = _surplus(_within(w, s, classes), goal % WIDTH, scale)
+    ones = np.ones(len(inner), inner.dtype)
+    for c, own in classes:
+        mine = inner[own]
+        np.matmul(s[own].T, mine, out=g["word_w"][c])
+        np.matmul(ones[own], mine, out=g["word_b"][c])
+        ds[own] += mine @ w["word_w"][c].T
+    d_states = np.zeros((states.shape[0] * states.shape[1], UNITS), ds.dtype)
     d_states[on] = ds
     d_states = d_states.reshape(states.shape)
-    dx = np.empty((*previous.shape, 3 * UNITS), np.float32)
-    dh = np.zeros_like(h)
+    before, new, held, gate = kept["before"], kept["new"], kept["held"], kept["gate"]
+    reset, update = gate[..., :UNITS], gate[..., UNITS:]
+    # what a state's gradient is multiplied by on its way to the candidate, the two gates and the state before
+    rest = 1 - update
+    to_new = (1 - new * new) * update
+    to_gate = gate * (1 - gate)
+    to_gate[..., :UNITS] *= before
+    to_gate[..., UNITS:] *= new - before
+    back_state, back_gates = np.ascontiguousarray(w["state"].T), np.ascontiguousarray(w["gates"].T)
+    d_gates, d_news = np.empty_like(gate), np.empty_like(new)
+    dh = np.zeros_like(states[0])
     for t in range(len(previous) - 1, -1, -1):
-        before, reset, update, held, new = kept[t]
-        dh = dh + d_states[t]
-        d_new = dh * update * (1 - new * new)
-        d_held = d_new @ w["state"].T
-        d_gate = np.concatenate(
-            [d_held * before * reset * (1 - reset), dh * (new - before) * update * (1 - update)], axis=1
-        )
-        dx[t, :, : 2 * UNITS], dx[t, :, 2 * UNITS :] = d_gate, d_new
-        g["state"] += held.T @ d_new
-        g["gates"] += before.T @ d_gate
-        dh = dh * (1 - update) + d_held * reset + d_gate @ w["gates"].T
-    g["inputs"] = dx.reshape(-1, 3 * UNITS)  # by step and lane; the trainer adds up equal inputs
+        dh += d_states[t]
+        d_gate = d_gates[t]
+        d_held = np.multiply(dh, to_new[t], out=d_news[t]) @ back_state
+        np.multiply(d_held, to_gate[t, :, :UNITS], out=d_gate[:, :UNITS])
+        np.multiply(dh, to_gate[t, :, UNITS:], out=d_gate[:, UNITS:])
+        dh *= rest[t]
+        d_held *= reset[t]
+        dh += d_held
+        dh += d_gate @ back_gates
+    d_gates, d_news = d_gates.reshape(-1, 2 * UNITS), d_news.reshape(-1, UNITS)
+    g["state"], g["gates"] = held.reshape(-1, UNITS).T @ d_news, before.reshape(-1, UNITS).T @ d_gates
+    g["inputs"] = np.concatenate([d_gates, d_news], axis=1)  # by step and lane; the trainer adds up equal inputs
     return g, states[-1]
 
 
@@ -450,8 +481,8 @@ class Scorer:
                 self.block, self.index, self.counts, self.table = name, {}, [], None
             if run[1, begin] == 0:
                 at = len(self.counts)
-                self.index.update(zip(part.column(2).to_pylist(), range(at, at + part.num_rows)))
-                self.counts.extend(part.column(3).to_pylist())
+                self.index.update(zip(part.column(2).to_numpy(zero_copy_only=False), range(at, at + part.num_rows)))
+                self.counts.extend(part.column(3).to_numpy())
                 continue
             known = self.index.__getitem__
             for row_id, held, text in zip(*(part.column(i).to_pylist() for i in (4, 5, 6))):
